@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, packing, pii, quality, sharding, simhash, substrings, tokencount
+from . import decontam, langid, licenses, packing, pii, quality, sharding, simhash, substrings, tokencount
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(documents(spark, sf_dir))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op4_decontamination, op5_token_counts, op6_best_fit_packing, op7_simhash, op8_pii, op9_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_quality_rules, op4_decontamination, op5_token_counts, op6_best_fit_packing, op7_simhash, op8_pii, op9_sharding, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
