@@ -185,6 +185,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop:
     return first.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies")
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark window occurs."""
+    key = lambda hashed: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(hashed))
+    bad = contamination(docs, benchmark).where(F.size("hit_words") > 0).select(key("hash").alias("__key")).distinct()
+    return docs.withColumn("__key", key(F.xxhash64("text"))).join(bad, "__key", "left_anti").drop("__key")
+
+
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.size("hit_words").cast("long")
     return contamination(docs, benchmark).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "n_near")

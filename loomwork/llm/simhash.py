@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, stored
+from .common import append_columns, components, forest, stored
 
 BITS = 2
 SEED = 42
@@ -48,15 +48,13 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``doc_id, fp`` (signed 64 bits) for every row of ``(doc_id, text)``."""
+def fingerprints(docs: DataFrame, width: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """The columns in ``keep`` (default: doc_id) and ``fp`` (signed 64 bits) for every row."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = np.fromiter((fingerprint(t, width) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+    def kernel(texts: list) -> list:
+        return [np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts)).view(np.int64)]
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return append_columns(docs, kernel, [("fp", "bigint", pa.int64())], keep=keep or ["doc_id"])
 
 
 def linked(members: list[int], free: list[int]) -> list[tuple[int, int]]:
@@ -85,18 +83,32 @@ def links(prints: DataFrame) -> DataFrame:
     return postings.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``doc_id, fp, component_id`` per row: the smallest doc_id reachable over links of at most 2 bits.
+def near_duplicates(docs: DataFrame, width: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """The columns in ``keep`` (default: doc_id; it must be among them), ``fp``, ``root`` and ``component_id`` per row.
 
-    Null and empty texts have fingerprint 0 and link like any other. A null doc_id takes part through its fingerprint but is
-    never a component's id; the id is null only if all members are.
+    ``root`` is the component's least fingerprint, ``component_id`` the smallest doc_id reachable over links of at most 2 bits. Null and empty
+    texts have fingerprint 0 and link like any other. A null doc_id takes part through its fingerprint but is never a component's id;
+    the id is null only if all members' are.
     """
-    rows = stored(fingerprints(docs, width), "simhash")
+    rows = stored(fingerprints(docs, width, keep), "simhash")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(prints))
     by_root = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(by_root.join(heads, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(by_root.join(heads, "root").select("fp", "root", "component_id"), "fp").select(*rows.columns, "root", "component_id")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest doc_id, and of its rows the least hash of the text.
+
+    A component whose ids are all null keeps one row too. Of rows equal in id and text one stays.
+    """
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("text")))
+    keyed = docs.withColumn("__key", key)
+    found = near_duplicates(keyed.select("doc_id", "text", "__key"), keep=["doc_id", "__key"])
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"]
+    chosen = found.groupBy("root").agg(first.alias("__key")).select("__key")
+    return keyed.join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def digest(docs: DataFrame) -> DataFrame:
