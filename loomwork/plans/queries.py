@@ -724,3 +724,22 @@ def coalesce_labels(spark, d):
     land = F.when(F.col("item") % 3 == 0, " United_States_of_America ").when(F.col("item") % 3 == 1, "Atlantis").otherwise("")
     rows = scored(spark, d).where("cond = 0").withColumn("c", text.country(land, F.lit(None).cast("string")))
     return rows.select("item", text.gold_label(F.lit("??"), raw).alias("gold"), F.col("c").alias("country"), regions.group_of("c").alias("grp"))
+
+
+# Streams
+
+
+@query(STOPS)
+def early_stop_stream(spark, d):
+    from ..streaming import monitor
+
+    events = monitor.file_stream(spark, d, "events.parquet").withColumn("margin", F.col("value") - 20)
+    return monitor.run_to_table(monitor.early_stops(events, "user_id", "margin", 4, "ts", "event_id"), "stops")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) event_type, max(event_id) event_id FROM events GROUP BY 1")
+def last_wins_stream(spark, d):
+    from ..streaming import monitor
+
+    events = monitor.file_stream(spark, d, "events.parquet").select("user_id", "event_id", "event_type")
+    return monitor.lookup_from_stream(events, ["user_id"], "event_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +16,14 @@ def session(app: str = "loomwork", **conf: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     return SparkSession.builder.appName(app).config(map=defaults | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share; one is made only where the session names none (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = kept.get() if kept.isDefined() else "file://" + tempfile.mkdtemp(prefix="loomwork-")
+        if not kept.isDefined():
+            spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
