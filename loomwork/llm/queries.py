@@ -55,5 +55,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_quality_rules, op4_decontamination, op5_token_counts, op6_best_fit_packing, op7_simhash, op8_pii, op9_sharding, op10_language_id)}
 
 
+SUBSTRINGS = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') g FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 11)) i)),
+least_doc AS (SELECT g, min(doc_id) m FROM win GROUP BY 1),
+cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) p FROM win JOIN least_doc USING (g) WHERE m < doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) p, unnest(ws) word FROM w)
+SELECT w.doc_id, count(word) n_words, count(cov.p) n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY words.p) FILTER (cov.p IS NULL), '')) kept_sha256
+FROM w LEFT JOIN words ON words.doc_id = w.doc_id LEFT JOIN cov ON cov.doc_id = words.doc_id AND cov.p = words.p GROUP BY 1
+"""
+
+QUALITY = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) i, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(list_slice(ws, i, i + 2), ' '))) g FROM w),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) p FROM twice) GROUP BY 1),
+lines AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+judged AS (SELECT doc_id, line, length(array_to_string(lw, '')) chars, len(lw) n, len(list_filter(lw, lambda x: x IN ('|', '»', '>', '·', '•', '/'))) bars,
+    len(list_filter(lw, lambda x: regexp_matches(x, '[!?]{2,}$') OR regexp_matches(x, '[#*$%&|<>@^~={}\\]{2,}'))) odd,
+    list_max(list_transform(list_distinct(lw), lambda x: len(list_filter(lw, lambda y: y = x)))) most FROM lines),
+failed AS (SELECT *, (bars >= 3 AND bars * 5 >= n) OR (odd >= 2 AND odd * 4 >= n) OR NOT regexp_matches(line, '\pL') OR (n >= 8 AND 2 * most > n)
+    OR (n <= 30 AND regexp_matches(line, '(?i)all rights reserved|cookie policy|accept (?:all )?cookies|terms of (?:use|service)|privacy policy|click here|sign up|log ?in\b|subscribe (?:now|to)|share (?:this|on)|read more|skip to content|back to top|enable javascript|powered by|lorem ipsum')) bad FROM judged),
+sums AS (SELECT doc_id, count(*) - count(DISTINCT line) dup, coalesce(sum(chars) FILTER (bad), 0) lost, count(*) FILTER (bad) n_bad FROM failed GROUP BY 1),
+base AS (SELECT w.doc_id, len(ws)::BIGINT n_words, length(array_to_string(ws, '')) word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT n_symbols,
+    coalesce(dup, 0) n_dup_lines, coalesce(rep.n, 0) n_repeat_words, coalesce(lost, 0) lost, coalesce(n_bad, 0) n_failed_lines FROM w LEFT JOIN sums USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * lost <= word_chars kept, n_failed_lines FROM base
+"""
+
+CONTAMINATION = r"""
+WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, array_to_string(list_slice(ws, i, i + 9), ' ') g, least(len(ws), 10) n FROM b, LATERAL (SELECT unnest(range(1, greatest(2, len(ws) - 8))) i) WHERE len(ws) > 0),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM documents),
+dw AS (SELECT doc_id, i, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') g FROM d, (SELECT DISTINCT n FROM iw), LATERAL (SELECT unnest(range(1, len(ws) - n + 2)) i)),
+hits AS (SELECT doc_id, i, n, item_id FROM dw JOIN iw USING (g, n)),
+words AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) p FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(*) n_items, string_agg(item_id, ',' ORDER BY item_id) ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR item_id FROM hits) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the other queries SQL lacks a tokenizer, XXH64, match positions, a compressor or an iterative partition: tests hold them against brute force."""
+    return {"op1_substring_dedup": SUBSTRINGS, "op3_quality_rules": QUALITY, "op4_decontamination": CONTAMINATION}
