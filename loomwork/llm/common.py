@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import ctypes.util
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Bytes of ASCII white space, as in ``[\x20\x09-\x0D]``.
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -21,17 +25,6 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share; one is made only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = kept.get() if kept.isDefined() else "file://" + tempfile.mkdtemp(prefix="loomwork-")
-        if not kept.isDefined():
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: it is computed once and survives lost executors."""
     spark = df.sparkSession
@@ -47,6 +40,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks and stages, and would keep their peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if libc := ctypes.util.find_library("c"):
+        getattr(ctypes.CDLL(libc), "malloc_trim", lambda _: 0)(0)
+
+
+def tidied(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """An Arrow kernel that tidies up when its task's rows are through."""
+
+    def kernel(batches: Iterable) -> Iterator:
+        yield from run(batches)
+        tidy()
+
+    return kernel
+
+
 def append_columns(df: DataFrame, kernel: Callable[[list], list], fields: list[tuple[str, str, pa.DataType]], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Row-wise kernel over the text column: the columns in ``keep`` (default: all) stay, and one of an output's name is replaced.
 
@@ -63,7 +74,7 @@ def append_columns(df: DataFrame, kernel: Callable[[list], list], fields: list[t
             made = [pa.array(values, kind) for values, (_, _, kind) in zip(kernel(batch.column(last).to_pylist()), fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], *made], [*kept, *(f[0] for f in fields)])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidied(run), schema)
 
 
 def chunks(batches: Iterable[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.Table]:

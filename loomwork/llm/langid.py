@@ -20,7 +20,7 @@ from .common import append_columns
 
 BLOCK = 4096
 LEVEL = 12
-SETS = 12
+SETS = 6
 SET_DOCS = 40
 SHARE = 600
 SURE = 0.03
@@ -92,7 +92,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", min_margin: floa
 
     Texts that are null or have no letter get ``und``, score 0 and are rejected; so does everything if nothing was learned.
     """
-    made: list[Callable] = []
+    made: list[Callable] = []  # of a task: its copy of the kernel fills it at the first batch
 
     def kernel(texts: list) -> list:
         if not made:

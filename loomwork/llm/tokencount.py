@@ -9,6 +9,7 @@ entry per chunk.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, pack, pack_strings, stored, unpack, unpack_strings
+from .common import chunks, pack, pack_strings, stored, tidied, unpack, unpack_strings
 
 #: Fixed value: the byte-level pre-token expression of the public vocabulary.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -39,6 +40,7 @@ COLUMNS = "chunk bigint, tokens binary, cuts binary, doc_id array<bigint>, n_byt
 def library(path: str):
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism; no threads of its own
     return Tokenizer.from_file(path)
 
 
@@ -105,7 +107,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, special: str = "<|endofte
     """
     base = docs.select("doc_id", "text")
     n = max(1, -(-(base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
-    held = stored(base.mapInArrow(lambda it: chunk_rows(it, special, n), COLUMNS), "tokencount")
+    held = stored(base.mapInArrow(tidied(lambda it: chunk_rows(it, special, n)), COLUMNS), "tokencount")
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
