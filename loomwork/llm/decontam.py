@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, pack, ranges, stored, unpack
+from .common import chunks, pack, ranges, stored, tidied, unpack
 
 #: Lower case for A-Z; what stands between words becomes a space; other bytes stay.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -72,7 +72,7 @@ def index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int) -> DataFrame:
             row = {"chunk": [part << 32 | k], "doc_id": [table.column("doc_id").to_pylist()], "hash": [table.column("hash").to_pylist()], "n_words": [lengths], "terms": [pack(ids.astype(np.int32))], "sizes": [pack(sizes.astype(np.int32))], "positions": [pack(step.astype(np.uint32))]}
             yield pa.RecordBatch.from_pydict(row, schema)
 
-    return stored(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, COLUMNS), "decontam-index")
+    return stored(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(tidied(run), COLUMNS), "decontam-index")
 
 
 def frequencies(shards: DataFrame) -> dict[int, int]:
@@ -154,7 +154,7 @@ def search(shards: DataFrame, queries: list[tuple[list[tuple[int, int]], int, li
                 }
                 yield pa.RecordBatch.from_pydict(out)
 
-    return shards.mapInArrow(run, "doc_id bigint, hash bigint, n_words bigint, n_near bigint, hit_words array<bigint>, items array<string>")
+    return shards.mapInArrow(tidied(run), "doc_id bigint, hash bigint, n_words bigint, n_near bigint, hit_words array<bigint>, items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 3, block_items: int = 50_000) -> DataFrame:
@@ -194,4 +194,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.size("hit_words").cast("long")
-    return contamination(docs, benchmark).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "n_near")
+    return contamination(docs, benchmark).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
