@@ -74,6 +74,15 @@ def trichotomy(df: DataFrame, keys: list[str]) -> DataFrame:
     return counted.withColumn("default_rate", F.try_divide(F.col("wrong_us_match").cast("double"), (F.col("wrong_us_match") + F.col("wrong_us_diverge")).cast("double")))
 
 
+def overview(df: DataFrame, us: str = "US") -> DataFrame:
+    """Accuracy and default rate by condition, in both modes (two sides, clusters), from one pass over the predictions."""
+    wrong = F.col("us_pred").isNotNull() & (F.col("pred") != F.col("gold")) & (F.col("country") != us)
+    same = (F.col("pred") == F.col("us_pred")).cast("double")
+    sets = df.withColumn("__w", wrong).withColumn("__s", F.when(wrong, same)).withColumn("__r", right()).groupingSets([[F.col("cond"), F.col("side")], [F.col("cond"), F.col("cluster")]], "cond", "side", "cluster")
+    out = sets.agg(F.count("*").alias("n"), F.avg("__r").alias("accuracy"), F.avg("__s").alias("default_rate"))
+    return out.select("cond", F.when(F.col("side").isNotNull(), "binary").otherwise("clusters").alias("mode"), F.coalesce("side", "cluster").alias("grp"), "n", "accuracy", "default_rate")
+
+
 def null_baseline(df: DataFrame, golds: DataFrame, us: str = "US") -> DataFrame:
     """How often an answer is the gold of another country for the same scenario, the US and the country itself left out.
 

@@ -28,6 +28,28 @@ def accumulate(df: DataFrame, keys: list[str], score: str = "score", weight: Col
     return df.groupBy(*keys).agg(F.sum(kept if weight is None else kept * weight).alias("score"))
 
 
+def item_contribution(values: Column | str, mask: Column | str, probability: Column) -> Column:
+    """An item's score at a neuron: the largest contribution of its tokens that are no padding, negative ones as 0, times the answer's probability."""
+    v = F.col(values) if isinstance(values, str) else values
+    m = F.col(mask) if isinstance(mask, str) else mask
+    kept = F.zip_with(v, m, lambda x, y: F.when(y, F.greatest(x, F.lit(0.0))).otherwise(0.0))
+    return F.coalesce(F.array_max(kept), F.lit(0.0)) * probability
+
+
+def item_counts(df: DataFrame, condition: str, order: list, key: str = "country") -> DataFrame:
+    """Items by country, from the first of the listed conditions that has any."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(condition))
+    counted = df.where(F.col(condition).isin(order)).groupBy(place.alias("p"), key).agg(F.count("*").alias("n"))
+    first = counted.agg(F.min("p").alias("p"))
+    return counted.join(F.broadcast(first), "p").drop("p")
+
+
+def scale_limits(profile: DataFrame, keys: list[str], value: str = "asymmetry", robust: float = 0.95) -> DataFrame:
+    """Limits of a colour scale: largest absolute value, its robust percentile, its median (the linear zone of a symmetric log scale)."""
+    a = F.abs(value)
+    return profile.groupBy(*keys).agg(F.max(a).alias("linear"), F.percentile(a, F.lit(robust)).alias("robust"), F.median(a).alias("symlog"), F.min(value).alias("low"), F.max(value).alias("high"))
+
+
 def deltas(treated: DataFrame, control: DataFrame, keys: list[str], sample: str = "sample") -> DataFrame:
     """Mean score per sample minus the control's; a neuron without control rows has control 0.
 

@@ -64,3 +64,12 @@ def extremes(df: DataFrame, by: str, key: str, n: int, support: Column) -> DataF
     kept = df.where(support)
     low = kept.orderBy(F.asc(by), key).limit(n).withColumn("end", F.lit("bottom"))
     return kept.orderBy(F.desc(by), key).limit(n).withColumn("end", F.lit("top")).unionByName(low)
+
+
+def first_and_last(df: DataFrame, run: str, value: str, n: int, *order: str) -> DataFrame:
+    """The first and the last n values of each run, in order; fewer where the run is shorter."""
+    own = Window.partitionBy(run)
+    up, total = F.row_number().over(own.orderBy(*order)), F.count("*").over(own)
+    few = df.withColumn("__i", up).withColumn("__n", total).where((F.col("__i") <= n) | (F.col("__i") > F.col("__n") - n))
+    pick = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("__i", value)))), lambda s: s[value])
+    return few.groupBy(run).agg(pick(F.col("__i") <= n).alias("first"), pick(F.col("__i") > F.col("__n") - n).alias("last"))

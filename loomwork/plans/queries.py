@@ -726,6 +726,101 @@ def coalesce_labels(spark, d):
     return rows.select("item", text.gold_label(F.lit("??"), raw).alias("gold"), F.col("c").alias("country"), regions.group_of("c").alias("grp"))
 
 
+# Further products
+
+
+@query(
+    """, b AS (SELECT cond, mode, grp, pred, gold, us_pred, country FROM predictions, LATERAL (VALUES ('binary', side), ('clusters', "cluster")) t(mode, grp)) SELECT cond, mode, grp, count(*) n, round(avg((pred = gold)::INT), 6) accuracy,
+    round(avg((pred = us_pred)::INT) FILTER (us_pred IS NOT NULL AND pred <> gold AND country <> 'NATION_0'), 6) default_rate FROM b GROUP BY 1, 2, 3""",
+    "predictions",
+)
+def overview_grid(spark, d):
+    return behaviour.overview(predictions(spark, d), US).select("cond", "mode", "grp", "n", *r6("accuracy", "default_rate"))
+
+
+@query(
+    """SELECT country, "cluster", CASE WHEN inferred THEN 'yes' ELSE 'no' END inferred, printf('%.4f', round(x, 4)) sx, printf('%.4f', round(y, 4)) sy, n FROM assigned""", "assigned"
+)
+def coordinates_table(spark, d):
+    four = lambda c: F.format_string("%.4f", F.round(c, 4))
+    return assigned_of(spark, d).select("country", "cluster", F.when(F.col("inferred"), "yes").otherwise("no").alias("inferred"), four("x").alias("sx"), four("y").alias("sy"), "n")
+
+
+@query("SELECT cond, item, round(greatest(coalesce(list_max([CASE WHEN (item + i) % 3 <> 0 THEN greatest(scores[i], 0) ELSE 0 END FOR i IN [1, 2, 3]]), 0), 0) * 0.5, 6) contribution FROM scored", "scored")
+def item_contributions(spark, d):
+    mask = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: (F.col("item") + i) % 3 != 0)
+    return scored(spark, d).select("cond", "item", F.round(neurons.item_contribution("scores", mask, F.lit(0.5)), 6).alias("contribution"))
+
+
+@query("SELECT country, count(*) n FROM predictions WHERE cond = 2 GROUP BY 1", "predictions")
+def item_counts_fallback(spark, d):
+    return neurons.item_counts(predictions(spark, d), "cond", [9, 2, 0])
+
+
+@query(
+    GROUPED + """, q AS (SELECT cond, layer, avg(s) - avg(d) a FROM p GROUP BY 1, 2) SELECT cond, round(max(abs(a)), 6) linear, round(quantile_cont(abs(a), 0.95::DOUBLE), 6) robust, round(median(abs(a)), 6) symlog, round(min(a), 6) low, round(max(a), 6) high FROM q GROUP BY 1""",
+    "contributions",
+)
+def scale_limits(spark, d):
+    return neurons.scale_limits(neurons.asymmetry(group_rows(spark, d, "layer"), "cond"), ["cond"]).select("cond", *r6("linear", "robust", "symlog", "low", "high"))
+
+
+@query("SELECT user_id, list_slice(v, 1, 3)::VARCHAR \"first\", list_slice(v, greatest(1, len(v) - 2), len(v))::VARCHAR \"last\" FROM (SELECT user_id, list(event_id ORDER BY ts, event_id) v FROM events GROUP BY 1)")
+def first_and_last(spark, d):
+    shown = lambda c: F.concat(F.lit("["), F.array_join(F.col(c).cast("array<string>"), ", "), F.lit("]")).alias(c)
+    return series.first_and_last(table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", "event_id", 3, "ts", "event_id").select("user_id", shown("first"), shown("last"))
+
+
+@query("SELECT p_brand model, sum(p_size)::BIGINT total, sum(p_size) FILTER (p_partkey % 3 = 0)::BIGINT adapter, sum(p_size) FILTER (p_size > 25)::BIGINT trainable FROM part GROUP BY 1")
+def parameter_counts(spark, d):
+    from ..sources import io
+
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("x.lora_A."), "p_name")).otherwise(F.col("p_name"))
+    return io.parameter_counts(table(spark, d, "part").select(F.col("p_brand").alias("model"), name.alias("name"), F.col("p_size").cast("long").alias("numel"), (F.col("p_size") > 25).alias("trainable")))
+
+
+@query("SELECT n_name node, CASE n_nationkey % 4 WHEN 0 THEN 'PRESENT' WHEN 1 THEN 'MISSING' WHEN 2 THEN 'NO_DATA' ELSE 'NOT_RUN' END status FROM nation")
+def node_summary(spark, d):
+    from ..sources import io
+
+    nodes = table(spark, d, "nation").select(F.col("n_name").alias("node"), (F.col("n_nationkey") % 4).alias("k"))
+    line = F.when(F.col("k") == 0, "python3.12: PRESENT x").when(F.col("k") == 1, "python3.12:  MISSING").otherwise("other: PRESENT")
+    return io.node_summary(nodes.select("node"), nodes.where("k < 3").select("node", line.alias("value")))
+
+
+@query("SELECT cond, count(*) n FROM predictions WHERE country NOT IN ('NATION_3', 'NATION_7') AND item NOT IN (SELECT vec_id FROM embeddings WHERE label = 9) GROUP BY 1", "predictions")
+def holdout_exclusion(spark, d):
+    p = predictions(spark, d).where(~F.col("country").isin("NATION_3", "NATION_7"))
+    held = table(spark, d, "embeddings").where("label = 9").select(F.col("vec_id").alias("item"))
+    return p.join(held, "item", "left_anti").groupBy("cond").agg(F.count("*").alias("n"))
+
+
+@query(
+    """, h AS (SELECT doc_id::VARCHAR id, culture_tag, row_number() OVER (PARTITION BY culture_tag <> 'NoCulture' ORDER BY md5('1_' || doc_id), doc_id) r, count(*) FILTER (culture_tag <> 'NoCulture') OVER () n FROM tagged),
+    c AS (SELECT conv_id::VARCHAR id FROM conversations GROUP BY conv_id HAVING bool_or(role = 'assistant') AND bool_or(role <> 'assistant'))
+    SELECT 'text' part, id, CASE WHEN culture_tag <> 'NoCulture' THEN 'cult' ELSE 'nocult' END side FROM h WHERE r <= least(20, n) UNION ALL SELECT 'pair', id, NULL FROM c""",
+    "tagged",
+)
+def curated_union(spark, d):
+    text_part = curate.balanced(tagged(spark, d).select("doc_id", "culture_tag"), curate.cultural("culture_tag"), 20, "1", "doc_id").select(F.lit("text").alias("part"), F.col("doc_id").cast("string").alias("id"), "side")
+    return curate.union_all(text_part, preference_pairs(spark, d).select(F.lit("pair").alias("part"), F.col("conv_id").cast("string").alias("id")))
+
+
+@query("SELECT doc_id, 'Passage: ' || substr(text, 1, 30) || chr(10) || 'Question: ' || source || chr(10) || 'Answer:' prompt, CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END gold FROM documents")
+def reading_prompts(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", text.nlu_prompt("boolq", passage=F.substring("text", 1, 30), question=F.col("source")).alias("prompt"), text.nlu_gold("boolq", F.col("doc_id") % 2 == 0).alias("gold"))
+
+
+@query("SELECT lang, count(*) n, count(*) FILTER (source IN ('src1', 'src2')) kept FROM documents GROUP BY 1")
+def routed_scan(spark, d):
+    from ..sources import io
+
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    kept = io.route(docs, "source", {"a": ["src1"], "b": ["src2"]})
+    return docs.groupBy("lang").agg(F.count("*").alias("n")).join(curate.union_all(*kept.values()).groupBy("lang").agg(F.count("*").alias("kept")), "lang", "left").na.fill(0)
+
+
 # Streams
 
 
