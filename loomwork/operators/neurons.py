@@ -50,18 +50,22 @@ def scale_limits(profile: DataFrame, keys: list[str], value: str = "asymmetry",
     return profile.groupBy(*keys).agg(F.max(a).alias("linear"), F.percentile(a, F.lit(robust)).alias("robust"), F.median(a).alias("symlog"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
-def deltas(treated: DataFrame, control: DataFrame, keys: list[str], sample: str = "sample") -> DataFrame:
-    """Mean score per sample minus the control's; a neuron without control rows has control 0.
+def deltas_in_one_pass(df: DataFrame, keys: list[str], score: Column | str = "score", control: Column | str = "control", sample: str = "sample") -> DataFrame:
+    """Mean score per sample minus the control's, where a row may carry both (null: neither); a neuron without control rows has control 0.
 
-    keys: the condition columns. Both sides are aggregated before they meet.
+    One aggregation over the contributions and one that counts samples by condition; treatment and control are never joined.
     """
+    s, c = (F.col(x) if isinstance(x, str) else x for x in (score, control))
+    sums = df.groupBy(*keys, *NEURON).agg(F.sum(s).alias("t"), F.sum(c).alias("c"))
+    samples = df.groupBy(*keys).agg(F.count_distinct(F.when(s.isNotNull(), F.col(sample))).alias("n"), F.count_distinct(F.when(c.isNotNull(), F.col(sample))).alias("m"))
+    net = F.col("t") / F.col("n") - F.coalesce(F.try_divide("c", "m"), F.lit(0.0))
+    return sums.where("t is not null").join(F.broadcast(samples), keys).select(*keys, *NEURON, net.alias("delta"))
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        sums = df.groupBy(*keys, *NEURON).agg(F.sum("score").alias("s"))
-        return sums.join(F.broadcast(df.groupBy(*keys).agg(F.count_distinct(sample).alias("n"))), keys).select(*keys, *NEURON, (F.col("s") / F.col("n")).alias(name))
 
-    both = side(treated, "t").join(side(control, "c"), [*keys, *NEURON], "left")
-    return both.select(*keys, *NEURON, (F.col("t") - F.coalesce("c", F.lit(0.0))).alias("delta"))
+def deltas(treated: DataFrame, control: DataFrame, keys: list[str], sample: str = "sample") -> DataFrame:
+    """The same for treatment and control in tables of their own, each with a ``score``."""
+    side = lambda df, t, c: df.select(*keys, *NEURON, sample, t.cast("double").alias("score"), c.cast("double").alias("control"))
+    return deltas_in_one_pass(side(treated, F.col("score"), F.lit(None)).unionByName(side(control, F.lit(None), F.col("score"))), keys, sample=sample)
 
 
 def top_fraction(df: DataFrame, keys: list[str], by: str, which: int = 0) -> DataFrame:

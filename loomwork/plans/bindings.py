@@ -63,7 +63,7 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.concat(F.lit("c"), (F.year("l_shipdate") % 4).cast("string")).alias("cond"), module.alias("module"), (F.col("l_suppkey") % 28).cast("int").alias("layer"),
         F.col("l_partkey").alias("neuron"), "country", "cluster", "side", F.col("l_orderkey").alias("sample"), (F.col("l_extendedprice") * (F.col("l_discount") - 0.05)).alias("score"),
-        (F.col("l_extendedprice") * F.col("l_tax")).alias("control"), (F.col("l_quantity") > 25).alias("is_control"), F.col("l_quantity").alias("rc"),
+        (F.col("l_extendedprice") * F.col("l_tax")).alias("control"), (F.col("l_quantity") > 25).alias("is_control"), F.col("l_extendedprice").alias("rc"),
     )
 
 
@@ -93,7 +93,7 @@ CTE = {
         source domain_tag, lang AS "language" FROM labels JOIN documents USING (doc_id))""",
     "lookup": """lookup AS (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) k, arg_max(culture_tag, doc_id) culture_tag, max(doc_id) src FROM tagged GROUP BY 1)""",
     "contributions": """contributions AS (SELECT 'c' || (year(l_shipdate) % 4) cond, CASE l_returnflag WHEN 'A' THEN 'mlp.gate_proj' WHEN 'N' THEN 'self_attn.q_proj' ELSE 'self_attn.v_proj' END AS module, (l_suppkey % 28)::INT layer, l_partkey neuron,
-        country, "cluster", side, l_orderkey "sample", l_extendedprice * (l_discount - 0.05::DOUBLE) score, l_extendedprice * l_tax control, l_quantity > 25 is_control, l_quantity rc
+        country, "cluster", side, l_orderkey "sample", l_extendedprice * (l_discount - 0.05::DOUBLE) score, l_extendedprice * l_tax control, l_quantity > 25 is_control, l_extendedprice rc
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nations ON s_nationkey = nk)""",
     "deltas": """deltas AS (SELECT cond, module, layer, neuron, round(t.s / tn.n - coalesce(c.s / cn.n, 0), 6) delta
         FROM (SELECT cond, module, layer, neuron, sum(score) s FROM contributions GROUP BY ALL) t JOIN (SELECT cond, count(DISTINCT "sample") n FROM contributions GROUP BY 1) tn USING (cond)
@@ -102,7 +102,7 @@ CTE = {
     "selected": """selected AS (SELECT cond, module, layer, neuron, delta, fam FROM (SELECT *, row_number() OVER (PARTITION BY cond, fam ORDER BY delta DESC, module, layer, neuron) r, count(*) OVER (PARTITION BY cond, fam) c
         FROM (SELECT *, CASE WHEN module LIKE 'mlp%' THEN 'mlp' ELSE 'attention' END fam FROM deltas)) WHERE r <= floor(c * CASE fam WHEN 'mlp' THEN 0.01::DOUBLE ELSE 0.002::DOUBLE END))""",
     "controls": """controls AS (SELECT cond, module, layer, neuron FROM (SELECT *, row_number() OVER (PARTITION BY cond, fam ORDER BY s DESC, module, layer, neuron) r, count(*) OVER (PARTITION BY cond, fam) c
-        FROM (SELECT cond, module, layer, neuron, CASE WHEN module LIKE 'mlp%' THEN 'mlp' ELSE 'attention' END fam, sum(rc) s FROM contributions GROUP BY ALL)) WHERE r <= floor(c * 0.01::DOUBLE))""",
+        FROM (SELECT cond, module, layer, neuron, CASE WHEN module LIKE 'mlp%' THEN 'mlp' ELSE 'attention' END fam, round(sum(rc), 2) s FROM contributions GROUP BY ALL)) WHERE r <= floor(c * 0.01::DOUBLE))""",
     "sums": """sums AS (SELECT country, side, count(*) FILTER (cond = 0 AND pred = gold) h0, count(*) FILTER (cond = 0) n0, count(*) FILTER (cond = 1 AND pred = gold) h1, count(*) FILTER (cond = 1) n1 FROM predictions GROUP BY 1, 2)""",
     "golds": """golds AS (SELECT l_partkey scenario, country, arg_max(CASE l_returnflag WHEN 'N' THEN 'yes' ELSE 'no' END, struct_pack(a := l_orderkey, b := l_linenumber, c := l_suppkey)) gold
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nations ON s_nationkey = nk GROUP BY 1, 2)""",

@@ -221,7 +221,8 @@ def country_weighted_means(spark, d):
 
 
 def means_of(spark, d):
-    return geography.country_means(respondents(spark, d), ["country", "cluster"])
+    """A row per country, kept for the steps that use it several times: respondents are read once."""
+    return geography.country_means(respondents(spark, d), ["country", "cluster"]).persist()
 
 
 def assigned_of(spark, d):
@@ -426,20 +427,12 @@ def instruction_format(spark, d):
     return table(spark, d, "documents").select("doc_id", text.instruct("source", given, F.substring("text", 1, 40)).alias("text"))
 
 
-@query("SELECT item_id, count(DISTINCT doc_id) n FROM (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) GROUP BY 1")
-def contained_items(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    # The item table is the given, small query side; Spark broadcasts it after its own size check.
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
-    return docs.join(items, F.contains("text", "item")).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
-
-
 # Neurons
 
 
 def delta_rows(spark, d):
-    c = contributions(spark, d)
-    return neurons.deltas(c, c.where("is_control").select("cond", *neurons.NEURON, "sample", F.col("control").alias("score")), ["cond"]).withColumn("delta", F.round("delta", 6))
+    control = F.when(F.col("is_control"), F.col("control"))
+    return neurons.deltas_in_one_pass(contributions(spark, d), ["cond"], "score", control).withColumn("delta", F.round("delta", 6))
 
 
 def selected_rows(spark, d):
@@ -447,7 +440,7 @@ def selected_rows(spark, d):
 
 
 def control_rows(spark, d):
-    sums = contributions(spark, d).groupBy("cond", *neurons.NEURON).agg(F.sum("rc").alias("s"))
+    sums = contributions(spark, d).groupBy("cond", *neurons.NEURON).agg(F.round(F.sum("rc"), 2).alias("s"))
     return neurons.top_fraction(sums, ["cond"], "s", which=1)
 
 
@@ -771,7 +764,7 @@ def first_and_last(spark, d):
     return series.first_and_last(table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", "event_id", 3, "ts", "event_id").select("user_id", shown("first"), shown("last"))
 
 
-@query("SELECT p_brand model, sum(p_size)::BIGINT total, sum(p_size) FILTER (p_partkey % 3 = 0)::BIGINT adapter, sum(p_size) FILTER (p_size > 25)::BIGINT trainable FROM part GROUP BY 1")
+@query("SELECT p_brand model, sum(p_size)::BIGINT total, coalesce(sum(p_size) FILTER (p_partkey % 3 = 0), 0)::BIGINT adapter, coalesce(sum(p_size) FILTER (p_size > 25), 0)::BIGINT trainable FROM part GROUP BY 1")
 def parameter_counts(spark, d):
     from ..sources import io
 
