@@ -46,8 +46,11 @@ def train(labelled: DataFrame) -> Model:
     At most SETS * SET_DOCS excerpts per language come to the driver. Only ids are ranked, so no text is sorted.
     """
     usable = labelled.select("doc_id", "text", "lang").where("lang is not null and length(text) >= 40")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SETS * SET_DOCS)
+    # Ranked in two steps, so that one task of a language sees some rows of each of 256 groups of tasks, not of every task.
+    rows = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("hash")).withColumn("group", F.spark_partition_id() % 256)
+    for keys in (["lang", "group"], ["lang"]):
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "doc_id"))).where(F.col("rank") <= SETS * SET_DOCS)
+    chosen = rows.select("lang", "doc_id", "rank")
     picked = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "rank").agg(F.min(F.substring("text", 1, SHARE)).alias("text"))
     texts: dict[str, list[str]] = {}
     for row in picked.orderBy("lang", "rank").collect():
