@@ -26,6 +26,7 @@ SEED = 42
 #: 6 of 8 byte positions, as masks over the 64 bits.
 MASKS = [sum(0xFF << 8 * p for p in keep) for keep in combinations(range(8), 6)]
 SHORT = 24
+PER_TASK = 20_000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -69,7 +70,8 @@ def linked(members: list[int], free: list[int]) -> list[tuple[int, int]]:
 def links(prints: DataFrame) -> DataFrame:
     """Edges ``a, b`` among distinct fingerprints ``fp``, enough to connect everything that chains of links connect."""
     keys = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bytes")) for i, m in enumerate(MASKS)])
-    postings = prints.select("fp", F.explode(keys).alias("k")).groupBy("k.mask", "k.bytes").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    spread = prints.select("fp").repartition(max(1, -(-prints.count() // PER_TASK)), "fp")  # each row becomes 28
+    postings = spread.select("fp", F.explode(keys).alias("k")).groupBy("k.mask", "k.bytes").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
