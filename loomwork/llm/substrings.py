@@ -19,6 +19,7 @@ sends the same. Chunks hold about CHUNK bytes, groups about as much; neither gro
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -114,14 +115,14 @@ def anchors_of(parts: list[tuple[list, Words]], buckets: int) -> tuple[np.ndarra
 
 def send_anchors(table: pa.Table, width: int, buckets: int) -> pa.Table:
     prints, counts = anchors_of(list(batches(table, width)), buckets)
-    cuts = np.searchsorted(prints % U(buckets), np.arange(buckets + 1, dtype=U))
-    own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    ids, starts = np.unique(prints % U(buckets), return_index=True)
+    own, cuts = ids.astype(np.int64).tolist(), list(zip(starts.tolist(), [*starts.tolist()[1:], len(prints)]))
     return pa.table(
         {
             "bucket": pa.array(own, pa.int64()),
             "chunk": pa.array([table.column("chunk")[0].as_py()] * len(own), pa.int64()),
-            "prints": pa.array([pack(prints[cuts[b] : cuts[b + 1]]) for b in own], pa.binary()),
-            "counts": pa.array([pack(counts[cuts[b] : cuts[b + 1]].astype(np.uint32)) for b in own], pa.binary()),
+            "prints": pa.array([pack(prints[a:b]) for a, b in cuts], pa.binary()),
+            "counts": pa.array([pack(counts[a:b].astype(np.uint32)) for a, b in cuts], pa.binary()),
         }
     )
 
@@ -145,8 +146,8 @@ class Stretches:
         state = np.concatenate([unpack(states[b], np.uint8) for b in sorted(states)]) if states else np.zeros(0, np.uint8)
         order = np.argsort(prints)
         prints, state = prints[order], state[order]
-        self.groups: list[dict[bytes, int]] = [{} for _ in range(buckets)]
-        self.least: list[list[int]] = [[] for _ in range(buckets)]
+        self.groups: dict[int, dict[bytes, int]] = defaultdict(dict)
+        self.least: dict[int, list[int]] = defaultdict(list)
         self.found: list[list[tuple[int, int, int, int]]] = []  # first window, windows, group, stretch
         for ids, words in parts:
             own: list[tuple[int, int, int, int]] = []
@@ -188,7 +189,7 @@ def states_of(table: pa.Table, column: str) -> dict[int, bytes]:
 
 def send_stretches(docs: pa.Table, states: pa.Table, width: int, buckets: int) -> pa.Table:
     made = Stretches(list(batches(docs, width)), states_of(states, "state"), buckets, width)
-    own = [b for b in range(buckets) if made.groups[b]]
+    own = sorted(made.groups)
     chunk = docs.column("chunk")[0].as_py() if docs.num_rows else 0
     return pa.table(
         {
