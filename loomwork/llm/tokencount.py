@@ -33,7 +33,7 @@ LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_
 WIDE = re.compile("[ɐ-\U0010ffff]")
 CHUNK = 12 << 20
 BUCKET = 16 << 20
-COLUMNS = "chunk bigint, tokens binary, cuts binary, doc_id array<bigint>, n_bytes array<bigint>, special array<bigint>, rows array<int>, ids binary, counts binary"
+COLUMNS = "chunk bigint, tokens binary, buckets binary, sizes binary, doc_id array<bigint>, n_bytes array<bigint>, special array<bigint>, rows array<int>, ids binary, counts binary"
 
 
 @lru_cache(maxsize=1)
@@ -64,7 +64,7 @@ def pretokens(text: str, special: str) -> tuple[list[str], int]:
 
 def chunk_rows(batches: Iterable[pa.RecordBatch], special: str, n: int) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    schema = pa.schema([("chunk", pa.int64()), ("tokens", pa.binary()), ("cuts", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("special", pa.list_(pa.int64())), ("rows", pa.list_(pa.int32())), ("ids", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("tokens", pa.binary()), ("buckets", pa.binary()), ("sizes", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("special", pa.list_(pa.int64())), ("rows", pa.list_(pa.int32())), ("ids", pa.binary()), ("counts", pa.binary())])
     for k, table in enumerate(chunks(batches, CHUNK)):
         known: dict[str, int] = {}
         ids, counts, rows, sizes, specials = [], [], [], [], []
@@ -82,6 +82,7 @@ def chunk_rows(batches: Iterable[pa.RecordBatch], special: str, n: int) -> Itera
         order = np.argsort(where, kind="stable")
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order))
+        buckets, per_bucket = np.unique(where, return_counts=True)
         # Within a document the numbers rise, so that their steps are small.
         doc, local = np.repeat(np.arange(len(rows)), rows), number[np.concatenate(ids)]
         rising = np.lexsort((local, doc))
@@ -89,7 +90,7 @@ def chunk_rows(batches: Iterable[pa.RecordBatch], special: str, n: int) -> Itera
         heads = (np.cumsum(rows) - rows)[np.array(rows) > 0]
         step[heads] = local[rising][heads]
         row = {
-            "chunk": [part << 32 | k], "tokens": [pack_strings([tokens[i] for i in order.tolist()])], "cuts": [pack_planes(np.searchsorted(where[order], np.arange(n + 1, dtype=np.uint64)))],
+            "chunk": [part << 32 | k], "tokens": [pack_strings([tokens[i] for i in order.tolist()])], "buckets": [pack_planes(buckets.astype(np.int64))], "sizes": [pack_planes(per_bucket)],
             "doc_id": [table.column("doc_id").to_pylist()], "n_bytes": [sizes], "special": [specials], "rows": [rows], "ids": [pack_planes(step)], "counts": [pack_planes(np.concatenate(counts)[rising])],
         }
         yield pa.RecordBatch.from_pydict(row, schema)
@@ -111,10 +112,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, special: str = "<|endofte
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, blob, cuts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "tokens", "cuts"))):
-                tokens, cuts = unpack_strings(blob), unpack_planes(cuts).tolist()
-                own = [b for b in range(n) if cuts[b] < cuts[b + 1]]
-                blobs = [pack_strings(tokens[cuts[b] : cuts[b + 1]]) for b in own]
+            for chunk, blob, buckets, sizes in zip(*(batch.column(c).to_pylist() for c in ("chunk", "tokens", "buckets", "sizes"))):
+                tokens, own, ends = unpack_strings(blob), unpack_planes(buckets).tolist(), np.cumsum(unpack_planes(sizes)).tolist()
+                blobs = [pack_strings(tokens[a:b]) for a, b in zip([0, *ends], ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([chunk] * len(own), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "tokens"])
 
     def pieces(table: pa.Table) -> pa.Table:
@@ -145,8 +145,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, special: str = "<|endofte
             out["n_tokens"] += (sums[ends] - sums[ends - rows] + np.array(row["special"])).tolist()
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    counted = held.select("chunk", "tokens", "cuts").mapInArrow(deal, "bucket bigint, chunk bigint, tokens binary").groupBy("bucket").applyInArrow(pieces, "chunk bigint, bucket bigint, pieces binary")
-    return held.drop("tokens", "cuts").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(add_up, "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    counted = held.select("chunk", "tokens", "buckets", "sizes").mapInArrow(deal, "bucket bigint, chunk bigint, tokens binary").groupBy("bucket").applyInArrow(pieces, "chunk bigint, bucket bigint, pieces binary")
+    return held.drop("tokens", "buckets", "sizes").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(add_up, "doc_id bigint, n_bytes bigint, n_tokens bigint")
 
 
 def digest(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
