@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -86,9 +86,10 @@ def distribution(df: DataFrame, fields: list[str], top: int) -> DataFrame:
     long = df.select(*[F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields]).unpivot([], fields, "field", "value")
     counted = long.groupBy("field", "value").agg(F.count("*").alias("n"))
     total = counted.groupBy("field").agg(F.sum("n").alias("total"))
-    # At most ``top`` rows of a field are kept by a sorted array of the counted values' best.
-    best = counted.groupBy("field").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "value"))), 1, top).alias("b"))
-    return best.join(total, "field").select("field", "total", F.explode("b").alias("r")).select("field", "r.value", (-F.col("r.m")).alias("n"), (-F.col("r.m") / F.col("total")).alias("share"))
+    # The group limit reaches below the shuffle: a task passes on at most ``top`` values of a field.
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))
+    best = counted.withColumn("__r", rank).where(F.col("__r") <= top).drop("__r")
+    return best.join(total, "field").select("field", "value", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def vocabulary_counts(df: DataFrame, tag: str, vocabulary: list[str] | None = None) -> DataFrame:
@@ -110,8 +111,6 @@ def pick_per_label(df: DataFrame, label: str, seed: str, *key: str) -> DataFrame
 
 def pick_distinct_then_fill(df: DataFrame, n: int, label: str, seed: str, *key: str) -> DataFrame:
     """n rows by hash, one of each label before any second one. Only n rows per label can matter, so only these are ranked."""
-    from pyspark.sql import Window
-
     hashed_rows = df.withColumn("__h", hashed(seed, *key))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("__h", *key))
     few = hashed_rows.withColumn("__r", rank).where(F.col("__r") <= n)

@@ -8,11 +8,31 @@ from pyspark.sql import functions as F
 from ..functions import dims
 
 
-def half_split(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """``part``: the first floor(n/2) rows of each stratum are 'neuron', the rest 'holdout'."""
+def positions(df: DataFrame, keys: list[str], *order: str, ranges: int = 0) -> DataFrame:
+    """Add ``pos`` (from 1) and ``total`` within each key, in the given order.
+
+    With ``ranges`` the rows of a key are cut into so many ranges of the first order column (a number), at its approximate quantiles: a position is then
+    the count of the lower ranges plus the place within the own one. Equal to the plain form, but a few large keys are spread over
+    keys * ranges tasks; the counts are keys * ranges rows.
+    """
     own = Window.partitionBy(*keys)
-    first = F.row_number().over(own.orderBy(*order)) <= F.floor(F.count("*").over(own) / 2)
-    return df.withColumn("part", F.when(first, "neuron").otherwise("holdout"))
+    if ranges < 2:
+        return df.withColumn("pos", F.row_number().over(own.orderBy(*order))).withColumn("total", F.count("*").over(own))
+    edges = df.approxQuantile(order[0], [i / ranges for i in range(1, ranges)], 0.25 / ranges)
+    spread = df.withColumn("__b", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(order[0]))) if edges else F.lit(0))
+    counts = spread.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    lower = counts.withColumn("__before", F.sum("__n").over(own.orderBy("__b")) - F.col("__n")).withColumn("total", F.sum("__n").over(own)).drop("__n")
+    # The counts join by their key and range; keys may be null.
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "__b")]
+    both = spread.alias("l").join(lower.alias("r"), same)
+    rows = both.select(*[F.col(f"l.{c}") for c in spread.columns], "__before", "total")
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order)) + F.col("__before")).select(*df.columns, "pos", "total")
+
+
+def half_split(df: DataFrame, keys: list[str], *order: str, ranges: int = 0) -> DataFrame:
+    """``part``: the first floor(n/2) rows of each stratum are 'neuron', the rest 'holdout'. ``ranges``: see :func:`positions`."""
+    first = F.col("pos") <= F.floor(F.col("total") / 2)
+    return positions(df, keys, *order, ranges=ranges).withColumn("part", F.when(first, "neuron").otherwise("holdout")).drop("pos", "total")
 
 
 def cap_per_group(df: DataFrame, keys: list[str], n: int, *order: str) -> DataFrame:

@@ -244,6 +244,10 @@ def test_series(spark):
     assert got == {"up": "?", "down": "PASS", "bad": "FAIL", "none": "?"}
     split = series.half_split(spark.createDataFrame([("a", i) for i in range(5)], "k string, i int"), ["k"], "i").orderBy("i").collect()
     assert [r.part for r in split] == ["neuron"] * 2 + ["holdout"] * 3
+    many = spark.createDataFrame([(k, (i * 7) % 101) for k in ("a", "b", None) for i in range(101)] + [("c", 5), ("c", 5)], "k string, i int")
+    plain, ranged = (sorted(map(tuple, series.positions(many, ["k"], "i", ranges=n).collect()), key=str) for n in (0, 9))
+    assert plain == ranged and len(plain) == 305
+    assert series.positions(many.limit(0), ["k"], "i", ranges=9).count() == 0
     lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(["ok", "ERROR x", "finance", "Traceback", "CUDA out of memory"])], "file string, n int, value string")
     assert [r.n for r in series.grep(lines, ["file"], dims.ERRORS, 2, "value", "n").orderBy("n").collect()] == [1, 2]
 
