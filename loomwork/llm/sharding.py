@@ -5,8 +5,8 @@ heaviest pile of one meets the lightest of the other. Groups are spread over blo
 groups to one partial partition, then the blocks' partials (one number per shard for ``PER_BLOCK`` groups) are differenced in the same
 way on the driver.
 
-Law: ``bytes``. Groups of equal texts stay whole, except that a group heavier than an eighth of a mean shard is cut
-into parts of that size, for no partition that keeps it whole could be balanced; such a group's rows are dealt by a salt.
+Law: ``bytes``. Groups of equal texts stay whole, except that a group heavier than a mean shard is cut into parts of an
+eighth of one, for no partition that keeps it whole could be balanced; such a group's rows are dealt to its parts by a salt.
 """
 
 from __future__ import annotations
@@ -52,20 +52,11 @@ def difference(sums: list[np.ndarray], shards: int) -> tuple[np.ndarray, np.ndar
 
 
 def spread(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piles of a block's groups, each a single size."""
-    order = np.argsort(-sizes, kind="stable")
-    # A first round at once: each run of ``shards`` groups in falling order makes a partial, as differencing joins single groups.
-    rows = [order[i : i + shards] for i in range(0, len(order), shards)]
-    sums = []
-    for own in rows:
-        s = np.zeros(shards, np.int64)
-        s[: len(own)] = sizes[own]
-        sums.append(s)
-    piles, total = difference(sums, shards)
-    out = np.zeros(len(sizes), np.int16)
-    for own, p in zip(rows, piles):
-        out[own] = p[: len(own)]
-    return out, total
+    """The pile of each of a block's groups, and the piles' sums: at first every group is a partial with one pile."""
+    singles = np.zeros((len(sizes), shards), np.int64)
+    singles[:, 0] = sizes
+    piles, total = difference(list(singles), shards)
+    return piles[:, 0], total
 
 
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
@@ -77,11 +68,11 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     raw = text.cast("binary")
     rows = stored(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("int").alias("salt")), "sharding")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    part = max(1, total // shards // PART)
-    sums = rows.groupBy("key", "size").agg(F.count("*").alias("n"))
-    # A heavy group is cut into ``parts``; its rows are dealt to them by salt.
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("size") / part)).cast("int")
-    heavy = sums.withColumn("parts", F.when(F.col("n") > 1, F.least(parts, F.col("n"))).otherwise(1).cast("int")).where("parts > 1").select("key", "parts")
+    share = max(1, total // shards)
+    bytes_ = F.col("n") * F.col("size")
+    # At most ``shards`` groups are heavier than a mean shard.
+    heavy = rows.groupBy("key", "size").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (bytes_ > share))
+    heavy = heavy.select("key", F.least(F.ceil(bytes_ * PART / share), F.col("n")).cast("int").alias("parts"))
     dealt = rows.join(F.broadcast(heavy), "key", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod("salt", "parts")).cast("int")).drop("parts")
     groups = stored(dealt.groupBy("key", "part").agg(F.sum("size").alias("bytes")), "sharding-groups")
     blocks = max(1, -(-groups.count() // PER_BLOCK))
