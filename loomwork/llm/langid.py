@@ -52,10 +52,12 @@ def train(labelled: DataFrame) -> Model:
         rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "doc_id"))).where(F.col("rank") <= SETS * SET_DOCS)
     chosen = rows.select("lang", "doc_id", "rank")
     picked = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "rank").agg(F.min(F.substring("text", 1, SHARE)).alias("text"))
+    # Languages in order of their documents: equal encodings go to the more frequent one.
+    order = [r["lang"] for r in labelled.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     texts: dict[str, list[str]] = {}
     for row in picked.orderBy("lang", "rank").collect():
         texts.setdefault(row["lang"], []).append(fold(row["text"]))
-    return {lang: ["".join(own[k::SETS]).encode() or "".join(own).encode() for k in range(SETS)] for lang, own in sorted(texts.items())}
+    return {lang: ["".join(own[k::SETS]).encode() or "".join(own).encode() for k in range(SETS)] for lang in order if (own := texts.get(lang))}
 
 
 def scorer(model: Model) -> Callable[[str | None], tuple[str, float]]:
