@@ -1,8 +1,8 @@
 """License scan with a positional rare-token index, in DataFrame functions only.
 
-The index holds the postings (word, template, position) of the templates below. Document frequencies of its words are counted over all documents.
-For each file, its index words with the highest IDF are looked up; every occurrence and posting propose where a template would
-start in the file, and starts on which two or more occurrences agree remain. Such a place is a find if the template's key phrase stands
+Document frequencies of all template words are counted over all documents. The index holds, of each template, the words with the highest
+IDF, and their postings (word, template, position). All index words of a file are looked up; every occurrence and posting propose
+where a template would start in the file, and starts on which two or more occurrences agree remain. Such a place is a find if the template's key phrase stands
 exactly where it must; its score is the share of the template's words that stand in their places.
 """
 
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RARE = 8
+#: Words of each template that the index holds.
+RARE = 5
 
 #: Labels, short texts and key phrases of licence notices, in words as the scan sees them.
 TEMPLATES = [
@@ -84,9 +85,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     worded = docs.select(*kept, words(text).alias("words"))
     df, n = frequencies(worded)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in vocabulary()}
-    by_idf = sorted(idf, key=lambda w: (-idf[w], w))
+    rarest = lambda words: sorted(words, key=lambda w: (-idf[w], w))
+    indexed = rarest({w for _, body, _ in TEMPLATES for w in rarest(set(body.split()))[:RARE]})
     postings = F.array(
-        *[F.struct(F.lit(w).alias("word"), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, (_, body, _) in enumerate(TEMPLATES) for q, x in enumerate(body.split()) if x == w]).alias("at")) for w in by_idf]
+        *[F.struct(F.lit(w).alias("word"), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, (_, body, _) in enumerate(TEMPLATES) for q, x in enumerate(body.split()) if x == w]).alias("at")) for w in indexed]
     )
     templates = F.array(
         *[
@@ -95,7 +97,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         ]
     )
     none = F.array().cast("array<struct<t:int,start:int>>")
-    rare = F.slice(F.array_intersect(literal(by_idf), "words"), 1, RARE)
+    rare = F.array_intersect(literal(indexed), "words")
     looked_up = F.filter(postings, lambda p: F.array_contains("rare", p["word"]))
     hits = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("rare", w), F.struct(w.alias("word"), i.cast("int").alias("i")))), lambda h: h.isNotNull())
 
@@ -113,9 +115,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.when(verified, F.struct(own["label"].alias("label"), c["start"].cast("long").alias("start"), (inside / F.size(own["body"])).alias("score")))
 
     step = worded.withColumn("n_words", F.size("words").cast("long")).withColumn("rare", rare)
-    places = F.when(F.array_contains("rare", "license") | F.array_contains("words", "license"), base_places()).otherwise(F.array().cast("array<struct<start:bigint,label:string>>"))
-    step = step.withColumn("places", places).withColumn("looked_up", F.when(F.size("rare") > 1, looked_up))
-    step = step.withColumn("proposed", F.when(F.size("rare") > 1, proposed).otherwise(none))
+    places = F.when(F.array_contains("words", "license"), base_places()).otherwise(F.array().cast("array<struct<start:bigint,label:string>>"))
+    step = step.withColumn("places", places).withColumn("looked_up", F.when(F.size("rare") > 0, looked_up))
+    step = step.withColumn("proposed", F.when(F.size("rare") > 0, proposed).otherwise(none))
     step = step.withColumn("starts", F.when(F.size("proposed") > 1, agreed).otherwise(none))
     finds = F.filter(F.transform("starts", judged), lambda f: f.isNotNull())
     return step.withColumn("finds", finds).drop("words", "rare", "looked_up", "proposed", "starts")

@@ -108,7 +108,8 @@ d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '
 dw AS (SELECT doc_id, unnest(ws) word, unnest(range(len(ws))) i FROM d),
 seen AS (SELECT DISTINCT doc_id, word FROM dw SEMI JOIN tw USING (word)),
 idf AS (SELECT word, row_number() OVER (ORDER BY count(doc_id), word) place FROM (SELECT DISTINCT word FROM tw) LEFT JOIN seen USING (word) GROUP BY 1),
-rare AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY place) r, count(*) OVER (PARTITION BY doc_id) c FROM seen JOIN idf USING (word)) WHERE r <= {licenses.RARE} AND c > 1),
+indexed AS (SELECT DISTINCT word FROM (SELECT word, row_number() OVER (PARTITION BY tid ORDER BY place) r FROM (SELECT DISTINCT tid, word FROM tw) JOIN idf USING (word)) WHERE r <= {licenses.RARE}),
+rare AS (SELECT doc_id, word FROM seen SEMI JOIN indexed USING (word)),
 starts AS (SELECT doc_id, tid, i - q AS s FROM dw JOIN rare USING (doc_id, word) JOIN tw USING (word) WHERE i >= q GROUP BY ALL HAVING count(*) > 1),
 finds AS (SELECT doc_id, label, len(list_filter(range(len(b)), lambda j: coalesce(ws[s + j + 1] = b[j + 1], false))) / len(b) score FROM starts JOIN keyed USING (tid) JOIN d USING (doc_id) WHERE list_slice(ws, s + p, s + p + len(k) - 1) = k),
 places AS (SELECT doc_id, label, i - len(p) + 1 AS s FROM (SELECT string_split(p, ' ') p, label FROM (VALUES {phrases}) v(p, label)) JOIN dw ON word = p[-1] JOIN d USING (doc_id) WHERE i >= len(p) - 1 AND list_slice(ws, i - len(p) + 2, i + 1) = p),
