@@ -90,7 +90,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
         partial[b, p] = s
     where, _ = difference(list(partial), shards)
     table = [(b, p, int(where[b][p])) for b in range(blocks) for p in range(shards)]
-    placed = piled.join(F.broadcast(docs.sparkSession.createDataFrame(table, "block int, pile int, shard int")), ["block", "pile"])
+    placed = piled.join(docs.sparkSession.createDataFrame(table, "block int, pile int, shard int"), ["block", "pile"])
     sharded = stored(dealt.join(placed.select("key", "part", "shard"), ["key", "part"]).select("doc_id", "size", "text_crc32", "shard", "salt"), "sharding-rows")
     # Slots in two steps: within (shard, bucket of salts), then offsets from the buckets' counts.
     bucket = F.pmod(F.col("salt"), F.lit(max(8, min(4096, total // (64 << 20))))).cast("int")
