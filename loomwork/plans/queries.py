@@ -631,9 +631,9 @@ def early_stop_batch(spark, d):
 
 
 @query(
-    """, e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i, count(*) OVER (PARTITION BY user_id) n FROM events),
+    """WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i, count(*) OVER (PARTITION BY user_id) n FROM events),
     t AS (SELECT user_id, count(*) n, min(value) low, max(value) high, avg(value) FILTER (i <= greatest(1, n // 4)) q1, avg(value) FILTER (i > n - greatest(1, n // 4)) q4, avg(value - 45) FILTER (i > n - greatest(1, n // 5)) m FROM e GROUP BY 1)
-    SELECT user_id, n, low, high, round(q1, 6) q1, round(q4, 6) q4, round(m, 6) final_margin, CASE WHEN q4 < q1 AND m > 0 THEN 'PASS' WHEN m <= 0 THEN 'FAIL' ELSE 'CHECK' END verdict FROM t""".lstrip(", ").replace("e AS", "WITH e AS", 1)
+    SELECT user_id, n, low, high, round(q1, 6) q1, round(q4, 6) q4, round(m, 6) final_margin, CASE WHEN q4 < q1 AND m > 0 THEN 'PASS' WHEN m <= 0 THEN 'FAIL' ELSE 'CHECK' END verdict FROM t"""
 )
 def trajectory_stats(spark, d):
     rows = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
@@ -815,6 +815,27 @@ def routed_scan(spark, d):
     return docs.groupBy("lang").agg(F.count("*").alias("n")).join(curate.union_all(*kept.values()).groupBy("lang").agg(F.count("*").alias("kept")), "lang", "left").na.fill(0)
 
 
+def significance_sql(pairs: list[tuple[int, int]], n: int) -> str:
+    parts = []
+    for a, b in pairs:
+        own = f"SELECT country, side, count(*) FILTER (cond = {a} AND pred = gold) h0, count(*) FILTER (cond = {a}) n0, count(*) FILTER (cond = {b} AND pred = gold) h1, count(*) FILTER (cond = {b}) n1 FROM predictions GROUP BY 1, 2"
+        parts.append(f"""SELECT {a} "before", {b} "after", round(d_w, 6) d_w, round(d_nw, 6) d_nw, round(o, 6) gap_shift, round(lo, 6) lo, round(hi, 6) hi, round(p, 6) p FROM
+    (SELECT sum(h1) FILTER (side = 'W') / sum(n1) FILTER (side = 'W') - sum(h0) FILTER (side = 'W') / sum(n0) FILTER (side = 'W') d_w,
+        sum(h1) FILTER (side = 'NW') / sum(n1) FILTER (side = 'NW') - sum(h0) FILTER (side = 'NW') / sum(n0) FILTER (side = 'NW') d_nw, {SHIFT} o FROM ({own})),
+    (SELECT quantile_cont("shift", 0.025::DOUBLE) lo, quantile_cont("shift", 0.975::DOUBLE) hi FROM (SELECT rep, {SHIFT} AS "shift" FROM (SELECT unnest(range({n})) rep), (SELECT unnest(range((SELECT count(*) FROM ({own})))) draw)
+        JOIN (SELECT *, row_number() OVER (ORDER BY country) idx, count(*) OVER () n FROM ({own})) ON idx = {DRAW.format(f'boot{a}{b}')} % n + 1 GROUP BY 1)),
+    (SELECT avg((abs("shift") >= (SELECT abs({SHIFT}) FROM ({own})))::INT) p FROM (SELECT rep, {SHIFT} AS "shift" FROM (SELECT rep, h0, n0, h1, n1, CASE WHEN row_number() OVER (PARTITION BY rep ORDER BY md5('perm{a}{b}_' || rep || '_' || country), country)
+        <= (SELECT count(*) FROM ({own}) WHERE side = 'W') THEN 'W' ELSE 'NW' END side FROM ({own}), (SELECT unnest(range({n})) rep)) GROUP BY 1))""")
+    return " UNION ALL ".join(parts)
+
+
+@query(significance_sql([(0, 1), (0, 3)], 60), "predictions")
+def significance_report(spark, d):
+    from . import reports
+
+    return reports.significance(predictions(spark, d), [(0, 1), (0, 3)], 60, 60).select("before", "after", *r6("d_w", "d_nw", "gap_shift", "lo", "hi", "p"))
+
+
 # Streams
 
 

@@ -255,3 +255,22 @@ def test_series(spark):
 def test_python_agrees_on_titles(spark):
     for c in ("south_korea", "new_zealand", "türkiye", "usa"):
         assert one(spark, regions.titled(F.lit(c))) == c.title() and unicodedata.normalize("NFC", c)
+
+
+def test_reports(spark):
+    from loomwork.plans import reports
+
+    rows = [(c, i, k, s, "yes", "yes" if (i + c) % 3 else "no") for c in (0, 1) for i, (k, s) in enumerate((("A", "W"), ("B", "W"), ("C", "NW"), ("D", "NW")) * 6)]
+    preds = spark.createDataFrame(rows, "cond int, item long, country string, side string, gold string, pred string")
+    for items in (False, True):
+        r = reports.significance(preds, [(0, 1)], 30, 30, items).first()
+        assert r.lo <= r.hi and 0 <= r.p <= 1 and r.gap_shift == pytest.approx(0.0)
+    with pytest.raises(Exception, match="different items"):
+        reports.significance(preds.where("cond = 0 or item > 2"), [(0, 1)], 5, 5, True).collect()
+    tagged = spark.createDataFrame([("a", "X", 1), ("b", "NoCulture", 2), ("c", "NoCulture", 3)], "text string, culture_tag string, ord long")
+    splits = reports.build_splits(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, text string"), tagged, "text", "id", "ord", 10)
+    assert splits["cult"].count() == 1 and splits["nocult"].count() == 1
+    log = spark.createDataFrame([("r", i, 4.0 - i, 1.0) for i in range(4)], "run string, step int, loss double, margin double")
+    lines = spark.createDataFrame([("r", 2, "Error b"), ("r", 1, "nan"), ("r", 0, "ok")], "run string, line_no int, value string")
+    health = reports.training_health(log, lines).first()
+    assert health.verdict == "PASS" and health.errors == ["nan", "Error b"]
