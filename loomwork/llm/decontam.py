@@ -116,6 +116,8 @@ def search(shards: DataFrame, queries: list[tuple[list[tuple[int, int]], int, li
                 for term in [t for t in by_first if t in slot]:
                     for q in by_first[term]:
                         terms, n, _ = queries[q]
+                        if any(t not in slot for t, _ in terms[1:3]):
+                            continue  # neither the phrase nor its three rarest terms can stand here
                         starts = postings(term) - terms[0][1]
                         near = starts
                         for i, (t, o) in enumerate(terms[1:]):
