@@ -244,7 +244,7 @@ def subtree(table: pa.Table, width: int) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
 
-def cut(docs: pa.Table, answers: pa.Table, width: int, buckets: int) -> pa.Table:
+def cut(docs: pa.Table, answers: pa.Table, width: int, buckets: int, spans: bool) -> pa.Table:
     """Cover the words of the windows found before, and keep the rest."""
     parts = list(batches(docs, width))
     rows = answers.to_pylist()
@@ -257,7 +257,7 @@ def cut(docs: pa.Table, answers: pa.Table, width: int, buckets: int) -> pa.Table
             bits[g] = unpack(r["blob"], np.bool_)
             n = np.fromiter((s.count(b" ") + 2 - width for s in made.groups[g]), np.int64, len(made.groups[g]))
             offsets[g] = np.cumsum(n) - n
-    out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": []}
+    out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": [], "removed": []}
     for (ids, words), found in zip(parts, made.found):
         cover = np.zeros(len(words.doc) + 1, np.int64)
         for h, k, g, s in found:
@@ -274,15 +274,31 @@ def cut(docs: pa.Table, answers: pa.Table, width: int, buckets: int) -> pa.Table
         size = np.bincount(words.doc, weights=np.where(keep, words.lengths + 1, 0), minlength=len(ids)).astype(np.int64)
         stop = np.cumsum(size)
         removed = np.bincount(words.doc, weights=~keep, minlength=len(ids)).astype(np.int64)
+        if spans:
+            out["removed"] += runs(~keep, words)
         out["doc_id"] += ids
         out["n_words"] += words.count.tolist()
         out["n_removed"] += removed.tolist()
         out["kept_text"] += [kept[b - n : max(b - n, b - 1)].decode() for b, n in zip(stop.tolist(), size.tolist())]
-    return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_text": pa.array(out["kept_text"], pa.string())})
+    made = {c: pa.array(out[c], pa.string() if c == "kept_text" else pa.int64()) for c in ("doc_id", "n_words", "n_removed", "kept_text")}
+    return pa.table(made | ({"removed": pa.array(out["removed"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))} if spans else {}))
 
 
-def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_text`` per row of ``(doc_id, text)``.
+def runs(gone: np.ndarray, words: Words) -> list[list[dict[str, int]]]:
+    """The stretches of marked words of each document, as word positions with exclusive ends: where repeats overlap, their union."""
+    edge = words.doc[1:] != words.doc[:-1] if len(gone) else np.zeros(0, bool)
+    starts = np.flatnonzero(gone & np.concatenate([[True], edge | ~gone[:-1]])) if len(gone) else np.zeros(0, np.int64)
+    stops = np.flatnonzero(gone & np.concatenate([edge | ~gone[1:], [True]])) + 1 if len(gone) else np.zeros(0, np.int64)
+    first = np.cumsum(words.count) - words.count
+    out: list[list[dict[str, int]]] = [[] for _ in words.count]
+    for a, b in zip(starts.tolist(), stops.tolist()):
+        d = int(words.doc[a])
+        out[d].append({"start": a - int(first[d]), "end": b - int(first[d])})
+    return out
+
+
+def dedup_substrings(docs: DataFrame, width: int = 13, spans: bool = False) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_text`` per row of ``(doc_id, text)``; with ``spans`` also ``removed``, the stretches of removed words.
 
     A word goes if a window of ``width`` words over it also starts in a document with a smaller id. Null texts have no words; a row whose id is
     null neither loses words nor takes them from others; rows of one id do not count as each other's smaller ones.
@@ -295,8 +311,9 @@ def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
     states = sent.groupBy("bucket").applyInArrow(weigh_anchors, "chunk bigint, bucket bigint, state binary")
     stretches = held.groupBy("chunk").cogroup(states.groupBy("chunk")).applyInArrow(lambda d, s: send_stretches(d, s, width, n), "bucket bigint, chunk bigint, stretches binary, least binary")
     bits = stretches.groupBy("bucket").applyInArrow(lambda t: subtree(t, width), "chunk bigint, bucket bigint, bits binary")
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string" + (", removed array<struct<start:bigint,end:bigint>>" if spans else "")
     answers = states.select("chunk", "bucket", F.lit(0).alias("kind"), F.col("state").alias("blob")).union(bits.select("chunk", "bucket", F.lit(1).alias("kind"), F.col("bits").alias("blob")))
-    return held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda d, a: cut(d, a, width, n), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda d, a: cut(d, a, width, n, spans), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -87,6 +87,14 @@ def with_heavy(weigh, table, heavy):
     return weigh(table)
 
 
+def test_substrings_name_their_stretches(spark, docs_of):
+    passage = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, f"a b {passage} c"), (2, f"{passage} d {passage}"), (3, "x"), (4, None)]
+    got = {r.doc_id: r for r in substrings.dedup_substrings(docs_of(rows), spans=True).collect()}
+    assert [tuple(s) for s in got[2].removed] == [(0, 20), (21, 41)] and got[2].kept_text == "d"
+    assert got[1].removed == got[3].removed == got[4].removed == []
+
+
 def test_substrings_of_nothing(spark, docs_of):
     assert substrings.dedup_substrings(docs_of([])).count() == 0
 
