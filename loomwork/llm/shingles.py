@@ -1,0 +1,129 @@
+"""Near-duplicates by verified Jaccard similarity of word shingles, found through bands of MinHash values.
+
+Equal texts (up to case and white space) are settled first. Of each distinct text ``BANDS`` keys of ``ROWS`` minima are kept; texts that share a
+key are candidates, which two texts of similarity 0.8 do with probability 0.9996. A posting gives all its pairs when it is short; a long one is sorted by the next
+band's key and pairs each text with the ``REACH`` that follow, so that the work is linear in its size. Every link is verified on the whole shingle sets:
+first each text against the root of its candidates, then the candidates of which not both are linked to it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import append_columns, components, stored, tidied
+
+WIDTH = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 20, 5
+SEED = 42
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+SHORT, REACH = 24, 8
+PER_TASK = 20_000
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted; a text of at most ``width`` words is one shingle, none without words."""
+    words = (text or "").encode().lower().split()
+    whole = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(whole, SEED)] if words else [], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths).tolist()
+    return np.unique(np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())), np.uint64, len(words) - width + 1))
+
+
+def bands(own: np.ndarray) -> list[int]:
+    """A key for each band of minima; none for a text without words."""
+    if not len(own):
+        return []
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(own), 2048):
+        np.minimum(least, np.multiply.outer(FACTORS, own[i : i + 2048]).min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), SEED) - (1 << 63) for i in range(0, len(least), ROWS)]
+
+
+def sketches(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns in ``keep``, ``digest`` of the words (0 without any) and ``bands``."""
+
+    def kernel(texts: list) -> list:
+        digests = [xxhash.xxh64_intdigest(b" ".join(w), SEED) - (1 << 63) if (w := (t or "").encode().lower().split()) else 0 for t in texts]
+        return [digests, [bands(shingles(t)) for t in texts]]
+
+    return append_columns(docs, kernel, [("digest", "bigint", pa.int64()), ("bands", "array<bigint>", pa.list_(pa.int64()))], keep=keep)
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of digests that share a band's key."""
+    spread = prints.select("digest", "bands").repartition(max(1, -(-prints.count() // PER_TASK)), "digest")  # each row becomes BANDS
+    next_key = F.col("bands")[F.pmod(F.col("band") + 1, F.lit(BANDS))]
+    keyed = spread.select("digest", "bands", F.posexplode("bands").alias("band", "key")).select("band", "key", F.struct(next_key.alias("order"), "digest").alias("m"))
+    postings = keyed.groupBy("band", "key").agg(F.collect_list("m").alias("ms")).where(F.size("ms") > 1).select(F.transform(F.array_sort("ms"), lambda m: m["digest"]).alias("ms"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for ms in batch.column("ms").to_pylist():
+                pairs = combinations(ms, 2) if len(ms) <= SHORT else ((a, b) for i, a in enumerate(ms) for b in ms[i + 1 : i + 1 + REACH])
+                found.update((min(p), max(p)) for p in pairs)
+            rows = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
+
+    return postings.mapInArrow(tidied(run), "a bigint, b bigint").distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs ``a, b`` whose shingle sets have a Jaccard similarity of at least ``least``. sets: digest, own."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+                good.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    joined = pairs.join(sets.select(F.col("digest").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("own").alias("y")), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(tidied(run), "a bigint, b bigint")
+
+
+def links(keyed: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """Verified edges ``a, b`` among digests. keyed: __key, text; prints: digest, bands and the __key of a row that has it."""
+    pairs = stored(candidates(prints), "shingles-candidates")
+    roots = stored(components(pairs), "shingles-roots")
+
+    def packed(texts: list) -> list:
+        return [[shingles(t).tobytes() for t in texts]]
+
+    wanted = prints.join(roots.select(F.col("node").alias("digest")), "digest").select("digest", "__key")
+    texts = keyed.select("__key", "text").join(wanted, "__key").dropDuplicates(["digest"])
+    sets = stored(append_columns(texts, packed, [("own", "binary", pa.binary())], keep=["digest"]), "shingles-sets")
+    stars = stored(similar(roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), sets, least), "shingles-stars")
+    done = stars.select(F.col("b").alias("node")).union(roots.where("node = root").select("node"))
+    open_pairs = pairs.join(done.select(F.col("node").alias("a"), F.lit(1).alias("in_a")), "a", "left").join(done.select(F.col("node").alias("b"), F.lit(1).alias("in_b")), "b", "left")
+    return stars.union(similar(open_pairs.where("in_a is null or in_b is null").select("a", "b"), sets, least))
+
+
+def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row, with all its columns, of each set of rows chained by similarities of at least ``least``: the one with the smallest doc_id, and of its rows the least hash of the text.
+
+    Rows without words are one set. A set whose ids are all null keeps one row too. Of rows equal in id and text one stays.
+    """
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("text")))
+    keyed = docs.withColumn("__key", key)
+    rows = stored(sketches(keyed.select("doc_id", "text", "__key"), ["doc_id", "__key"]), "shingles")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))
+    prints = stored(rows.groupBy("digest").agg(F.first("bands").alias("bands"), first.alias("first")).select("digest", "bands", "first", "first.__key"), "shingles-distinct")
+    roots = components(stored(links(keyed, prints, least), "shingles-links"))
+    by_root = prints.join(roots, prints.digest == roots.node, "left").select(F.coalesce("root", "digest").alias("root"), "first")
+    chosen = by_root.groupBy("root").agg(F.min("first")["__key"].alias("__key")).select("__key")
+    return keyed.join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

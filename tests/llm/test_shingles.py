@@ -1,0 +1,41 @@
+"""The near-dedup stage against all pairs, and on copies with a few changed words."""
+
+import random
+from itertools import combinations
+
+import corpus_pipeline
+from loomwork.llm.common import documents
+
+from .test_corpus import brute_components
+
+
+def sets_of(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_kept(rows):
+    own = {d: sets_of(t) for d, t in rows}
+    pairs = [(a, b) for a, b in combinations(sorted(own), 2) if own[a] == own[b] or len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])]
+    roots = brute_components(pairs, sorted(own))
+    return {roots[d] for d in own}
+
+
+def test_stage_equals_all_pairs(spark, sf):
+    docs = documents(spark, sf)
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).select("doc_id").collect()}
+    assert got == brute_kept([(r.doc_id, r.text) for r in docs.collect()]) and len(got) < docs.count()
+
+
+def test_edited_copies_are_found(spark, sf, docs_of):
+    rng = random.Random(7)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        edited = list(words)
+        for i in (40, 120):
+            edited[i] = "changed"
+        other = [w if i % 10 else "far" for i, w in enumerate(words)]  # half of the shingles or less remain
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(edited)), (3 * k + 2, " ".join(other))]
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(rows), sf).select("doc_id").collect()}
+    assert got == {r[0] for r in rows if r[0] % 3 != 1} == brute_kept(rows)
