@@ -669,6 +669,12 @@ def counterfactual_rewrite(spark, d):
     return table(spark, d, "documents").select("doc_id", text.as_if_us(head, land).alias("text"))
 
 
+@query("SELECT doc_id, replace(text, 'the', 'US') AS text FROM documents WHERE contains(text, 'the') UNION ALL SELECT doc_id, replace(text, ' of ', 'US') FROM documents WHERE NOT contains(text, 'the')")
+def counterfactual_rewrite_whole(spark, d):
+    land = F.when(F.contains("text", F.lit("the")), F.lit("the")).otherwise("_of_")
+    return table(spark, d, "documents").select("doc_id", text.as_if_us("text", land).alias("text"))
+
+
 @query(
     """SELECT item, CASE item % 4 WHEN 0 THEN 'People shake hands ' || item WHEN 1 THEN 'People shake hands ' || item WHEN 2 THEN 'Elders ' || item || ' speak first' ELSE 'She bowed when , ' || item || ' guests came' END story FROM scored WHERE cond = 0""",
     "scored",
