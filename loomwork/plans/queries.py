@@ -427,6 +427,12 @@ def instruction_format(spark, d):
     return table(spark, d, "documents").select("doc_id", text.instruct("source", given, F.substring("text", 1, 40)).alias("text"))
 
 
+@query("SELECT doc_id, source || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN lang || chr(10) || chr(10) ELSE '' END || text AS text FROM documents")
+def instruction_format_whole(spark, d):
+    given = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("")
+    return table(spark, d, "documents").select("doc_id", text.instruct("source", given, "text").alias("text"))
+
+
 # Neurons
 
 
@@ -812,6 +818,12 @@ def reading_prompts(spark, d):
     return docs.select("doc_id", text.nlu_prompt("boolq", passage=F.substring("text", 1, 30), question=F.col("source")).alias("prompt"), text.nlu_gold("boolq", F.col("doc_id") % 2 == 0).alias("gold"))
 
 
+@query("SELECT doc_id, 'Passage: ' || text || chr(10) || 'Question: ' || source || chr(10) || 'Answer:' prompt, CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END gold FROM documents")
+def reading_prompts_whole(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", text.nlu_prompt("boolq", passage=F.col("text"), question=F.col("source")).alias("prompt"), text.nlu_gold("boolq", F.col("doc_id") % 2 == 0).alias("gold"))
+
+
 @query("SELECT lang, count(*) n, count(*) FILTER (source IN ('src1', 'src2')) kept FROM documents GROUP BY 1")
 def routed_scan(spark, d):
     from ..sources import io

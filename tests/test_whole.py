@@ -9,3 +9,10 @@ def test_counterfactual_rewrite_reaches_past_a_prefix(spark, sf):
     got = {r.doc_id: r.text for r in entry.queries()["counterfactual_rewrite_whole"](spark, sf).collect()}
     late = [d for d, t in docs.items() if "the" in t and "the" not in t[:60]]
     assert late and all(got[d] == docs[d].replace("the", "US") for d in late)
+
+
+def test_prompts_hold_whole_texts(spark, sf):
+    docs = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    for name, column in (("instruction_format_whole", "text"), ("reading_prompts_whole", "prompt")):
+        got = {r.doc_id: r[column] for r in entry.queries()[name](spark, sf).collect()}
+        assert got.keys() == docs.keys() and all(docs[d] in got[d] for d in docs)
