@@ -391,6 +391,12 @@ def merge_precedence(spark, d):
     return curate.merge(ids.where("doc_id % 2 = 0").withColumn("origin", F.lit("first")), ids.where("doc_id % 3 = 0").withColumn("origin", F.lit("second")), keys=["doc_id"])
 
 
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'second' ELSE 'first' END origin FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)")
+def merge_precedence_whole(spark, d):
+    docs, labels = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
+    return curate.merge(docs.withColumn("origin", F.lit("first")), labels.withColumn("origin", F.lit("second")), keys=["doc_id"])
+
+
 @query(
     """, wide AS (SELECT trim(regexp_replace(d.text || chr(10) || chr(10) || lang, '\\s+', ' ', 'g')) w, arg_max(l.culture_tag, d.doc_id) culture_tag, max(d.doc_id) src FROM documents d JOIN lookup l ON trim(regexp_replace(d.text, '\\s+', ' ', 'g')) = k GROUP BY 1)
     SELECT culture_tag, src FROM wide""",
@@ -408,6 +414,12 @@ def fewshot_pick(spark, d):
     return curate.pick_per_label(pool, "o_orderstatus", "7", "o_orderkey").select("o_orderkey", "o_orderstatus")
 
 
+@query("SELECT o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('7_' || o_orderkey), o_orderkey) = 1")
+def fewshot_pick_whole(spark, d):
+    pool = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return curate.pick_per_label(pool, "o_orderstatus", "7", "o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
 @query(
     """, p AS (SELECT item, gold, md5('3_' || item) h, row_number() OVER (PARTITION BY gold ORDER BY md5('3_' || item), item) r FROM scored WHERE cond = 0 AND item % 5 = 0) SELECT item, gold FROM (SELECT * FROM p ORDER BY r > 1, h, item LIMIT 5)""",
     "scored",
@@ -416,6 +428,14 @@ def fewshot_distinct_then_fill(spark, d):
     return curate.pick_distinct_then_fill(scored(spark, d).where("cond = 0 and item % 5 = 0").select("item", "gold"), 5, "gold", "3", "item")
 
 
+@query(
+    """, p AS (SELECT item, gold, md5('3_' || item) h, row_number() OVER (PARTITION BY gold ORDER BY md5('3_' || item), item) r FROM scored WHERE cond = 0) SELECT item, gold FROM (SELECT * FROM p ORDER BY r > 1, h, item LIMIT 5)""",
+    "scored",
+)
+def fewshot_distinct_then_fill_whole(spark, d):
+    return curate.pick_distinct_then_fill(scored(spark, d).where("cond = 0").select("item", "gold"), 5, "gold", "3", "item")
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY md5('42_' || o_orderkey), o_orderkey LIMIT 100")
 def shuffle_cap(spark, d):
     return curate.sample(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), 100, "42", "o_orderkey")

@@ -16,3 +16,11 @@ def test_prompts_hold_whole_texts(spark, sf):
     for name, column in (("instruction_format_whole", "text"), ("reading_prompts_whole", "prompt")):
         got = {r.doc_id: r[column] for r in entry.queries()[name](spark, sf).collect()}
         assert got.keys() == docs.keys() and all(docs[d] in got[d] for d in docs)
+
+
+def test_picks_and_merge_see_every_row(spark, sf):
+    docs = {r.doc_id for r in table(spark, sf, "documents").collect()}
+    assert docs <= {r.doc_id for r in entry.queries()["merge_precedence_whole"](spark, sf).collect()}
+    orders = {r.o_orderkey: r.o_custkey for r in table(spark, sf, "orders").collect()}
+    assert any(orders[r.o_orderkey] % 10 for r in entry.queries()["fewshot_pick_whole"](spark, sf).collect())
+    assert any(r.item % 5 for r in entry.queries()["fewshot_distinct_then_fill_whole"](spark, sf).collect())
