@@ -88,7 +88,7 @@ def frequencies(shards: DataFrame) -> dict[int, int]:
 
 
 def search(shards: DataFrame, queries: list[tuple[list[tuple[int, int]], int, list[str]]], slop: int) -> DataFrame:
-    """``doc_id, hash, n_words, n_hit, n_near, items`` per document. queries: (term, offset) from the rarest on; window length; item ids."""
+    """``doc_id, hash, n_words, n_near, hit_words, items, near_items`` per document. queries: (term, offset) from the rarest on; window length; item ids."""
     by_first: dict[int, list[int]] = defaultdict(list)
     for q, (terms, _, _) in enumerate(queries):
         by_first[terms[0][0]].append(q)
@@ -113,6 +113,7 @@ def search(shards: DataFrame, queries: list[tuple[list[tuple[int, int]], int, li
                 base = np.cumsum(lengths + GAP) - lengths - GAP
                 hits: list[tuple[int, np.ndarray]] = []
                 close = np.zeros(len(lengths), np.int64)
+                near_items: dict[int, set[str]] = defaultdict(set)
                 for term in [t for t in by_first if t in slot]:
                     for q in by_first[term]:
                         terms, n, _ = queries[q]
@@ -122,7 +123,7 @@ def search(shards: DataFrame, queries: list[tuple[list[tuple[int, int]], int, li
                         near = starts
                         for i, (t, o) in enumerate(terms[1:]):
                             if (other := postings(t)) is None:
-                                starts = near = starts[:0]
+                                starts = starts[:0]  # near rests on the three rarest terms alone
                                 break
                             if i < 2 and len(near):
                                 at = np.searchsorted(other, near + o - slop)
@@ -135,8 +136,10 @@ def search(shards: DataFrame, queries: list[tuple[list[tuple[int, int]], int, li
                         if len(starts):
                             hits.append((q, starts))
                         if len(near) and len(terms) > 2:
-                            doc = np.searchsorted(base, near, side="right") - 1
+                            doc = np.searchsorted(base, near + terms[0][1], side="right") - 1
                             np.add.at(close, doc, 1)
+                            for d in set(doc.tolist()):
+                                near_items[d].update(queries[q][2])
                 covered, n_hit = np.zeros(int((lengths + GAP).sum()) + 1, np.int8), np.zeros(len(lengths), np.int64)
                 items: dict[int, set[str]] = defaultdict(set)
                 for q, starts in hits:
@@ -153,14 +156,15 @@ def search(shards: DataFrame, queries: list[tuple[list[tuple[int, int]], int, li
                     "doc_id": pa.array(row["doc_id"], pa.int64()), "hash": pa.array(row["hash"], pa.int64()), "n_words": pa.array(lengths), "n_near": pa.array(close),
                     "hit_words": pa.array([(marks[at[d] : at[d + 1]] - base[d]).tolist() for d in range(len(lengths))], pa.list_(pa.int64())),
                     "items": pa.array([sorted(items.get(d, ())) for d in range(len(lengths))], pa.list_(pa.string())),
+                    "near_items": pa.array([sorted(near_items.get(d, ())) for d in range(len(lengths))], pa.list_(pa.string())),
                 }
                 yield pa.RecordBatch.from_pydict(out)
 
-    return shards.mapInArrow(tidied(run), "doc_id bigint, hash bigint, n_words bigint, n_near bigint, hit_words array<bigint>, items array<string>")
+    return shards.mapInArrow(tidied(run), "doc_id bigint, hash bigint, n_words bigint, n_near bigint, hit_words array<bigint>, items array<string>, near_items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 3, block_items: int = 50_000) -> DataFrame:
-    """Per row of ``(doc_id, text)``: ``n_words``, ``hit_words`` (positions inside an occurring window), ``items``, ``n_near``, and ``hash`` of the text.
+    """Per row of ``(doc_id, text)``: ``n_words``, ``hit_words`` (positions inside an occurring window), ``items``, ``n_near`` and ``near_items`` (proximity matches), and ``hash`` of the text.
 
     Windows are ``width`` consecutive words of an item, or the whole of a shorter one. Null texts have no words; items with a null
     id or without words have no windows. ``width`` must be below GAP, the distance kept between documents.
@@ -183,7 +187,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    first = every.groupBy("doc_id", "hash", "n_words").agg(F.sum("n_near").alias("n_near"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / n).cast("int").alias("copies"))
+    first = every.groupBy("doc_id", "hash", "n_words").agg(F.sum("n_near").alias("n_near"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"), (F.count("*") / n).cast("int").alias("copies"))
     return first.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies")
 
 
@@ -197,3 +201,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.size("hit_words").cast("long")
     return contamination(docs, benchmark).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per document the places where the three rarest terms of a window stand close to where they should, and the items they come from."""
+    return contamination(docs, benchmark).select("doc_id", "n_near", F.size("near_items").cast("long").alias("n_near_items"), "near_items")

@@ -27,6 +27,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op4_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.proximity(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -52,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_quality_rules, op4_decontamination, op5_token_counts, op6_best_fit_packing, op7_simhash, op8_pii, op9_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_quality_rules, op4_decontamination, op4_proximity, op5_token_counts, op6_best_fit_packing, op7_simhash, op8_pii, op9_sharding, op10_language_id)}
 
 
 SUBSTRINGS = r"""
