@@ -589,6 +589,7 @@ def spearman_ols(spark, d):
 
 SHIFT = """(sum(h1) FILTER (side = 'W') / nullif(sum(n1) FILTER (side = 'W'), 0) - sum(h1) FILTER (side = 'NW') / nullif(sum(n1) FILTER (side = 'NW'), 0))
     - (sum(h0) FILTER (side = 'W') / nullif(sum(n0) FILTER (side = 'W'), 0) - sum(h0) FILTER (side = 'NW') / nullif(sum(n0) FILTER (side = 'NW'), 0))"""
+REPLICATES = 5000
 DRAW = "('0x' || substr(md5('{}_' || rep || '_' || draw), 1, 8))::BIGINT"
 
 
@@ -601,6 +602,11 @@ def bootstrap_gap_ci(spark, d):
     return resample.interval(resample.cluster_bootstrap(resample.country_sums(predictions(spark, d), 0, 1), 200)).select("n", *r6("lo", "hi"))
 
 
+@query(ORACLE["bootstrap_gap_ci"].replace("range(200)", f"range({REPLICATES})"))
+def bootstrap_gap_ci_5000(spark, d):
+    return resample.interval(resample.cluster_bootstrap(resample.country_sums(predictions(spark, d), 0, 1), REPLICATES)).select("n", *r6("lo", "hi"))
+
+
 @query(
     f""", k AS (SELECT item + 1 idx, any_value(side) side, count(*) FILTER (cond = 0 AND pred = gold) h0, 1 n0, count(*) FILTER (cond = 1 AND pred = gold) h1, 1 n1 FROM predictions GROUP BY 1),
     b AS (SELECT rep, {SHIFT} AS "shift" FROM (SELECT unnest(range(40)) rep), (SELECT unnest(range((SELECT count(*) FROM k))) draw) JOIN k ON idx = {DRAW.format('item')} % (SELECT count(*) FROM k) + 1 GROUP BY 1)
@@ -624,6 +630,12 @@ def permutation_p(spark, d):
     return resample.p_value(resample.permutation(sums, 200), sums.agg(resample.shift().alias("shift"))).select(*r6("p", "observed"))
 
 
+@query(ORACLE["permutation_p"].replace("range(200)", f"range({REPLICATES})"))
+def permutation_p_5000(spark, d):
+    sums = resample.country_sums(predictions(spark, d), 0, 1)
+    return resample.p_value(resample.permutation(sums, REPLICATES), sums.agg(resample.shift().alias("shift"))).select(*r6("p", "observed"))
+
+
 # Ordered data
 
 

@@ -24,3 +24,7 @@ def test_picks_and_merge_see_every_row(spark, sf):
     orders = {r.o_orderkey: r.o_custkey for r in table(spark, sf, "orders").collect()}
     assert any(orders[r.o_orderkey] % 10 for r in entry.queries()["fewshot_pick_whole"](spark, sf).collect())
     assert any(r.item % 5 for r in entry.queries()["fewshot_distinct_then_fill_whole"](spark, sf).collect())
+
+
+def test_resampling_draws_5000_replicates(spark, sf):
+    assert entry.queries()["bootstrap_gap_ci_5000"](spark, sf).first().n == 5000
