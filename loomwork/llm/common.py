@@ -65,7 +65,7 @@ def append_columns(df: DataFrame, kernel: Callable[[list], list], fields: list[t
     """
     names = {f[0] for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    base = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    base = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("".join(["__text", *kept])))  # no column has that name
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1]] + [f"`{n}` {t}" for n, t, _ in fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +132,25 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, dtype=np.int64) - before, lengths)
 
 
+def row_key(docs: DataFrame) -> tuple[str, F.Column]:
+    """A column that names a row by its id and text, and a name for it that no column of the frame has."""
+    name = "__key"
+    while name in docs.columns:
+        name += "_"
+    return name, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("text")))
+
+
+def attach(rows: DataFrame, info: DataFrame, key: str, share: int = 4096) -> DataFrame:
+    """Join stored ``rows`` with stored ``info`` (one row per key, with the number ``rows`` of its rows; that column goes).
+
+    Keys that hold more than 1 in ``share`` of all rows, ``share`` at most, are broadcast, so that no key gathers in one task; the others are shuffled.
+    """
+    total = info.agg(F.sum("rows")).first()[0] or 0
+    often = F.col("rows") * share > total
+    hot, cold = info.where(often).drop("rows"), info.where(~often).drop("rows")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def forest(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """A star per component of the pairs: (member, least member), members other than the least."""
     parent: dict[int, int] = {}

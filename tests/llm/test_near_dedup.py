@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+from loomwork.llm import simhash
 from loomwork.llm.common import documents
 
 from .test_corpus import brute_components
@@ -39,3 +40,20 @@ def test_edited_copies_are_found(spark, sf, docs_of):
         rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(edited)), (3 * k + 2, " ".join(other))]
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(rows), sf).select("doc_id").collect()}
     assert got == {r[0] for r in rows if r[0] % 3 != 1} == brute_kept(rows)
+
+
+def test_long_postings_lose_no_link(spark, sf, docs_of, monkeypatch):
+    """Copies of one text in postings of several blocks: linked to the base, to each other only, or to nothing."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(160)]
+    rows = [(0, " ".join(base)), (1, " ".join(base))]
+    for k in range(2, 70):
+        words = list(base)
+        for i in rng.sample(range(160), rng.randrange(1, 7)):
+            words[i] = f"x{rng.randrange(50)}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(rows), sf).select("doc_id").collect()}
+    want = brute_kept(rows)
+    assert got == want and 1 < len(want) < 40

@@ -10,7 +10,8 @@ import corpus_pipeline
 from loomwork.llm import langid, pii
 from loomwork.llm.common import documents
 
-from .test_corpus import brute_components, brute_contamination, brute_fingerprint
+from .test_corpus import brute_contamination
+from .test_near_dedup import brute_kept
 
 
 def test_pipeline_equals_a_plain_version(spark, sf):
@@ -20,13 +21,8 @@ def test_pipeline_equals_a_plain_version(spark, sf):
     docs = documents(spark, sf)
     score = langid.scorer(langid.train_on(docs))
     rows = {r.doc_id: r.text for r in docs.collect() if score(r.text)[1] >= 0.01}
-    prints = {d: brute_fingerprint(t) for d, t in rows.items()}
-    distinct = sorted(set(prints.values()))
-    roots = brute_components([(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (a ^ b).bit_count() <= 2], distinct)
-    least = {}
-    for d, f in prints.items():
-        least[roots[f]] = min(d, least.get(roots[f], d))
-    rows = {d: rows[d] for d in least.values()}
+    kept = brute_kept(list(rows.items()))
+    rows = {d: t for d, t in rows.items() if d in kept}
     items = [tuple(r) for r in documents(spark, sf, "benchmark").select("item_id", "text").collect()]
     bad = {r[0] for r in brute_contamination(list(rows.items()), items) if r[5]}
     want = Counter()
