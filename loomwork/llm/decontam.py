@@ -1,208 +1,284 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is partitioned by documents: each chunk of them is one stored row with the positional postings of all terms that the
-benchmark uses (lists of word positions, in a numbering with gaps between documents). Term statistics are summed over
-all chunks. A test window is answered per chunk by intersecting its terms' lists, shifted by their offsets, from the rarest term on;
-what is left are its exact places. The three rarest terms within ``slop`` places of where they should be give proximity matches.
-Benchmark items go through in blocks of at most ``block_items``, which bounds what is sent to the workers.
+The index holds the postings of all tokens of the training documents, whatever the benchmark: each chunk of documents is one stored row with its
+distinct terms (64-bit hashes of words) in order and the positions of each, in a numbering with gaps between documents. Benchmark windows are a table:
+an id, the terms and, apart from it, the items that each stands in. They go through the index in blocks of at most ``BLOCK`` windows, which bounds what driver and
+workers hold for any benchmark. For a block its terms are counted over all chunks; then each chunk looks the windows' terms up,
+drops windows of which one of the three rarest terms is missing, takes the postings of the rarest and intersects them with the others' at
+their offsets, all windows at a time. What is left are exact places; the three rarest terms within ``slop`` places of where they should be give proximity
+matches, each at the place of its rarest term. Of terms that are equally frequent the earlier in the window counts as rarer.
+
+A hit asks for all words of a window, so two words of one hash could only make a false one if all others of a window stood around one of them.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, pack, ranges, stored, tidied, unpack
+from .common import chunks, pack, ranges, row_key, stored, tidied, unpack
+from .substrings import CODES, U, mixed, powers
 
 #: Lower case for A-Z; what stands between words becomes a space; other bytes stay.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 CHUNK = 6 << 20
+BATCH = 2 << 20
 #: Free positions between two documents of a chunk.
 GAP = 64
-COLUMNS = "chunk bigint, doc_id array<bigint>, hash array<bigint>, n_words array<bigint>, terms binary, sizes binary, positions binary"
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(TABLE).split()
-
-
-def windows_of(items: list[tuple], width: int) -> dict[tuple[bytes, ...], list]:
-    """Windows and the ids of the items they come from; a shorter item is one window."""
-    out: dict[tuple[bytes, ...], list] = defaultdict(list)
-    for item_id, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - width + 1)) if words else ():
-            own = out[tuple(words[i : i + width])]
-            if item_id not in own:
-                own.append(item_id)
-    return out
-
-
-def index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int) -> DataFrame:
-    """A stored row for each chunk of documents; words outside the vocabulary only take up their places."""
+#: Windows in a block; postings that a task follows at once; terms in a slice of counts.
+BLOCK = 400_000
+AT_ONCE = 1 << 20
+SLICE = 1 << 16
+
+
+def term_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and the number of words of each text."""
+    hashes, counts, own, size = [], [], [], 0
+
+    def flush() -> None:
+        nonlocal own, size
+        data = np.frombuffer(b" ".join([*own, b""]).translate(TABLE), np.uint8)
+        space = data == 32
+        before = np.concatenate([[True], space[:-1]])
+        starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+        up, down = powers(1 << max(16, int(len(data)).bit_length()))
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(CODES[data] * up[: len(data)])])
+        hashes.append(mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U)))
+        stops = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+        counts.append(np.diff(np.searchsorted(starts, stops), prepend=0))
+        own, size = [], 0
+
+    for text in texts:
+        own.append((text or "").encode())
+        size += len(own[-1])
+        if size >= BATCH:
+            flush()
+    if own:
+        flush()
+    return (np.concatenate(hashes), np.concatenate(counts)) if hashes else (np.zeros(0, U), np.zeros(0, np.int64))
+
+
+def index(docs: DataFrame) -> DataFrame:
+    """A stored row for each chunk of documents: ids, hashes and lengths of its documents, and the postings of its terms."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("hash", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.binary()), ("sizes", pa.binary()), ("positions", pa.binary())])
-        get = vocabulary.get
+        many = pa.list_(pa.int64())
+        schema = pa.schema([("chunk", pa.int64()), ("doc_id", many), ("hash", many), ("n_words", many), ("terms", pa.binary()), ("sizes", pa.binary()), ("positions", pa.binary())])
         for k, table in enumerate(chunks(batches, CHUNK)):
-            lengths, terms, places, at = [], [], [], 0
-            for text in table.column("text").to_pylist():
-                words = words_of(text)
-                known = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-                own = np.flatnonzero(known >= 0)
-                terms.append(known[own])
-                places.append(own + at)
-                lengths.append(len(words))
-                at += len(words) + gap
-            term, place = np.concatenate(terms), np.concatenate(places)
+            term, lengths = term_hashes(table.column("text").to_pylist())
+            place = np.arange(len(term)) + np.repeat(np.arange(len(lengths)) * GAP, lengths)
             order = np.argsort(term, kind="stable")
-            ids, sizes = np.unique(term, return_counts=True)
-            place = place[order].astype(np.int64)
-            first = np.zeros(len(place), bool)
-            first[np.cumsum(sizes) - sizes] = True
+            terms, first, sizes = np.unique(term[order], return_index=True, return_counts=True)
+            place = place[order]
             step = np.diff(place, prepend=0)
             step[first] = place[first]
-            row = {"chunk": [part << 32 | k], "doc_id": [table.column("doc_id").to_pylist()], "hash": [table.column("hash").to_pylist()], "n_words": [lengths], "terms": [pack(ids.astype(np.int32))], "sizes": [pack(sizes.astype(np.int32))], "positions": [pack(step.astype(np.uint32))]}
+            row = {
+                "chunk": [part << 32 | k], "doc_id": [table.column("doc_id").to_pylist()], "hash": [table.column("hash").to_pylist()], "n_words": [lengths.tolist()],
+                "terms": [pack(terms)], "sizes": [pack(sizes.astype(np.int32))], "positions": [pack(step.astype(np.uint32))],
+            }
             yield pa.RecordBatch.from_pydict(row, schema)
 
-    return stored(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(tidied(run), COLUMNS), "decontam-index")
+    return stored(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").mapInArrow(
+            tidied(run), "chunk bigint, doc_id array<bigint>, hash array<bigint>, n_words array<bigint>, terms binary, sizes binary, positions binary"
+        ),
+        "decontam-index",
+    )
 
 
-def frequencies(shards: DataFrame) -> dict[int, int]:
-    """Occurrences of each indexed term over all documents; at most the block's vocabulary comes to the driver."""
+def windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows ``window, terms``, and ``window, item_id``. A shorter item is one window; one with a null id or without words has none."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, s in zip(batch.column("terms").to_pylist(), batch.column("sizes").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(t, np.int32)), pa.array(unpack(s, np.int32).astype(np.int64))], ["term", "n"])
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                terms, _ = term_hashes([text])
+                own = {terms[i : i + width].tobytes() for i in range(max(1, len(terms) - width + 1))} if len(terms) else ()
+                if own:
+                    made = sorted(own)
+                    ids = pa.array([xxhash.xxh3_128_digest(w) for w in made], pa.binary())
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(made, pa.binary()), pa.array([item] * len(made), pa.string())], ["window", "terms", "item_id"])
 
-    found = shards.select("terms", "sizes").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    return dict(map(tuple, found.collect()))
+    usable = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    every = stored(usable.mapInArrow(tidied(run), "window binary, terms binary, item_id string"), "decontam-windows")
+    return stored(every.groupBy("window").agg(F.min("terms").alias("terms")), "decontam-distinct"), every.select("window", "item_id").distinct()
 
 
-def search(shards: DataFrame, queries: list[tuple[list[tuple[int, int]], int, list[str]]], slop: int) -> DataFrame:
-    """``doc_id, hash, n_words, n_near, hit_words, items, near_items`` per document. queries: (term, offset) from the rarest on; window length; item ids."""
-    by_first: dict[int, list[int]] = defaultdict(list)
-    for q, (terms, _, _) in enumerate(queries):
-        by_first[terms[0][0]].append(q)
+class Block:
+    """Some windows, ready for the workers: ids, the distinct terms in order, and each window's terms and offsets (rarest first, once they are counted)."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, ids: list[bytes], terms: list[bytes], width: int) -> None:
+        self.ids = ids
+        self.length = np.fromiter((len(t) // 8 for t in terms), np.int64, len(terms))
+        flat = np.frombuffer(b"".join(terms), U)
+        self.vocabulary, where = np.unique(flat, return_inverse=True)
+        self.term = np.full((len(ids), width), -1, np.int32)
+        self.term[np.arange(width) < self.length[:, None]] = where
+        self.offset = np.broadcast_to(np.arange(width, dtype=np.int8), self.term.shape)
+
+    def rank(self, seen: np.ndarray) -> None:
+        often = np.where(self.term >= 0, seen[self.term], np.iinfo(np.int64).max)
+        order = np.argsort(often, axis=1, kind="stable")
+        self.term, self.offset = np.take_along_axis(self.term, order, 1), np.take_along_axis(self.offset, order, 1)
+
+
+def slots(row: dict, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each term of the vocabulary its place among the chunk's terms or -1, and the chunk's posting sizes."""
+    terms, sizes = unpack(row["terms"], U), unpack(row["sizes"], np.int32)
+    at = np.searchsorted(vocabulary, terms)
+    known = np.flatnonzero(vocabulary[np.minimum(at, len(vocabulary) - 1)] == terms)
+    slot = np.full(len(vocabulary) + 1, -1, np.int32)  # the last stands for no term
+    slot[at[known]] = known
+    return slot, sizes
+
+
+def frequencies(shards: DataFrame, vocabulary: Broadcast) -> np.ndarray:
+    """Occurrences of each term of the vocabulary over all documents. Tasks send their sums in slices, which are added up before they come to the driver."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(vocabulary.value), np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, sizes = unpack(row["terms"], np.int32), unpack(row["sizes"], np.int32)
-                steps = unpack(row["positions"], np.uint32)
-                cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-                slot = {t: i for i, t in enumerate(ids.tolist())}
-                lists: dict[int, np.ndarray] = {}
-
-                def postings(term: int) -> np.ndarray | None:
-                    if (i := slot.get(term)) is None:
-                        return None
-                    if term not in lists:
-                        lists[term] = np.cumsum(steps[cuts[i] : cuts[i + 1]], dtype=np.int64)
-                    return lists[term]
+                slot, sizes = slots(row, vocabulary.value)
+                there = np.flatnonzero(slot[:-1] >= 0)
+                total[there] += sizes[slot[there]]
+        cuts = [k for k in range(0, len(total), SLICE) if total[k : k + SLICE].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k // SLICE for k in cuts], pa.int32()), pa.array([pack(total[k : k + SLICE]) for k in cuts], pa.binary())], ["slice", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(unpack(b, np.int64) for b in table.column("counts").to_pylist())
+        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([pack(total)], pa.binary())})
+
+    found = shards.select("terms", "sizes").mapInArrow(tidied(count), "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    seen = np.zeros(len(vocabulary.value) + 1, np.int64)
+    for k, counts in found.toLocalIterator():
+        part = unpack(counts, np.int64)
+        seen[k * SLICE : k * SLICE + len(part)] = part
+    return seen
+
+
+def search(shards: DataFrame, block: Broadcast, slop: int) -> DataFrame:
+    """``chunk, row, hit_words, windows, n_near, near_windows`` per document with a match; row is its place in its chunk."""
+
+    def matches(row: dict) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
+        b = block.value
+        slot, sizes = slots(row, b.vocabulary)
+        own = slot[b.term[:, :3]]
+        alive = np.flatnonzero(((own >= 0) | (b.term[:, :3] < 0)).all(axis=1))
+        exact, near = [], []
+        if not len(alive):
+            return exact, near
+        steps = unpack(row["positions"], np.uint32).astype(np.int64)
+        cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        run = np.cumsum(steps)
+        places = run - np.repeat(run[cuts[:-1]] - steps[cuts[:-1]], sizes) + GAP  # GAP free positions before and after all
+        term_at = np.full(int(places.max()) + 2 * GAP, -2, np.int32)
+        term_at[places] = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        often = sizes[slot[b.term[alive, 0]]].astype(np.int64)
+        at = 0
+        total = np.cumsum(often)
+        while at < len(alive):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, side="right")))
+            w = np.repeat(alive[at:stop], often[at:stop])
+            start = places[ranges(cuts[slot[b.term[alive[at:stop], 0]]], often[at:stop])] - b.offset[w, 0]
+            at = stop
+            close = np.flatnonzero(b.length[w] >= 3)
+            for i in (1, 2):
+                expected, want = start[close] + b.offset[w[close], i], slot[b.term[w[close], i]]
+                close = close[np.any([term_at[expected + d] == want for d in range(-slop, slop + 1)], axis=0)] if len(close) else close
+            near.append((w[close], start[close] + b.offset[w[close], 0]))
+            for i in range(1, b.term.shape[1]):
+                if not len(w):
+                    break
+                good = (b.length[w] <= i) | (term_at[np.maximum(start + b.offset[w, i], 0)] == slot[b.term[w, i]])
+                w, start = w[good], start[good]
+            exact.append((w, start))
+        return exact, near
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long, many = pa.int64(), pa.list_(pa.binary())
+        schema = pa.schema([("chunk", long), ("row", long), ("hit_words", pa.list_(long)), ("windows", many), ("n_near", long), ("near_windows", many)])
+        for batch in batches:
+            for row in batch.to_pylist():
+                exact, near = matches(row)
+                w, start, v, place = [np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for found in (exact, near) for i in (0, 1)]
+                if not len(w) and not len(v):
+                    continue
                 lengths = np.array(row["n_words"], np.int64)
-                base = np.cumsum(lengths + GAP) - lengths - GAP
-                hits: list[tuple[int, np.ndarray]] = []
-                close = np.zeros(len(lengths), np.int64)
-                near_items: dict[int, set[str]] = defaultdict(set)
-                for term in [t for t in by_first if t in slot]:
-                    for q in by_first[term]:
-                        terms, n, _ = queries[q]
-                        if any(t not in slot for t, _ in terms[1:3]):
-                            continue  # neither the phrase nor its three rarest terms can stand here
-                        starts = postings(term) - terms[0][1]
-                        near = starts
-                        for i, (t, o) in enumerate(terms[1:]):
-                            if (other := postings(t)) is None:
-                                starts = starts[:0]  # near rests on the three rarest terms alone
-                                break
-                            if i < 2 and len(near):
-                                at = np.searchsorted(other, near + o - slop)
-                                near = near[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= near + o + slop)]
-                            if len(starts):
-                                at = np.searchsorted(other, starts + o)
-                                starts = starts[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] == starts + o)]
-                            if not len(starts) and (i >= 1 or not len(near)):
-                                break
-                        if len(starts):
-                            hits.append((q, starts))
-                        if len(near) and len(terms) > 2:
-                            doc = np.searchsorted(base, near + terms[0][1], side="right") - 1
-                            np.add.at(close, doc, 1)
-                            for d in set(doc.tolist()):
-                                near_items[d].update(queries[q][2])
-                covered, n_hit = np.zeros(int((lengths + GAP).sum()) + 1, np.int8), np.zeros(len(lengths), np.int64)
-                items: dict[int, set[str]] = defaultdict(set)
-                for q, starts in hits:
-                    covered[ranges(starts, np.full(len(starts), queries[q][1]))] = 1
-                    for d in set((np.searchsorted(base, starts, side="right") - 1).tolist()):
-                        items[d].update(queries[q][2])
-                if hits:
-                    total = np.concatenate([[0], np.cumsum(covered, dtype=np.int64)])
-                    n_hit = total[base + lengths] - total[base]
-                marks = np.flatnonzero(covered[:-1])
-                owner = np.searchsorted(base, marks, side="right") - 1
-                at = np.searchsorted(owner, np.arange(len(lengths) + 1))
-                out = {
-                    "doc_id": pa.array(row["doc_id"], pa.int64()), "hash": pa.array(row["hash"], pa.int64()), "n_words": pa.array(lengths), "n_near": pa.array(close),
-                    "hit_words": pa.array([(marks[at[d] : at[d + 1]] - base[d]).tolist() for d in range(len(lengths))], pa.list_(pa.int64())),
-                    "items": pa.array([sorted(items.get(d, ())) for d in range(len(lengths))], pa.list_(pa.string())),
-                    "near_items": pa.array([sorted(near_items.get(d, ())) for d in range(len(lengths))], pa.list_(pa.string())),
-                }
-                yield pa.RecordBatch.from_pydict(out)
-
-    return shards.mapInArrow(tidied(run), "doc_id bigint, hash bigint, n_words bigint, n_near bigint, hit_words array<bigint>, items array<string>, near_items array<string>")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 3, block_items: int = 50_000) -> DataFrame:
-    """Per row of ``(doc_id, text)``: ``n_words``, ``hit_words`` (positions inside an occurring window), ``items``, ``n_near`` and ``near_items`` (proximity matches), and ``hash`` of the text.
+                base = np.cumsum(lengths + GAP) - lengths  # the first word of each document, after GAP free positions
+                covered = np.unique(ranges(start, block.value.length[w]))
+                owner, doc, close = (np.searchsorted(base, x, side="right") - 1 for x in (covered, start, place))
+                out = []
+                for d in np.unique(np.concatenate([doc, close])).tolist():
+                    ids = block.value.ids
+                    out.append((row["chunk"], d, (covered[owner == d] - base[d]).tolist(), [ids[i] for i in np.unique(w[doc == d]).tolist()], int((close == d).sum()), [ids[i] for i in np.unique(v[close == d]).tolist()]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return shards.select("chunk", "n_words", "terms", "sizes", "positions").mapInArrow(tidied(run), "chunk bigint, row bigint, hit_words array<bigint>, windows array<binary>, n_near bigint, near_windows array<binary>")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 3, block_windows: int | None = None) -> DataFrame:
+    """Per row of ``(doc_id, text)``: ``n_words``, ``hit_words`` (positions inside an occurring window), ``items``, ``n_near`` (proximity matches: distinct windows by their places), ``near_items``, and ``hash`` of the text.
 
     Windows are ``width`` consecutive words of an item, or the whole of a shorter one. Null texts have no words; items with a null
-    id or without words have no windows. ``width`` must be below GAP, the distance kept between documents.
+    id or without words have no windows; items of one id count as one. Windows of fewer than three words have no proximity matches. Repeated rows are judged each.
+    ``width`` must be below GAP, the distance kept between documents.
     """
     if not 0 < width <= GAP - 2 * slop:
         raise ValueError("width out of range")
-    usable = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    n = max(1, -(-usable.count() // block_items))
+    context = docs.sparkSession.sparkContext
+    shards = index(docs)
+    distinct, owners = windows(benchmark, width)
+    n = max(1, -(-distinct.count() // (block_windows or BLOCK)))
     parts = []
-    for block in range(n):
-        mine = usable if n == 1 else usable.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block)
-        windows = windows_of([(r[0], r[1]) for r in mine.toLocalIterator()], width)
-        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for x in windows for w in x))}
-        shards = index(docs, vocabulary, GAP)
-        seen = frequencies(shards)
-        queries = [(sorted(((vocabulary[w], o) for o, w in enumerate(x)), key=lambda p: (seen.get(p[0], 0), p)), len(x), own) for x, own in windows.items()]
-        parts.append(search(shards, queries, slop))
-    if n == 1:
-        return parts[0]
-    every = parts[0]
+    for k in range(n):
+        mine = distinct.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k).toArrow()
+        if not mine.num_rows and n > 1:
+            continue
+        block = Block(mine.column("window").to_pylist(), mine.column("terms").to_pylist(), width)
+        vocabulary = context.broadcast(block.vocabulary)
+        block.rank(frequencies(shards, vocabulary) if len(block.ids) else np.zeros(1, np.int64))
+        sent = context.broadcast(block)
+        parts.append(stored(search(shards, sent, slop) if len(block.ids) else search(shards.limit(0), sent, slop), "decontam-matches"))
+        vocabulary.destroy()
+        sent.destroy()
+    found = parts[0]
     for p in parts[1:]:
-        every = every.unionByName(p)
-    first = every.groupBy("doc_id", "hash", "n_words").agg(F.sum("n_near").alias("n_near"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"), (F.count("*") / n).cast("int").alias("copies"))
-    return first.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies")
+        found = found.unionByName(p)
+
+    def items(column: str, name: str) -> DataFrame:
+        told = found.select("chunk", "row", F.explode(column).alias("window")).join(owners, "window")
+        return told.groupBy("chunk", "row").agg(F.array_sort(F.collect_set("item_id")).alias(name))
+
+    hits = found.groupBy("chunk", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.sum("n_near").alias("n_near"))
+    hits = hits.join(items("windows", "items"), ["chunk", "row"], "left").join(items("near_windows", "near_items"), ["chunk", "row"], "left")
+    each = F.posexplode(F.arrays_zip("doc_id", "hash", "n_words")).alias("row", "d")
+    rows = shards.select("chunk", each).select("chunk", F.col("row").cast("long").alias("row"), "d.doc_id", "d.hash", "d.n_words")
+    none, nobody = F.array().cast("array<bigint>"), F.array().cast("array<string>")
+    return rows.join(hits, ["chunk", "row"], "left").select(
+        "doc_id", "hash", "n_words", F.coalesce("hit_words", none).alias("hit_words"), F.coalesce("items", nobody).alias("items"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+        F.coalesce("near_items", nobody).alias("near_items"),
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark window occurs."""
-    key = lambda hashed: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(hashed))
-    bad = contamination(docs, benchmark).where(F.size("hit_words") > 0).select(key("hash").alias("__key")).distinct()
-    return docs.withColumn("__key", key(F.xxhash64("text"))).join(bad, "__key", "left_anti").drop("__key")
+    """The rows of ``docs``, all columns, in which no benchmark window occurs. Null and empty texts stay; of repeated rows all go or stay."""
+    name, key = row_key(docs)
+    same = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex("hash"))
+    bad = contamination(docs, benchmark).where(F.size("hit_words") > 0).select(same.alias(name)).distinct()
+    return docs.withColumn(name, key).join(bad, name, "left_anti").drop(name)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.size("hit_words").cast("long")
-    return contamination(docs, benchmark).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
-
-
-def proximity(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document the places where the three rarest terms of a window stand close to where they should, and the items they come from."""
-    return contamination(docs, benchmark).select("doc_id", "n_near", F.size("near_items").cast("long").alias("n_near_items"), "near_items")
+    return contamination(docs, benchmark).select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        "n_near", F.size("near_items").cast("long").alias("n_near_items"), F.array_join("near_items", ",").alias("near_items"),
+    )

@@ -27,10 +27,6 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
-def op4_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.proximity(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
-
-
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,7 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_quality_rules, op4_decontamination, op4_proximity, op5_token_counts, op6_best_fit_packing, op7_simhash, op8_pii, op9_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_quality_rules, op4_decontamination, op5_token_counts, op6_best_fit_packing, op7_simhash, op8_pii, op9_sharding, op10_language_id)}
 
 
 SUBSTRINGS = r"""
@@ -88,15 +84,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 """
 
 CONTAMINATION = r"""
-WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM benchmark WHERE item_id IS NOT NULL),
-iw AS (SELECT DISTINCT item_id, array_to_string(list_slice(ws, i, i + 9), ' ') g, least(len(ws), 10) n FROM b, LATERAL (SELECT unnest(range(1, greatest(2, len(ws) - 8))) i) WHERE len(ws) > 0),
+WITH b AS (SELECT item_id::VARCHAR item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, list_slice(ws, i, i + 9) wl, array_to_string(list_slice(ws, i, i + 9), ' ') g, least(len(ws), 10) n FROM b, LATERAL (SELECT unnest(range(1, greatest(2, len(ws) - 8))) i) WHERE len(ws) > 0),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM documents),
 dw AS (SELECT doc_id, i, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') g FROM d, (SELECT DISTINCT n FROM iw), LATERAL (SELECT unnest(range(1, len(ws) - n + 2)) i)),
 hits AS (SELECT doc_id, i, n, item_id FROM dw JOIN iw USING (g, n)),
 words AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) p FROM hits) GROUP BY 1),
-items AS (SELECT doc_id, count(*) n_items, string_agg(item_id, ',' ORDER BY item_id) ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR item_id FROM hits) GROUP BY 1)
-SELECT doc_id, len(ws)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+items AS (SELECT doc_id, count(*) n_items, string_agg(item_id, ',' ORDER BY item_id) ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY 1),
+places AS (SELECT doc_id, unnest(ws) word, unnest(range(len(ws))) p FROM d),
+often AS (SELECT word, count(*) f FROM places GROUP BY 1),
+terms AS (SELECT g, unnest(wl) word, unnest(range(len(wl))) o FROM (SELECT DISTINCT g, wl FROM iw WHERE n >= 3)),
+ranked AS (SELECT g, word, o, row_number() OVER (PARTITION BY g ORDER BY coalesce(f, 0), o) r FROM terms LEFT JOIN often USING (word)),
+three AS (SELECT a.g, a.word w1, b.word w2, b.o - a.o o2, c.word w3, c.o - a.o o3 FROM ranked a JOIN ranked b USING (g) JOIN ranked c USING (g) WHERE a.r = 1 AND b.r = 2 AND c.r = 3),
+close1 AS (SELECT DISTINCT t.*, x.doc_id, x.p FROM three t JOIN places x ON x.word = w1 CROSS JOIN (SELECT unnest(range(-3, 4)) s) JOIN places y ON y.doc_id = x.doc_id AND y.word = w2 AND y.p = x.p + o2 + s),
+close2 AS (SELECT DISTINCT t.g, t.doc_id, t.p FROM close1 t CROSS JOIN (SELECT unnest(range(-3, 4)) s) JOIN places y ON y.doc_id = t.doc_id AND y.word = w3 AND y.p = t.p + o3 + s),
+near AS (SELECT doc_id, count(*) n_near FROM close2 GROUP BY 1),
+near_items AS (SELECT doc_id, count(*) n, string_agg(item_id, ',' ORDER BY item_id) ids FROM (SELECT DISTINCT doc_id, item_id FROM close2 JOIN iw USING (g)) GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items.ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated,
+    coalesce(n_near, 0)::BIGINT n_near, coalesce(near_items.n, 0) n_near_items, coalesce(near_items.ids, '') near_items
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id) LEFT JOIN near_items USING (doc_id)
 """
 
 
