@@ -2,11 +2,11 @@
 
 A partial partition holds ``shards`` piles. Differencing takes the two with the largest spread and joins them in opposite order, so that the
 heaviest pile of one meets the lightest of the other. Groups are spread over blocks by hash; each block differences its own
-groups to one partial partition, then the blocks' partials (one number per shard for ``PER_BLOCK`` groups) are differenced in the same
-way on the driver.
+groups to one partial partition in a task, and tasks difference the blocks' partials in the same way, ``PER_NODE`` at a time, in a tree up to one. The
+shards of the top then go down the tree by joins; the driver sees only counts.
 
-Law: ``bytes``. Groups of equal texts stay whole, except that a group heavier than a mean shard is cut into parts of an
-eighth of one, for no partition that keeps it whole could be balanced; such a group's rows are dealt to its parts by a salt.
+Law: ``bytes``. Groups of equal texts always stay whole, so the heaviest group sets a bound: if it outweighs a mean shard, it has a shard
+to itself and the others are balanced.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import attach, stored
 
 PER_BLOCK = 50_000
-PART = 8
+PER_NODE = 2_000
 
 
 def difference(sums: list[np.ndarray], shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,40 +59,56 @@ def spread(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return piles[:, 0], total
 
 
+def placed(groups: DataFrame, shards: int) -> DataFrame:
+    """``groups`` (key, rows, bytes) with the ``shard`` of each."""
+    blocks = max(1, -(-groups.count() // PER_BLOCK))
+
+    def own(table: pa.Table) -> pa.Table:
+        sizes = table.column("bytes").to_numpy()
+        keys = table.column("key").to_pylist()
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        pile = np.empty(len(sizes), np.int32)
+        pile[order] = spread(sizes[order], shards)[0]
+        return table.select(["block", "key", "rows", "bytes"]).append_column("pile", pa.array(pile))
+
+    def joined(table: pa.Table) -> pa.Table:
+        block, pile = table.column("block").to_numpy(), table.column("pile").to_numpy()
+        ids, at = np.unique(block, return_inverse=True)
+        sums = np.zeros((len(ids), shards), np.int64)
+        sums[at, pile] = table.column("bytes").to_numpy()
+        where, _ = difference(list(sums), shards)
+        return table.select(["block", "pile", "parent", "bytes"]).append_column("up", pa.array(where[at, pile].astype(np.int32)))
+
+    dealt = groups.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    piled = stored(dealt.groupBy("block").applyInArrow(own, "block bigint, key binary, rows bigint, bytes bigint, pile int"), "sharding-piles")
+    levels: list[DataFrame] = []
+    partials = piled.groupBy("block", "pile").agg(F.sum("bytes").alias("bytes"))
+    while blocks > 1:
+        blocks = -(-blocks // PER_NODE)
+        above = partials.withColumn("parent", F.pmod(F.xxhash64("block"), F.lit(blocks)))
+        levels.append(stored(above.groupBy("parent").applyInArrow(joined, "block bigint, pile int, parent bigint, bytes bigint, up int"), "sharding-tree"))
+        partials = levels[-1].groupBy(F.col("parent").alias("block"), F.col("up").alias("pile")).agg(F.sum("bytes").alias("bytes"))
+    if not levels:
+        return piled.select("key", "rows", F.col("pile").alias("shard"))
+    known = levels[-1].select("block", "pile", F.col("up").alias("shard"))
+    for level in reversed(levels[:-1]):
+        known = level.select("block", F.col("pile"), "parent", "up").join(known.select(F.col("block").alias("parent"), F.col("pile").alias("up"), "shard"), ["parent", "up"]).select("block", "pile", "shard")
+    return piled.join(known, ["block", "pile"]).select("key", "rows", "shard")
+
+
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` per row of ``(doc_id, text)``; size is the text's bytes plus 8.
 
-    A null text has no bytes, and is of one group with the empty one. Slots number each shard's rows without gaps.
+    A null text has no bytes, and is of one group with the empty one. Groups are whole: of equal texts, repeated rows among them, all rows are in one shard. Slots
+    number each shard's rows without gaps.
     """
     text = F.coalesce("text", F.lit(""))
     raw = text.cast("binary")
     rows = stored(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("int").alias("salt")), "sharding")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    share = max(1, total // shards)
-    bytes_ = F.col("n") * F.col("size")
-    # At most ``shards`` groups are heavier than a mean shard.
-    heavy = rows.groupBy("key", "size").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (bytes_ > share))
-    heavy = heavy.select("key", F.least(F.ceil(bytes_ * PART / share), F.col("n")).cast("int").alias("parts"))
-    dealt = rows.join(F.broadcast(heavy), "key", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod("salt", "parts")).cast("int")).drop("parts")
-    groups = stored(dealt.groupBy("key", "part").agg(F.sum("size").alias("bytes")), "sharding-groups")
-    blocks = max(1, -(-groups.count() // PER_BLOCK))
-
-    def run(table: pa.Table) -> pa.Table:
-        sizes = table.column("bytes").to_numpy()
-        order = np.lexsort((table.column("part").to_numpy(), np.array(table.column("key").to_pylist())))
-        pile = np.empty(len(sizes), np.int16)
-        pile[order] = spread(sizes[order], shards)[0]
-        return pa.table({"block": table.column("block"), "key": table.column("key"), "part": table.column("part"), "bytes": table.column("bytes"), "pile": pa.array(pile.astype(np.int32))})
-
-    piled = stored(groups.withColumn("block", F.pmod(F.xxhash64("key", "part"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(run, "block int, key binary, part int, bytes bigint, pile int"), "sharding-piles")
-    partial = np.zeros((blocks, shards), np.int64)
-    for b, p, s in piled.groupBy("block", "pile").agg(F.sum("bytes")).collect():
-        partial[b, p] = s
-    where, _ = difference(list(partial), shards)
-    table = [(b, p, int(where[b][p])) for b in range(blocks) for p in range(shards)]
-    placed = piled.join(docs.sparkSession.createDataFrame(table, "block int, pile int, shard int"), ["block", "pile"])
-    sharded = stored(dealt.join(placed.select("key", "part", "shard"), ["key", "part"]).select("doc_id", "size", "text_crc32", "shard", "salt"), "sharding-rows")
+    groups = stored(rows.groupBy("key").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")), "sharding-groups")
+    sharded = stored(attach(rows, stored(placed(groups, shards), "sharding-shards"), "key").select("doc_id", "size", "text_crc32", "shard", "salt"), "sharding-rows")
     # Slots in two steps: within (shard, bucket of salts), then offsets from the buckets' counts.
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
     bucket = F.pmod(F.col("salt"), F.lit(max(8, min(4096, total // (64 << 20))))).cast("int")
     counts = sharded.groupBy("shard", bucket.alias("bucket")).count()
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("count")).drop("count")

@@ -219,8 +219,9 @@ def test_simhash_links_of_chains(spark):
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000) for i in range(1, 50)] + [(7, 7)]
     random.Random(1).shuffle(edges)
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
-    assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(50)}
+    for one_task in (0, 200_000):
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6), one_task).collect()}
+        assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(50)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -284,7 +285,44 @@ def test_sharding_laws(spark, sf, docs_of):
     assert set(slots) <= set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
-def test_sharding_balances_whole_groups_and_cuts_a_hot_one(spark, docs_of):
+def brute_differencing(sizes, shards):
+    """Karmarkar-Karp on plain lists: partial partitions as lists of (sum, members), joined in opposite order."""
+    partials = [(s, -i, [(s, [i])] + [(0, [])] * (shards - 1)) for i, s in enumerate(sizes)]
+    made = len(partials)
+    while len(partials) > 1:
+        partials.sort(key=lambda p: p[:2])  # the largest spread last, of equal ones the first made
+        a, b = sorted(partials.pop()[2], key=lambda x: -x[0]), sorted(partials.pop()[2], key=lambda x: x[0])
+        both = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a, b)]
+        sums = [x[0] for x in both]
+        partials.append((max(sums) - min(sums), -made, both))
+        made += 1
+    return partials[0][2]
+
+
+def test_sharding_equals_plain_differencing(spark, docs_of):
+    rng = random.Random(4)
+    sizes = rng.sample(range(1, 10**5), 1200)
+    where, sums = sharding.spread(np.array(sizes), 24)
+    want = brute_differencing(sizes, 24)
+    assert sorted(sums.tolist()) == sorted(s for s, _ in want)
+    assert {frozenset(np.flatnonzero(where == s).tolist()) for s in range(24)} == {frozenset(m) for _, m in want}
+
+
+def test_sharding_joins_blocks_in_a_tree(spark, docs_of, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "y" * rng.randrange(1, 900)) for i in range(900)] + [(5000 + i, "hot text " * 40) for i in range(40)] + [(9000, None), (9001, ""), (9001, "")]
+    monkeypatch.setattr(sharding, "PER_BLOCK", 60)
+    monkeypatch.setattr(sharding, "PER_NODE", 3)
+    got = sharding.shard(docs_of(rows)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
+    texts, where, sums = {d: t or "" for d, t in rows}, defaultdict(set), Counter()
+    for r in got:
+        where[texts[r.doc_id]].add(r.shard)
+        sums[r.shard] += r["size"]
+    assert all(len(s) == 1 for s in where.values()) and max(sums.values()) - min(sums.values()) < 0.1 * sum(sums.values()) / 24
+
+
+def test_sharding_keeps_a_hot_group_whole_and_balances_the_rest(spark, docs_of):
     rng = random.Random(2)
     rows = [(i, "x" * rng.randrange(1, 900)) for i in range(3000)] + [(5000 + i, "hot text " * 40) for i in range(1500)]
     got = sharding.shard(docs_of(rows)).collect()
@@ -294,8 +332,10 @@ def test_sharding_balances_whole_groups_and_cuts_a_hot_one(spark, docs_of):
     for r in got:
         sums[r.shard] += r["size"]
         where[texts[r.doc_id]].add(r.shard)
-    assert max(sums.values()) - min(sums.values()) <= 0.02 * sum(sums.values()) / 24
-    assert all(len(s) == 1 for t, s in where.items() if not t.startswith("hot"))
+    assert all(len(s) == 1 for s in where.values())
+    (hot,) = where["hot text " * 40]
+    rest = [v for k, v in sums.items() if k != hot]  # no whole partition does better than the hot group alone in its shard
+    assert sums[hot] == 1500 * 368 and len(rest) == 23 and max(rest) - min(rest) <= 0.01 * max(rest)
 
 
 def test_differencing_on_a_known_case():
