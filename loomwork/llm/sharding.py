@@ -1,9 +1,10 @@
 """Sharding by Karmarkar-Karp differencing: balanced bytes for indivisible groups of equal texts.
 
 A partial partition holds ``shards`` piles. Differencing takes the two with the largest spread and joins them in opposite order, so that the
-heaviest pile of one meets the lightest of the other. Groups are spread over blocks by hash; each block differences its own
-groups to one partial partition in a task, and tasks difference the blocks' partials in the same way, ``PER_NODE`` at a time, in a tree up to one. The
-shards of the top then go down the tree by joins; the driver sees only counts.
+heaviest pile of one meets the lightest of the other. It is done in a tree of tasks: groups are spread over nodes by hash, each node
+differences its own to ``shards`` piles, and the piles are the items of the next level, up to one node with at most ``PER_NODE`` items, whose piles are the
+shards. An item that outweighs its node's mean pile goes up as it is, to meet enough others. The shards then go down the tree by joins; the driver
+sees only counts.
 
 Law: ``bytes``. Groups of equal texts always stay whole, so the heaviest group sets a bound: if it outweighs a mean shard, it has a shard
 to itself and the others are balanced.
@@ -12,6 +13,7 @@ to itself and the others are balanced.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import attach, stored
 
-PER_BLOCK = 50_000
-PER_NODE = 2_000
+#: Items that one task differences; nodes under the top, so that it has fine enough items to balance heavy ones.
+PER_NODE = 50_000
+BELOW_TOP = 1_000
 
 
 def difference(sums: list[np.ndarray], shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,39 +64,38 @@ def spread(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
 
 def placed(groups: DataFrame, shards: int) -> DataFrame:
     """``groups`` (key, rows, bytes) with the ``shard`` of each."""
-    blocks = max(1, -(-groups.count() // PER_BLOCK))
-
-    def own(table: pa.Table) -> pa.Table:
-        sizes = table.column("bytes").to_numpy()
-        keys = table.column("key").to_pylist()
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        pile = np.empty(len(sizes), np.int32)
-        pile[order] = spread(sizes[order], shards)[0]
-        return table.select(["block", "key", "rows", "bytes"]).append_column("pile", pa.array(pile))
-
-    def joined(table: pa.Table) -> pa.Table:
-        block, pile = table.column("block").to_numpy(), table.column("pile").to_numpy()
-        ids, at = np.unique(block, return_inverse=True)
-        sums = np.zeros((len(ids), shards), np.int64)
-        sums[at, pile] = table.column("bytes").to_numpy()
-        where, _ = difference(list(sums), shards)
-        return table.select(["block", "pile", "parent", "bytes"]).append_column("up", pa.array(where[at, pile].astype(np.int32)))
-
-    dealt = groups.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    piled = stored(dealt.groupBy("block").applyInArrow(own, "block bigint, key binary, rows bigint, bytes bigint, pile int"), "sharding-piles")
-    levels: list[DataFrame] = []
-    partials = piled.groupBy("block", "pile").agg(F.sum("bytes").alias("bytes"))
-    while blocks > 1:
-        blocks = -(-blocks // PER_NODE)
-        above = partials.withColumn("parent", F.pmod(F.xxhash64("block"), F.lit(blocks)))
-        levels.append(stored(above.groupBy("parent").applyInArrow(joined, "block bigint, pile int, parent bigint, bytes bigint, up int"), "sharding-tree"))
-        partials = levels[-1].groupBy(F.col("parent").alias("block"), F.col("up").alias("pile")).agg(F.sum("bytes").alias("bytes"))
-    if not levels:
-        return piled.select("key", "rows", F.col("pile").alias("shard"))
-    known = levels[-1].select("block", "pile", F.col("up").alias("shard"))
-    for level in reversed(levels[:-1]):
-        known = level.select("block", F.col("pile"), "parent", "up").join(known.select(F.col("block").alias("parent"), F.col("pile").alias("up"), "shard"), ["parent", "up"]).select("block", "pile", "shard")
-    return piled.join(known, ["block", "pile"]).select("key", "rows", "shard")
+
+    def node(level: int) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            ids, sizes = table.column("id").to_pylist(), table.column("bytes").to_numpy()
+            order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
+            light = order[sizes[order] * shards <= sizes.sum()]
+            up = list(ids)  # an item that outweighs a mean pile goes up as it is
+            for i, pile in zip(light.tolist(), spread(sizes[light], shards)[0].tolist()):
+                up[i] = b"%d:%d:%d" % (level, table.column("node")[0].as_py(), pile)
+            return table.select(["id", "bytes"]).append_column("up", pa.array(up, pa.binary()))
+
+        return run
+
+    def top(table: pa.Table) -> pa.Table:
+        ids, sizes = table.column("id").to_pylist(), table.column("bytes").to_numpy()
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        shard_of = np.empty(len(ids), np.int32)
+        shard_of[order] = spread(sizes[order], shards)[0]
+        return table.select(["id"]).append_column("shard", pa.array(shard_of))
+
+    items = groups.select(F.col("key").alias("id"), "bytes")
+    n, levels = items.count(), []
+    while n > PER_NODE:
+        nodes = max(-(-n // PER_NODE), min(BELOW_TOP, n // (10 * shards)))
+        dealt = items.withColumn("node", F.pmod(F.xxhash64("id"), F.lit(nodes)))
+        levels.append(stored(dealt.groupBy("node").applyInArrow(node(len(levels)), "id binary, bytes bigint, up binary"), "sharding-tree"))
+        items = levels[-1].groupBy(F.col("up").alias("id")).agg(F.sum("bytes").alias("bytes"))
+        n = items.count()
+    known = stored(items.withColumn("node", F.pmod(F.xxhash64("id"), F.lit(1))).groupBy("node").applyInArrow(top, "id binary, shard int"), "sharding-top")
+    for level in reversed(levels):
+        known = level.select("id", "up").join(known.withColumnRenamed("id", "up"), "up").select("id", "shard")
+    return groups.join(known, groups.key == known.id).select("key", "rows", "shard")
 
 
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
