@@ -1,62 +1,59 @@
 """License scan with a positional rare-token index, in DataFrame functions only.
 
-Document frequencies of all template words are counted over all documents. The index holds, of each template, the words with the highest
-IDF, and their postings (word, template, position). All index words of a file are looked up; every occurrence and posting propose
-where a template would start in the file, and starts on which two or more occurrences agree remain. Such a place is a find if the template's key phrase stands
-exactly where it must; its score is the share of the template's words that stand in their places.
+The templates are the passages of common licence texts and notices. Document frequencies of all their words are counted over all documents, in one pass. A passage is
+looked for in a file that holds every word of its mandatory key phrase: of the passage's words that stand in the file, the ``RARE`` with the highest IDF and the
+two rarest of the key phrase are looked up; every occurrence in the file and posting (word, position) in the passage propose where the passage
+would start, and starts on which two or more occurrences agree remain. Such a place is a find if the key phrase stands exactly where it must; its score is
+the share of the passage's words that stand in their places. So no verbatim key phrase is lost, whatever the frequencies in the corpus, and notices with changed or left out
+words are found by the phrases that they keep.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import PASSAGES
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words of each template that the index holds.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words of a passage that are looked up in a file, besides the two rarest of its key phrase.
 RARE = 5
 
-#: Labels, short texts and key phrases of licence notices, in words as the scan sees them.
-TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "licensed under the mit license see license in the project root for license information", "mit license"),
-    ("apache", "licensed under the apache license version 2 0", "apache license"),
-    ("apache", "you may not use this file except in compliance with the license", "except in compliance with the license"),
-    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
-    ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl", "under the terms of the gnu affero general public license", "gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "released into the public domain"),
-]
 #: The base phrases and their labels.
 PHRASES = [(("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl")]
 
 
+def worded(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+#: Label, words and key phrase of each passage, in words as the scan sees them.
+TEMPLATES = [(label, worded(passage), worded(phrase)) for label, passage, phrase in PASSAGES]
+
+
 def words(text: str = "text") -> Column:
-    """Words of a whole text; letters outside ASCII belong to words, a null has none."""
-    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS), "")
+    """Words of a whole text; only A-Z change case, letters outside ASCII belong to words, a null has none."""
+    return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), SEPARATORS), "")
 
 
 def vocabulary() -> list[str]:
-    return list(dict.fromkeys(w for _, text, _ in TEMPLATES for w in text.split()))
+    return list(dict.fromkeys(w for _, body, _ in TEMPLATES for w in body))
 
 
-def frequencies(worded: DataFrame) -> tuple[dict[str, int], int]:
-    """Document frequency of every index word over all documents, and the number of documents."""
-    found = worded.select(F.explode(F.array_intersect(literal(vocabulary()), "words")).alias("word")).groupBy("word").count()
-    return {r[0]: r[1] for r in found.collect()}, worded.count()  # at most one row per index word
+def frequencies(worded_docs: DataFrame) -> tuple[dict[str, int], int]:
+    """Document frequency of every template word over all documents, and the number of documents, in one pass: an empty word stands in each."""
+    each = F.explode(F.concat(F.array_intersect(literal(vocabulary()), "words"), F.array(F.lit(""))))
+    found = {r[0]: r[1] for r in worded_docs.select(each.alias("word")).groupBy("word").count().collect()}  # at most one row per template word
+    return found, found.get("", 0)
 
 
 def literal(items: list[str]) -> Column:
-    return F.array(*[F.lit(x) for x in items])
+    """An array of words as one constant expression, which keeps the plan small."""
+    return F.split(F.lit(" ".join(items)), " ")
 
 
 def base_places() -> Column:
@@ -76,55 +73,57 @@ def base_places() -> Column:
     return F.filter(F.transform("words", at), lambda p: p.isNotNull())
 
 
+def phrase_at(body: list[str], key: list[str]) -> int:
+    return next(i for i in range(len(body)) if body[i : i + len(key)] == key)
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``n_words, places`` (start, label of base phrases) and ``finds`` (template label, start, score) to the columns of ``docs``.
+    """Add ``n_words, places`` (start, label of base phrases) and ``finds`` (label, start, score) to the columns of ``docs``.
 
-    Columns of these names, and of ``words``, are replaced. Null and empty texts have no words and no finds.
+    Columns of these names, and of ``words``, are replaced. Null and empty texts have no words and no finds. Repeated rows are judged each. Where a file quotes
+    a passage without its beginning, the find starts at the first word.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("words", "n_words", "places", "finds", "starts", "proposed", "rare")]
-    worded = docs.select(*kept, words(text).alias("words"))
-    df, n = frequencies(worded)
+    mine = ("words", "n_words", "places", "finds", "there", "lookup", "pool", "hits", "proposed", "starts")
+    split = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in mine], words(text).alias("words"))
+    df, n = frequencies(split)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in vocabulary()}
-    rarest = lambda words: sorted(words, key=lambda w: (-idf[w], w))
-    indexed = rarest({w for _, body, _ in TEMPLATES for w in rarest(set(body.split()))[:RARE]})
-    postings = F.array(
-        *[F.struct(F.lit(w).alias("word"), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, (_, body, _) in enumerate(TEMPLATES) for q, x in enumerate(body.split()) if x == w]).alias("at")) for w in indexed]
-    )
-    templates = F.array(
-        *[
-            F.struct(F.lit(label).alias("label"), literal(body.split()).alias("body"), literal(key.split()).alias("key"), F.lit(phrase_at(body.split(), key.split())).alias("at"))
-            for label, body, key in TEMPLATES
-        ]
-    )
-    none = F.array().cast("array<struct<t:int,start:int>>")
-    rare = F.array_intersect(literal(indexed), "words")
-    looked_up = F.filter(postings, lambda p: F.array_contains("rare", p["word"]))
-    hits = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("rare", w), F.struct(w.alias("word"), i.cast("int").alias("i")))), lambda h: h.isNotNull())
-
-    def proposals(h: Column) -> Column:
-        own = F.element_at(F.filter("looked_up", lambda p: p["word"] == h["word"]), 1)["at"]
-        return F.transform(own, lambda a: F.struct(a["t"].alias("t"), (h["i"] - a["q"]).alias("start")))
-
-    proposed = F.array_sort(F.filter(F.flatten(F.transform(hits, proposals)), lambda c: c["start"] >= 0))
-    agreed = F.array_distinct(F.filter("proposed", lambda c, i: (i > 0) & (F.get("proposed", i - 1) == c)))
+    rarest = lambda items: sorted(set(items), key=lambda w: (-idf[w], w))
+    templates = F.array(*[F.struct(F.lit(label).alias("label"), literal(body).alias("body"), literal(key).alias("key"), F.lit(phrase_at(body, key)).alias("at")) for label, body, key in TEMPLATES])
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), literal(sorted(set(key))).alias("key"), literal(rarest(key)[:2]).alias("first"), literal(body).alias("body")) for t, (_, body, key) in enumerate(TEMPLATES)])
+    own = lambda c: F.element_at(templates, c["t"] + 1)
 
-    def judged(c: Column) -> Column:
-        own = F.element_at(templates, c["t"] + 1)
-        verified = F.slice("words", c["start"] + own["at"] + 1, F.size(own["key"])) == own["key"]
-        inside = F.size(F.filter(own["body"], lambda w, j: F.coalesce(F.get("words", c["start"] + j) == w, F.lit(False))))
-        return F.when(verified, F.struct(own["label"].alias("label"), c["start"].cast("long").alias("start"), (inside / F.size(own["body"])).alias("score")))
+    def looked_up(t: Column) -> Column:
+        rare = F.slice(F.filter("there", lambda w: F.array_contains(t["body"], w)), 1, RARE)  # in order of IDF
+        return F.struct(t["t"].alias("t"), F.array_union(rare, t["first"]).alias("look"))
 
-    step = worded.withColumn("n_words", F.size("words").cast("long")).withColumn("rare", rare)
-    places = F.when(F.array_contains("words", "license"), base_places()).otherwise(F.array().cast("array<struct<start:bigint,label:string>>"))
-    step = step.withColumn("places", places).withColumn("looked_up", F.when(F.size("rare") > 0, looked_up))
-    step = step.withColumn("proposed", F.when(F.size("rare") > 0, proposed).otherwise(none))
-    step = step.withColumn("starts", F.when(F.size("proposed") > 1, agreed).otherwise(none))
-    finds = F.filter(F.transform("starts", judged), lambda f: f.isNotNull())
-    return step.withColumn("finds", finds).drop("words", "rare", "looked_up", "proposed", "starts")
+    def proposals(x: Column) -> Column:
+        def of_hit(h: Column) -> Column:
+            postings = F.transform(own(x)["body"], lambda w, q: F.when(w == h["word"], F.struct(x["t"].alias("t"), (h["i"] - q).alias("start"))))
+            return F.filter(postings, lambda p: p.isNotNull())
 
+        return F.flatten(F.transform(F.filter("hits", lambda h: F.array_contains(x["look"], h["word"])), of_hit))
 
-def phrase_at(body: list[str], key: list[str]) -> int:
-    return next(i for i in range(len(body)) if body[i : i + len(key)] == key)
+    def judged(c: Column) -> Column:
+        t = own(c)
+        verified = (c["start"] + t["at"] >= 0) & (F.slice("words", F.greatest(c["start"] + t["at"], F.lit(0)) + 1, F.size(t["key"])) == t["key"])
+        inside = F.size(F.filter(t["body"], lambda w, j: (c["start"] + j >= 0) & F.coalesce(F.get("words", F.greatest(c["start"] + j, F.lit(0))) == w, F.lit(False))))
+        return F.when(verified, F.struct(t["label"].alias("label"), F.greatest(c["start"], F.lit(0)).cast("long").alias("start"), (inside / F.size(t["body"])).alias("score")))
+
+    there = F.array_intersect(literal(rarest(vocabulary())), "words")
+    gates = literal(sorted({rarest(key)[0] for _, _, key in TEMPLATES}))
+    lookup = F.when(F.arrays_overlap("there", gates), F.transform(F.filter(keys, lambda t: F.size(F.array_except(t["key"], F.col("there"))) == 0), looked_up))
+    pool = F.when(F.size("lookup") > 0, F.array_distinct(F.flatten(F.transform("lookup", lambda x: x["look"]))))
+    hits = F.when(F.size("pool") > 0, F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("pool", w), F.struct(w.alias("word"), i.cast("int").alias("i")))), lambda h: h.isNotNull()))
+    proposed = F.when(F.size("hits") > 1, F.array_sort(F.flatten(F.transform("lookup", proposals))))
+    starts = F.when(F.size("proposed") > 1, F.array_distinct(F.filter("proposed", lambda c, i: (i > 0) & (F.get("proposed", i - 1) == c))))
+    nothing = F.array().cast("array<struct<label:string,start:bigint,score:double>>")
+    finds = F.when(F.size("starts") > 0, F.filter(F.transform("starts", judged), lambda f: f.isNotNull())).otherwise(nothing)
+    places = F.when(F.array_contains("words", "license"), base_places()).otherwise(F.array().cast("array<struct<start:bigint,label:string>>"))
+    step = split.withColumns({"n_words": F.size("words").cast("long"), "there": there, "places": places})
+    # Every column of these is used twice by the next, so that the optimizer keeps it a column of its own and no lambda computes it again for each element.
+    for name, made in (("lookup", lookup), ("pool", pool), ("hits", hits), ("proposed", proposed), ("starts", starts), ("finds", finds)):
+        step = step.withColumn(name, made)
+    return step.drop("words", "there", "lookup", "pool", "hits", "proposed", "starts")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -73,9 +73,10 @@ rep AS (SELECT doc_id, count(DISTINCT p) n FROM (SELECT doc_id, unnest([i, i + 1
 lines AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 judged AS (SELECT doc_id, line, length(array_to_string(lw, '')) chars, len(lw) n, len(list_filter(lw, lambda x: x IN ('|', '»', '>', '·', '•', '/'))) bars,
     len(list_filter(lw, lambda x: regexp_matches(x, '[!?]{2,}$') OR regexp_matches(x, '[#*$%&|<>@^~={}\\]{2,}'))) odd,
-    list_max(list_transform(list_distinct(lw), lambda x: len(list_filter(lw, lambda y: y = x)))) most FROM lines),
-failed AS (SELECT *, (bars >= 3 AND bars * 5 >= n) OR (odd >= 2 AND odd * 4 >= n) OR NOT regexp_matches(line, '\pL') OR (n >= 8 AND 2 * most > n)
-    OR (n <= 30 AND regexp_matches(line, '(?i)all rights reserved|cookie policy|accept (?:all )?cookies|terms of (?:use|service)|privacy policy|click here|sign up|log ?in\b|subscribe (?:now|to)|share (?:this|on)|read more|skip to content|back to top|enable javascript|powered by|lorem ipsum')) bad FROM judged),
+    list_max(list_transform(list_distinct(lw), lambda x: len(list_filter(lw, lambda y: y = x)))) most,
+    length(array_to_string(list_filter(lw, lambda x: regexp_matches(x, '^([a-z]+://|www\.)')), '')) links, regexp_matches(lw[-1], '[.!?…:;,"''”»)。！？؟।]$') ends FROM lines),
+failed AS (SELECT *, (bars >= 3 AND bars * 5 >= n) OR 2 * links > chars OR (odd >= 2 AND odd * 4 >= n) OR NOT regexp_matches(line, '\pL') OR (n <= 3 AND NOT ends) OR (n >= 8 AND 2 * most > n)
+    OR (n <= 30 AND regexp_matches(line, '(?i)all rights reserved|cookie policy|accept (?:all )?cookies|terms of (?:use|service)|privacy policy|click here|sign up|log ?in\b|subscribe (?:now|to)|share (?:this|on)|read more|skip to content|back to top|enable javascript|powered by|lorem ipsum|tous droits réservés|politique de confidentialité|accepter (?:tous )?les cookies|mentions légales|cliquez ici|lire la suite|alle rechte vorbehalten|datenschutzerklärung|impressum|cookies akzeptieren|hier klicken|weiterlesen|todos los derechos reservados|política de (?:privacidad|cookies)|aceptar (?:todas las )?cookies|aviso legal|haga clic aquí|leer más')) bad FROM judged),
 sums AS (SELECT doc_id, count(*) - count(DISTINCT line) dup, coalesce(sum(chars) FILTER (bad), 0) lost, count(*) FILTER (bad) n_bad FROM failed GROUP BY 1),
 base AS (SELECT w.doc_id, len(ws)::BIGINT n_words, length(array_to_string(ws, '')) word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT n_symbols,
     coalesce(dup, 0) n_dup_lines, coalesce(rep.n, 0) n_repeat_words, coalesce(lost, 0) lost, coalesce(n_bad, 0) n_failed_lines FROM w LEFT JOIN sums USING (doc_id) LEFT JOIN rep USING (doc_id))
@@ -107,22 +108,18 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN n
 
 
 def license_sql() -> str:
-    """The scan with its templates as VALUES."""
-    rows = ", ".join(f"({i}, '{label}', '{body}', '{key}')" for i, (label, body, key) in enumerate(licenses.TEMPLATES))
-    phrases = ", ".join(f"('{' '.join(p)}', '{label}')" for p, label in licenses.PHRASES)
+    """The definition without index or frequencies: every place where a key phrase stands, with the share of the passage's words around it that are in place."""
+    rows = ", ".join(f"({i}, '{label}', '{' '.join(body)}', '{' '.join(key)}')" for i, (label, body, key) in enumerate(licenses.TEMPLATES))
     return rf"""
-WITH t AS (SELECT tid, label, string_split(body, ' ') b, string_split(k, ' ') k FROM (VALUES {rows}) v(tid, label, body, k)),
-keyed AS (SELECT *, list_position(list_transform(range(1, len(b) - len(k) + 2), lambda i: list_slice(b, i, i + len(k) - 1) = k), true) AS p FROM t),
-tw AS (SELECT tid, unnest(b) word, unnest(range(len(b))) q FROM t),
-d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') ws FROM documents),
+WITH t AS MATERIALIZED (SELECT tid, label, string_split(body, ' ') b, string_split(k, ' ') k FROM (VALUES {rows}) v(tid, label, body, k)),
+keyed AS MATERIALIZED (SELECT *, list_position(list_transform(range(1, len(b) - len(k) + 2), lambda i: list_slice(b, i, i + len(k) - 1) = k), true) - 1 AS a, k[1] word FROM t),
+d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ -/:-`{-]+'), lambda x: x <> '') ws FROM documents),
 dw AS (SELECT doc_id, unnest(ws) word, unnest(range(len(ws))) i FROM d),
-seen AS (SELECT DISTINCT doc_id, word FROM dw SEMI JOIN tw USING (word)),
-idf AS (SELECT word, row_number() OVER (ORDER BY count(doc_id), word) place FROM (SELECT DISTINCT word FROM tw) LEFT JOIN seen USING (word) GROUP BY 1),
-indexed AS (SELECT DISTINCT word FROM (SELECT word, row_number() OVER (PARTITION BY tid ORDER BY place) r FROM (SELECT DISTINCT tid, word FROM tw) JOIN idf USING (word)) WHERE r <= {licenses.RARE}),
-rare AS (SELECT doc_id, word FROM seen SEMI JOIN indexed USING (word)),
-starts AS (SELECT doc_id, tid, i - q AS s FROM dw JOIN rare USING (doc_id, word) JOIN tw USING (word) WHERE i >= q GROUP BY ALL HAVING count(*) > 1),
-finds AS (SELECT doc_id, label, len(list_filter(range(len(b)), lambda j: coalesce(ws[s + j + 1] = b[j + 1], false))) / len(b) score FROM starts JOIN keyed USING (tid) JOIN d USING (doc_id) WHERE list_slice(ws, s + p, s + p + len(k) - 1) = k),
-places AS (SELECT doc_id, label, i - len(p) + 1 AS s FROM (SELECT string_split(p, ' ') p, label FROM (VALUES {phrases}) v(p, label)) JOIN dw ON word = p[-1] JOIN d USING (doc_id) WHERE i >= len(p) - 1 AND list_slice(ws, i - len(p) + 2, i + 1) = p),
+phrases AS (SELECT string_split(p, ' ') p, split_part(p, ' ', 1) word, label FROM (VALUES ('mit license', 'mit'), ('apache license', 'apache'), ('general public license', 'gpl')) v(p, label)),
+heads AS MATERIALIZED (SELECT doc_id, word, i FROM dw WHERE word IN (SELECT word FROM keyed UNION SELECT word FROM phrases)),
+finds AS (SELECT doc_id, label, len(list_filter(range(len(b)), lambda j: i - a + j >= 0 AND coalesce(ws[i - a + j + 1] = b[j + 1], false))) / len(b) score
+    FROM heads JOIN keyed USING (word) JOIN d USING (doc_id) WHERE list_slice(ws, i + 1, i + len(k)) = k),
+places AS (SELECT doc_id, label, i AS s FROM heads JOIN phrases USING (word) JOIN d USING (doc_id) WHERE list_slice(ws, i + 1, i + len(p)) = p),
 labelled AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM finds) GROUP BY 1)
 SELECT doc_id, len(ws)::BIGINT n_words, coalesce(n, 0) n_base, first_word, last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, CASE WHEN n > 0 THEN 0.5 ELSE 0 END)::DOUBLE score
 FROM d LEFT JOIN (SELECT doc_id, count(*) n, min(s) first_word, max(s) last_word, string_agg(DISTINCT label, ',' ORDER BY label) base_labels FROM places GROUP BY 1) USING (doc_id)
