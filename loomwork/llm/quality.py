@@ -12,26 +12,38 @@ from .common import append_columns
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
-#: Phrases of lines that are page furniture, not text.
+#: Phrases of lines that are page furniture, not text, in four languages; the other rules need no language.
 BOILERPLATE = re.compile(
     r"(?i)all rights reserved|cookie policy|accept (?:all )?cookies|terms of (?:use|service)|privacy policy|click here|sign up|log ?in\b|subscribe (?:now|to)|"
-    r"share (?:this|on)|read more|skip to content|back to top|enable javascript|powered by|lorem ipsum"
+    r"share (?:this|on)|read more|skip to content|back to top|enable javascript|powered by|lorem ipsum|"
+    r"tous droits réservés|politique de confidentialité|accepter (?:tous )?les cookies|mentions légales|cliquez ici|lire la suite|"
+    r"alle rechte vorbehalten|datenschutzerklärung|impressum|cookies akzeptieren|hier klicken|weiterlesen|"
+    r"todos los derechos reservados|política de (?:privacidad|cookies)|aceptar (?:todas las )?cookies|aviso legal|haga clic aquí|leer más"
 )
 LOUD = re.compile(r"[!?]{2,}$")
 HEAVY = re.compile(r"[#*$%&|<>@^~={}\\]{2,}")
+LINK = re.compile(r"^(?:[a-z]+://|www\.)")
+#: What ends a sentence, and marks that set the entries of a menu apart.
+ENDS = (".", "!", "?", "…", ":", ";", ",", '"', "'", "”", "»", ")", "。", "！", "？", "؟", "।")
+BARS = ("|", "»", ">", "·", "•", "/")
+SHORT = 3
 
 
 def line_fails(line: str, words: list[str]) -> str | None:
     """The name of the first rule that a line with words breaks, or None."""
     n = len(words)
-    bars = sum(w in ("|", "»", ">", "·", "•", "/") for w in words)
+    bars = sum(w in BARS for w in words)
     if bars >= 3 and bars * 5 >= n:
         return "navigation"
+    if 2 * sum(len(w) for w in words if LINK.search(w)) > sum(map(len, words)):
+        return "navigation"  # most of it is links
     odd = sum(bool(LOUD.search(w)) or bool(HEAVY.search(w)) for w in words)
     if odd >= 2 and odd * 4 >= n:
         return "punctuation"
     if not any(c.isalpha() for c in line):
         return "punctuation"
+    if n <= SHORT and not words[-1].endswith(ENDS):
+        return "punctuation"  # a short line that ends no sentence: a label, an entry of a menu
     if n >= 8 and 2 * max(Counter(words).values()) > n:
         return "repetition"
     if n <= 30 and BOILERPLATE.search(line):
