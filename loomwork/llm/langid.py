@@ -1,9 +1,8 @@
 """Language identification by compression: the language whose zstandard raw-content dictionaries encode a text shortest wins.
 
-Training takes at most ``SETS * SET_DOCS`` labelled documents per language (those with the least hash of their id), ``SHARE``
-characters of each; these are the documented bounds of the model. They make ``SETS`` dictionaries per language. Prediction encodes whole
-texts, folded to lower-case letters, in blocks of ``BLOCK`` bytes that each start from the dictionary, so that a long text is
-judged as sharply as a short one; the sizes over further dictionaries are added while the margin is narrow.
+Training takes at most ``SETS * SET_DOCS`` labelled documents per language, whole (those with the least hash of their id); this bound on rows is the documented
+parameter of the model. They make ``SETS`` dictionaries per language. Prediction encodes whole texts, folded to lower-case letters, in blocks of ``BLOCK`` bytes
+that each start from a dictionary, so that a long text is judged as sharply as a short one; the sizes over all dictionaries of a language are added.
 """
 
 from __future__ import annotations
@@ -19,11 +18,9 @@ from pyspark.sql import functions as F
 from .common import append_columns
 
 BLOCK = 4096
-LEVEL = 12
-SETS = 6
+LEVEL = 6
+SETS = 2
 SET_DOCS = 40
-SHARE = 600
-SURE = 0.03
 UNKNOWN = "und"
 OTHER = re.compile(r"[\W\d_]+")
 
@@ -41,17 +38,17 @@ def in_training(doc_id) -> F.Column:
 
 
 def train(labelled: DataFrame) -> Model:
-    """Dictionaries by language from ``(doc_id, text, lang)``; null languages and texts under 40 characters teach nothing.
+    """Dictionaries by language from ``(doc_id, text, lang)``; null languages and texts without letters teach nothing.
 
-    At most SETS * SET_DOCS excerpts per language come to the driver. Only ids are ranked, so no text is sorted.
+    At most SETS * SET_DOCS texts per language come to the driver. Only ids are ranked, so no text is sorted.
     """
-    usable = labelled.select("doc_id", "text", "lang").where("lang is not null and length(text) >= 40")
+    usable = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # Ranked in two steps, so that one task of a language sees some rows of each of 256 groups of tasks, not of every task.
     rows = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("hash")).withColumn("group", F.spark_partition_id() % 256)
     for keys in (["lang", "group"], ["lang"]):
         rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "doc_id"))).where(F.col("rank") <= SETS * SET_DOCS)
     chosen = rows.select("lang", "doc_id", "rank")
-    picked = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "rank").agg(F.min(F.substring("text", 1, SHARE)).alias("text"))
+    picked = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
     # Languages in order of their documents: equal encodings go to the more frequent one.
     order = [r["lang"] for r in labelled.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     texts: dict[str, list[str]] = {}
@@ -63,14 +60,13 @@ def train(labelled: DataFrame) -> Model:
 def scorer(model: Model) -> Callable[[str | None], tuple[str, float]]:
     """A function from a text to its language and margin, 0 to 1."""
     langs = list(model)
-    rounds = []
-    for k in range(SETS if langs else 0):
-        packers = []
-        for lang in langs:
-            known = zstandard.ZstdCompressionDict(model[lang][k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    packers = []
+    for lang in langs:
+        packers.append([])
+        for content in model[lang]:
+            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             known.precompute_compress(level=LEVEL)
-            packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-        rounds.append(packers)
+            packers[-1].append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
     def score(text: str | None) -> tuple[str, float]:
         if not text or not langs or not any(map(str.isalpha, text)):
@@ -79,14 +75,9 @@ def scorer(model: Model) -> Callable[[str | None], tuple[str, float]]:
             return langs[0], 1.0
         raw = fold(text).encode()
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        sizes, best, margin = [0] * len(langs), 0, 0.0
-        for packers in rounds:
-            for i, shrink in enumerate(packers):
-                sizes[i] += sum(len(shrink(b)) for b in blocks)
-            (least, best), (second, _) = sorted((s, i) for i, s in enumerate(sizes))[:2]
-            margin = (second - least) / second
-            if margin >= SURE:
-                break
+        sizes = [sum(len(shrink(b)) for shrink in own for b in blocks) for own in packers]
+        (least, best), (second, _) = sorted((s, i) for i, s in enumerate(sizes))[:2]
+        margin = (second - least) / second
         return langs[best], margin
 
     return score
