@@ -307,13 +307,16 @@ def dedup_substrings(docs: DataFrame, width: int = 13, spans: bool = False) -> D
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // CHUNK))
     held = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(n))).select("doc_id", "text", "chunk")
-    sent = held.groupBy("chunk").applyInArrow(lambda t: send_anchors(t, width, n), "bucket bigint, chunk bigint, prints binary, counts binary")
-    states = sent.groupBy("bucket").applyInArrow(weigh_anchors, "chunk bigint, bucket bigint, state binary")
-    stretches = held.groupBy("chunk").cogroup(states.groupBy("chunk")).applyInArrow(lambda d, s: send_stretches(d, s, width, n), "bucket bigint, chunk bigint, stretches binary, least binary")
-    bits = stretches.groupBy("bucket").applyInArrow(lambda t: subtree(t, width), "chunk bigint, bucket bigint, bits binary")
+    # As many partitions as chunks, so that what a task reads does not grow with the corpus.
+    by_chunk = lambda df: df.repartition(n, "chunk").groupBy("chunk")
+    by_bucket = lambda df: df.repartition(n, "bucket").groupBy("bucket")
+    sent = by_chunk(held).applyInArrow(lambda t: send_anchors(t, width, n), "bucket bigint, chunk bigint, prints binary, counts binary")
+    states = by_bucket(sent).applyInArrow(weigh_anchors, "chunk bigint, bucket bigint, state binary")
+    stretches = by_chunk(held).cogroup(by_chunk(states)).applyInArrow(lambda d, s: send_stretches(d, s, width, n), "bucket bigint, chunk bigint, stretches binary, least binary")
+    bits = by_bucket(stretches).applyInArrow(lambda t: subtree(t, width), "chunk bigint, bucket bigint, bits binary")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string" + (", removed array<struct<start:bigint,end:bigint>>" if spans else "")
     answers = states.select("chunk", "bucket", F.lit(0).alias("kind"), F.col("state").alias("blob")).union(bits.select("chunk", "bucket", F.lit(1).alias("kind"), F.col("bits").alias("blob")))
-    return held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda d, a: cut(d, a, width, n, spans), schema)
+    return by_chunk(held).cogroup(by_chunk(answers)).applyInArrow(lambda d, a: cut(d, a, width, n, spans), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
