@@ -28,7 +28,7 @@ from .substrings import CODES, U, mixed, powers
 #: Lower case for A-Z; what stands between words becomes a space; other bytes stay.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 CHUNK = 6 << 20
-BATCH = 2 << 20
+BATCH = 1 << 20
 #: Free positions between two documents of a chunk.
 GAP = 64
 #: Windows in a block; postings that a task follows at once; terms in a slice of counts.
