@@ -92,13 +92,14 @@ dw AS (SELECT doc_id, i, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') g
 hits AS (SELECT doc_id, i, n, item_id FROM dw JOIN iw USING (g, n)),
 words AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) p FROM hits) GROUP BY 1),
 items AS (SELECT doc_id, count(*) n_items, string_agg(item_id, ',' ORDER BY item_id) ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY 1),
-places AS (SELECT doc_id, unnest(ws) word, unnest(range(len(ws))) p FROM d),
+terms AS MATERIALIZED (SELECT g, unnest(wl) word, unnest(range(len(wl))) o FROM (SELECT DISTINCT g, wl FROM iw WHERE n >= 3)),
+places AS MATERIALIZED (SELECT * FROM (SELECT doc_id, unnest(ws) word, unnest(range(len(ws))) p FROM d) SEMI JOIN terms USING (word)),
 often AS (SELECT word, count(*) f FROM places GROUP BY 1),
-terms AS (SELECT g, unnest(wl) word, unnest(range(len(wl))) o FROM (SELECT DISTINCT g, wl FROM iw WHERE n >= 3)),
-ranked AS (SELECT g, word, o, row_number() OVER (PARTITION BY g ORDER BY coalesce(f, 0), o) r FROM terms LEFT JOIN often USING (word)),
-three AS (SELECT a.g, a.word w1, b.word w2, b.o - a.o o2, c.word w3, c.o - a.o o3 FROM ranked a JOIN ranked b USING (g) JOIN ranked c USING (g) WHERE a.r = 1 AND b.r = 2 AND c.r = 3),
-close1 AS (SELECT DISTINCT t.*, x.doc_id, x.p FROM three t JOIN places x ON x.word = w1 CROSS JOIN (SELECT unnest(range(-3, 4)) s) JOIN places y ON y.doc_id = x.doc_id AND y.word = w2 AND y.p = x.p + o2 + s),
-close2 AS (SELECT DISTINCT t.g, t.doc_id, t.p FROM close1 t CROSS JOIN (SELECT unnest(range(-3, 4)) s) JOIN places y ON y.doc_id = t.doc_id AND y.word = w3 AND y.p = t.p + o3 + s),
+ranked AS MATERIALIZED (SELECT g, word, o, row_number() OVER (PARTITION BY g ORDER BY coalesce(f, 0), o) r FROM terms LEFT JOIN often USING (word)),
+three AS MATERIALIZED (SELECT a.g, a.word w1, b.word w2, b.o - a.o o2, c.word w3, c.o - a.o o3 FROM ranked a JOIN ranked b USING (g) JOIN ranked c USING (g) WHERE a.r = 1 AND b.r = 2 AND c.r = 3),
+first AS MATERIALIZED (SELECT g, w2, o2, w3, o3, doc_id, p FROM three JOIN places ON word = w1),
+close1 AS MATERIALIZED (SELECT DISTINCT g, w3, o3, doc_id, f.p FROM (SELECT g, w2, w3, o3, doc_id, p, unnest(range(p + o2 - 3, p + o2 + 4)) q FROM first) f JOIN places y USING (doc_id) WHERE y.word = w2 AND y.p = q),
+close2 AS MATERIALIZED (SELECT DISTINCT g, doc_id, f.p FROM (SELECT g, w3, doc_id, p, unnest(range(p + o3 - 3, p + o3 + 4)) q FROM close1) f JOIN places y USING (doc_id) WHERE y.word = w3 AND y.p = q),
 near AS (SELECT doc_id, count(*) n_near FROM close2 GROUP BY 1),
 near_items AS (SELECT doc_id, count(*) n, string_agg(item_id, ',' ORDER BY item_id) ids FROM (SELECT DISTINCT doc_id, item_id FROM close2 JOIN iw USING (g)) GROUP BY 1)
 SELECT d.doc_id, len(ws)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items.ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated,
@@ -113,7 +114,7 @@ def license_sql() -> str:
     return rf"""
 WITH t AS MATERIALIZED (SELECT tid, label, string_split(body, ' ') b, string_split(k, ' ') k FROM (VALUES {rows}) v(tid, label, body, k)),
 keyed AS MATERIALIZED (SELECT *, list_position(list_transform(range(1, len(b) - len(k) + 2), lambda i: list_slice(b, i, i + len(k) - 1) = k), true) - 1 AS a, k[1] word FROM t),
-d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ -/:-`{-]+'), lambda x: x <> '') ws FROM documents),
+d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') ws FROM documents),
 dw AS (SELECT doc_id, unnest(ws) word, unnest(range(len(ws))) i FROM d),
 phrases AS (SELECT string_split(p, ' ') p, split_part(p, ' ', 1) word, label FROM (VALUES ('mit license', 'mit'), ('apache license', 'apache'), ('general public license', 'gpl')) v(p, label)),
 heads AS MATERIALIZED (SELECT doc_id, word, i FROM dw WHERE word IN (SELECT word FROM keyed UNION SELECT word FROM phrases)),
