@@ -135,6 +135,17 @@ def shots(pairs: Column | str) -> Column:
     return F.array_join(F.transform(col(pairs), lambda p: F.concat(p["prompt"], F.lit(" "), p["answer"], F.lit("\n\n"))), "")
 
 
+def json_shots(pairs: Column | str, lead: Column | None = None) -> Column:
+    """Array of (prompt, answer) to a prefix whose answers are JSON left open before the letter and closed after it; with ``lead`` in front of each prompt."""
+    before = F.lit("") if lead is None else lead
+    return F.array_join(F.transform(col(pairs), lambda p: F.concat(before, p["prompt"], F.lit(dims.JSON_OPEN), p["answer"], F.lit(dims.JSON_CLOSE))), "")
+
+
+def json_prompt(prefix: Column, question: Column | str) -> Column:
+    """The question after its shots, with the answer's JSON left open where the letter is scored."""
+    return F.concat(prefix, col(question), F.lit(dims.JSON_OPEN))
+
+
 def chat(prefix: Column, question: Column | str) -> Column:
     """Alternating user and assistant turns of the shots, then the question."""
     turns = F.flatten(F.transform(prefix, lambda p: F.array(F.struct(F.lit("user").alias("role"), p["prompt"].alias("content")), F.struct(F.lit("assistant").alias("role"), p["answer"].alias("content")))))
@@ -161,6 +172,7 @@ def alternatives(names: list[str]) -> str:
 def strip_mentions(c: Column | str) -> Column:
     """Country and people's names off a story: three forms at its start, then three anywhere; spaces closed up, first letter raised."""
     land, people = alternatives(dims.COUNTRY_NAMES), alternatives(dims.DEMONYM_NAMES)
+    # The six patterns, in the order in which they apply.
     out = F.coalesce(col(c), F.lit(""))
     for pattern in (rf"^\s*In\s+(?:the\s+)?(?:{land})\s*,\s*", rf"^\s*In\s+(?:a|an|the)?\s*(?:{people})\s+", rf"^\s*Among\s+(?:{people})s?\s*,\s*", rf"\bin\s+(?:the\s+)?(?:{land})\b", rf"\b(?:{people})\b", rf"\bfrom\s+(?:{land})\b"):
         out = F.regexp_replace(out, "(?iuU)" + pattern, "")

@@ -46,8 +46,11 @@ def extract_with(df: DataFrame, extractor: Callable[[pd.Series], pd.Series], tex
     return df.drop("mentions").mapInPandas(run, schema)
 
 
-def detect_with(df: DataFrame, detector: Callable[[str], str], wanted: str = "en", text: str = "text", limit: int = 500) -> DataFrame:
-    """Rows whose first ``limit`` characters an external detector gives the wanted language; errors count as another language."""
+def detect_with(df: DataFrame, detector: Callable[[str], str], wanted: str = "en", text: str = "text", limit: int | None = None) -> DataFrame:
+    """Rows whose text an external detector gives the wanted language; errors count as another language.
+
+    With ``limit`` it sees only so many first characters: a rule that results depend on where it is set (500 in the study).
+    """
 
     def run(batches):
         for pdf in batches:

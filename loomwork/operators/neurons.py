@@ -50,16 +50,21 @@ def scale_limits(profile: DataFrame, keys: list[str], value: str = "asymmetry",
     return profile.groupBy(*keys).agg(F.max(a).alias("linear"), F.percentile(a, F.lit(robust)).alias("robust"), F.median(a).alias("symlog"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
-def deltas_in_one_pass(df: DataFrame, keys: list[str], score: Column | str = "score", control: Column | str = "control", sample: str = "sample") -> DataFrame:
+def deltas_in_one_pass(df: DataFrame, keys: list[str], score: Column | str = "score", control: Column | str = "control", sample: str = "sample", also: list[Column] | None = None) -> DataFrame:
     """Mean score per sample minus the control's, where a row may carry both (null: neither); a neuron without control rows has control 0.
 
-    One aggregation over the contributions and one that counts samples by condition; treatment and control are never joined.
+    One aggregation over the contributions, with further sums in ``also``, and one that counts samples by condition: a row per sample with two flags, then their sums.
+    Treatment and control are never joined.
     """
     s, c = (F.col(x) if isinstance(x, str) else x for x in (score, control))
-    sums = df.groupBy(*keys, *NEURON).agg(F.sum(s).alias("t"), F.sum(c).alias("c"))
-    samples = df.groupBy(*keys).agg(F.count_distinct(F.when(s.isNotNull(), F.col(sample))).alias("n"), F.count_distinct(F.when(c.isNotNull(), F.col(sample))).alias("m"))
+    more = also or []
+    sums = df.groupBy(*keys, *NEURON).agg(F.sum(s).alias("t"), F.sum(c).alias("c"), *more)
+    known = F.col(sample).isNotNull()
+    flags = df.groupBy(*keys, sample).agg(F.max((s.isNotNull() & known).cast("long")).alias("n"), F.max((c.isNotNull() & known).cast("long")).alias("m"))
+    samples = flags.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     net = F.col("t") / F.col("n") - F.coalesce(F.try_divide("c", "m"), F.lit(0.0))
-    return sums.where("t is not null").join(F.broadcast(samples), keys).select(*keys, *NEURON, net.alias("delta"))
+    rest = [f for f in sums.columns if f not in [*keys, *NEURON, "t", "c"]]
+    return sums.where("t is not null").join(F.broadcast(samples), keys).select(*keys, *NEURON, net.alias("delta"), *rest)
 
 
 def deltas(treated: DataFrame, control: DataFrame, keys: list[str], sample: str = "sample") -> DataFrame:
@@ -83,8 +88,11 @@ def exclude(selected: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFr
     return selected.join(excluded, [*keys, *NEURON], "left_anti")
 
 
-def counts_by(df: DataFrame, key: str, condition: str, values: list) -> DataFrame:
-    return df.groupBy(key).pivot(condition, values).agg(F.count(F.lit(1))).na.fill(0)
+def counts_by(df: DataFrame, key: str, condition: str, values: list, rows: list) -> DataFrame:
+    """Neurons by key and condition; every listed row is there, and a cell without neurons is null. Rows are a model's modules or layers."""
+    counted = df.groupBy(key).pivot(condition, values).agg(F.count(F.lit(1)))
+    every = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, rows))).alias(key))
+    return every.join(counted, key, "left")
 
 
 def mean_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -1,13 +1,17 @@
 """Resampling and rank statistics.
 
 A statistic of resampled countries depends on a country only through its sums, so items are first summed by country: replicates then work on
-a few dozen rows, whatever the number of items. Draws come from md5 of (seed, replicate, draw): the same law as a generator's, and repeatable.
+a few dozen rows, whatever the number of items. Draws of countries come from md5 of (seed, replicate, draw): the same law as a generator's, and repeatable. Items are drawn by
+classes of equal ones.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +45,28 @@ def cluster_bootstrap(sums: DataFrame, n: int, seed: str = "boot") -> DataFrame:
     return replicates(sums, n, of, seed).join(F.broadcast(numbered), "idx").groupBy("rep").agg(shift().alias("shift"))
 
 
-def item_bootstrap(items: DataFrame, n: int, seed: str = "item") -> DataFrame:
-    """rep, shift: items drawn with replacement, the same ones before and after. items: idx 1..m, side, h0, n0, h1, n1."""
-    return replicates(items, n, items.count(), seed).join(items, "idx").groupBy("rep").agg(shift().alias("shift"))
+def item_bootstrap(items: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """rep, shift: items drawn with replacement, the same ones before and after. items: idx, side, h0, n0, h1, n1.
+
+    Items that are equal in side and counts are of one class, of which there are a handful (eight for hits of 0 and 1). A replicate's draws fall on the classes by the multinomial
+    law with the classes' shares, so a replicate costs as much as there are classes, however many items there are. Replicates have generators of their own.
+    """
+    kept = ["side", "h0", "n0", "h1", "n1"]
+    classes = [tuple(r) for r in items.groupBy(*kept).count().orderBy(*kept).collect()]
+    count = np.array([c[-1] for c in classes], np.int64)
+    sums = {s: np.array([[v if c[0] == s else 0 for v in c[1:5]] for c in classes], np.float64).reshape(-1, 4) for s in ("W", "NW")}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rep in batch.column("rep").to_pylist():
+                drawn = np.random.default_rng([seed, rep]).multinomial(int(count.sum()), count / count.sum())
+                (h0, n0, h1, n1), (g0, m0, g1, m1) = drawn @ sums["W"], drawn @ sums["NW"]
+                out.append((h1 / n1 - g1 / m1) - (h0 / n0 - g0 / m0) if n0 and n1 and m0 and m1 else None)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, pa.float64())], ["rep", "shift"])
+
+    reps = items.sparkSession.range(n if classes else 0).withColumnRenamed("id", "rep")
+    return reps.mapInArrow(run, "rep bigint, shift double")
 
 
 def permutation(sums: DataFrame, n: int, seed: str = "perm") -> DataFrame:

@@ -385,14 +385,9 @@ def enrich_left_join(spark, d):
     return curate.join_tags(table(spark, d, "documents").select("doc_id", "text"), lookup, "text", "left").select("doc_id", "culture_tag", "language", "matched")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END origin FROM tagged WHERE doc_id % 2 = 0 OR doc_id % 3 = 0", "tagged")
-def merge_precedence(spark, d):
-    ids = tagged(spark, d).select("doc_id")
-    return curate.merge(ids.where("doc_id % 2 = 0").withColumn("origin", F.lit("first")), ids.where("doc_id % 3 = 0").withColumn("origin", F.lit("second")), keys=["doc_id"])
-
 
 @query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'second' ELSE 'first' END origin FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)")
-def merge_precedence_whole(spark, d):
+def merge_precedence(spark, d):
     docs, labels = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
     return curate.merge(docs.withColumn("origin", F.lit("first")), labels.withColumn("origin", F.lit("second")), keys=["doc_id"])
 
@@ -408,32 +403,20 @@ def rekeying_join(spark, d):
     return curate.rekey(rows, lookup, "text", F.concat("text", F.lit("\n\n"), "lang"), "src").select("culture_tag", "src")
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey % 10 = 0 QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('7_' || o_orderkey), o_orderkey) = 1")
-def fewshot_pick(spark, d):
-    pool = table(spark, d, "orders").where("o_custkey % 10 = 0").select("o_orderkey", "o_orderstatus")
-    return curate.pick_per_label(pool, "o_orderstatus", "7", "o_orderkey").select("o_orderkey", "o_orderstatus")
-
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('7_' || o_orderkey), o_orderkey) = 1")
-def fewshot_pick_whole(spark, d):
+def fewshot_pick(spark, d):
     pool = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     return curate.pick_per_label(pool, "o_orderstatus", "7", "o_orderkey").select("o_orderkey", "o_orderstatus")
 
 
-@query(
-    """, p AS (SELECT item, gold, md5('3_' || item) h, row_number() OVER (PARTITION BY gold ORDER BY md5('3_' || item), item) r FROM scored WHERE cond = 0 AND item % 5 = 0) SELECT item, gold FROM (SELECT * FROM p ORDER BY r > 1, h, item LIMIT 5)""",
-    "scored",
-)
-def fewshot_distinct_then_fill(spark, d):
-    return curate.pick_distinct_then_fill(scored(spark, d).where("cond = 0 and item % 5 = 0").select("item", "gold"), 5, "gold", "3", "item")
-
 
 @query(
-    """, p AS (SELECT item, gold, md5('3_' || item) h, row_number() OVER (PARTITION BY gold ORDER BY md5('3_' || item), item) r FROM scored WHERE cond = 0) SELECT item, gold FROM (SELECT * FROM p ORDER BY r > 1, h, item LIMIT 5)""",
+    """, p AS (SELECT item, gold, md5('3_' || item) h, row_number() OVER (PARTITION BY gold ORDER BY md5('3_' || item), item) r FROM (SELECT DISTINCT item, gold FROM scored)) SELECT item, gold FROM (SELECT * FROM p ORDER BY r > 1, h, item LIMIT 5)""",
     "scored",
 )
-def fewshot_distinct_then_fill_whole(spark, d):
-    return curate.pick_distinct_then_fill(scored(spark, d).where("cond = 0").select("item", "gold"), 5, "gold", "3", "item")
+def fewshot_distinct_then_fill(spark, d):
+    return curate.pick_distinct_then_fill(scored(spark, d).select("item", "gold").distinct(), 5, "gold", "3", "item")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY md5('42_' || o_orderkey), o_orderkey LIMIT 100")
@@ -441,14 +424,9 @@ def shuffle_cap(spark, d):
     return curate.sample(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), 100, "42", "o_orderkey")
 
 
-@query("SELECT doc_id, source || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN lang || chr(10) || chr(10) ELSE '' END || substr(text, 1, 40) AS text FROM documents")
-def instruction_format(spark, d):
-    given = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("")
-    return table(spark, d, "documents").select("doc_id", text.instruct("source", given, F.substring("text", 1, 40)).alias("text"))
-
 
 @query("SELECT doc_id, source || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN lang || chr(10) || chr(10) ELSE '' END || text AS text FROM documents")
-def instruction_format_whole(spark, d):
+def instruction_format(spark, d):
     given = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("")
     return table(spark, d, "documents").select("doc_id", text.instruct("source", given, "text").alias("text"))
 
@@ -458,16 +436,16 @@ def instruction_format_whole(spark, d):
 
 def delta_rows(spark, d):
     control = F.when(F.col("is_control"), F.col("control"))
-    return neurons.deltas_in_one_pass(contributions(spark, d), ["cond"], "score", control).withColumn("delta", F.round("delta", 6))
+    return neurons.deltas_in_one_pass(contributions(spark, d), ["cond"], "score", control, also=[F.round(F.sum("rc"), 2).alias("s")]).withColumn("delta", F.round("delta", 6))
 
 
 def selected_rows(spark, d):
-    return neurons.top_fraction(delta_rows(spark, d), ["cond"], "delta")
+    return neurons.top_fraction(delta_rows(spark, d).drop("s"), ["cond"], "delta")
 
 
 def control_rows(spark, d):
-    sums = contributions(spark, d).groupBy("cond", *neurons.NEURON).agg(F.round(F.sum("rc"), 2).alias("s"))
-    return neurons.top_fraction(sums, ["cond"], "s", which=1)
+    """From the same aggregation as the deltas, so that a query with both reads the contributions once."""
+    return neurons.top_fraction(delta_rows(spark, d).drop("delta"), ["cond"], "s", which=1)
 
 
 CONDS = ["c0", "c1", "c2", "c3"]
@@ -480,7 +458,7 @@ def score_accumulation(spark, d):
 
 @query("SELECT cond, module, layer, neuron, delta FROM deltas", "deltas")
 def neuron_delta(spark, d):
-    return delta_rows(spark, d)
+    return delta_rows(spark, d).drop("s")
 
 
 @query("SELECT cond, module, layer, neuron, delta, fam AS family FROM selected", "selected")
@@ -493,14 +471,17 @@ def exclude_countryrc(spark, d):
     return neurons.exclude(selected_rows(spark, d).drop("family"), control_rows(spark, d), ["cond"])
 
 
-@query("SELECT layer, count(*) FILTER (cond = 'c0') c0, count(*) FILTER (cond = 'c1') c1, count(*) FILTER (cond = 'c2') c2, count(*) FILTER (cond = 'c3') c3 FROM selected GROUP BY 1", "selected")
+COUNTED = "nullif(count(neuron) FILTER (cond = 'c0'), 0) c0, nullif(count(neuron) FILTER (cond = 'c1'), 0) c1, nullif(count(neuron) FILTER (cond = 'c2'), 0) c2, nullif(count(neuron) FILTER (cond = 'c3'), 0) c3"
+
+
+@query(f"SELECT layer, {COUNTED} FROM (SELECT unnest(range(28))::INT layer) LEFT JOIN selected USING (layer) GROUP BY 1", "selected")
 def layer_counts_pivot(spark, d):
-    return neurons.counts_by(selected_rows(spark, d), "layer", "cond", CONDS)
+    return neurons.counts_by(selected_rows(spark, d), "layer", "cond", CONDS, list(range(28)))
 
 
-@query("SELECT module, count(*) FILTER (cond = 'c0') c0, count(*) FILTER (cond = 'c1') c1, count(*) FILTER (cond = 'c2') c2, count(*) FILTER (cond = 'c3') c3 FROM selected GROUP BY 1", "selected")
+@query(f"SELECT module, {COUNTED} FROM (SELECT unnest(['mlp.gate_proj', 'self_attn.v_proj', 'self_attn.q_proj', 'self_attn.k_proj']) AS module) LEFT JOIN selected USING (module) GROUP BY 1", "selected")
 def module_counts_pivot(spark, d):
-    return neurons.counts_by(selected_rows(spark, d), "module", "cond", CONDS)
+    return neurons.counts_by(selected_rows(spark, d), "module", "cond", CONDS, [m for own in dims.FAMILIES.values() for m in own])
 
 
 @query("SELECT cond, layer, count(*) n, round(avg(delta), 4) mean FROM selected GROUP BY 1, 2", "selected")
@@ -594,46 +575,34 @@ DRAW = "('0x' || substr(md5('{}_' || rep || '_' || draw), 1, 8))::BIGINT"
 
 
 @query(
-    f""", k AS (SELECT *, row_number() OVER (ORDER BY country) idx, count(*) OVER () n FROM sums), b AS (SELECT rep, {SHIFT} AS "shift" FROM (SELECT unnest(range(200)) rep), (SELECT unnest(range((SELECT count(*) FROM sums))) draw)
+    f""", k AS (SELECT *, row_number() OVER (ORDER BY country) idx, count(*) OVER () n FROM sums), b AS (SELECT rep, {SHIFT} AS "shift" FROM (SELECT unnest(range({REPLICATES})) rep), (SELECT unnest(range((SELECT count(*) FROM sums))) draw)
     JOIN k ON idx = {DRAW.format('boot')} % n + 1 GROUP BY 1) SELECT count("shift") n, round(quantile_cont("shift", 0.025::DOUBLE), 6) lo, round(quantile_cont("shift", 0.975::DOUBLE), 6) hi FROM b""",
     "sums",
 )
 def bootstrap_gap_ci(spark, d):
-    return resample.interval(resample.cluster_bootstrap(resample.country_sums(predictions(spark, d), 0, 1), 200)).select("n", *r6("lo", "hi"))
-
-
-@query(ORACLE["bootstrap_gap_ci"].replace("range(200)", f"range({REPLICATES})"))
-def bootstrap_gap_ci_5000(spark, d):
     return resample.interval(resample.cluster_bootstrap(resample.country_sums(predictions(spark, d), 0, 1), REPLICATES)).select("n", *r6("lo", "hi"))
 
 
-@query(
-    f""", k AS (SELECT item + 1 idx, any_value(side) side, count(*) FILTER (cond = 0 AND pred = gold) h0, 1 n0, count(*) FILTER (cond = 1 AND pred = gold) h1, 1 n1 FROM predictions GROUP BY 1),
-    b AS (SELECT rep, {SHIFT} AS "shift" FROM (SELECT unnest(range(40)) rep), (SELECT unnest(range((SELECT count(*) FROM k))) draw) JOIN k ON idx = {DRAW.format('item')} % (SELECT count(*) FROM k) + 1 GROUP BY 1)
-    SELECT count("shift") n, round(quantile_cont("shift", 0.025::DOUBLE), 6) lo, round(quantile_cont("shift", 0.975::DOUBLE), 6) hi FROM b""",
-    "predictions",
-)
-def item_bootstrap_ci(spark, d):
-    hit = (F.col("pred") == F.col("gold")).cast("long")
-    p = predictions(spark, d).where("cond < 2")
-    items = p.groupBy((F.col("item") + 1).alias("idx"), "side").agg(F.sum(F.when(F.col("cond") == 0, hit)).alias("h0"), F.lit(1).alias("n0"), F.sum(F.when(F.col("cond") == 1, hit)).alias("h1"), F.lit(1).alias("n1"))
-    return resample.interval(resample.item_bootstrap(items, 40)).select("n", *r6("lo", "hi"))
-
 
 @query(
     f""", o AS (SELECT {SHIFT} AS "shift" FROM sums), r AS (SELECT rep, h0, n0, h1, n1, CASE WHEN row_number() OVER (PARTITION BY rep ORDER BY md5('perm_' || rep || '_' || country), country) <= (SELECT count(*) FROM sums WHERE side = 'W') THEN 'W' ELSE 'NW' END side
-    FROM sums, (SELECT unnest(range(200)) rep)), b AS (SELECT rep, {SHIFT} AS "shift" FROM r GROUP BY 1) SELECT round(avg((abs("shift") >= (SELECT abs("shift") FROM o))::INT), 6) p, (SELECT round("shift", 6) FROM o) observed FROM b""",
+    FROM sums, (SELECT unnest(range({REPLICATES})) rep)), b AS (SELECT rep, {SHIFT} AS "shift" FROM r GROUP BY 1) SELECT round(avg((abs("shift") >= (SELECT abs("shift") FROM o))::INT), 6) p, (SELECT round("shift", 6) FROM o) observed FROM b""",
     "sums",
 )
 def permutation_p(spark, d):
     sums = resample.country_sums(predictions(spark, d), 0, 1)
-    return resample.p_value(resample.permutation(sums, 200), sums.agg(resample.shift().alias("shift"))).select(*r6("p", "observed"))
+    return resample.p_value(resample.permutation(sums, REPLICATES), sums.agg(resample.shift().alias("shift"))).select(*r6("p", "observed"))
 
 
-@query(ORACLE["permutation_p"].replace("range(200)", f"range({REPLICATES})"))
-def permutation_p_5000(spark, d):
-    sums = resample.country_sums(predictions(spark, d), 0, 1)
-    return resample.p_value(resample.permutation(sums, REPLICATES), sums.agg(resample.shift().alias("shift"))).select(*r6("p", "observed"))
+
+def item_bootstrap_ci(spark, d):
+    """Draws come from a generator, so there is no SQL; tests hold it against draws of single items."""
+    from . import reports
+
+    return resample.interval(resample.item_bootstrap(reports.item_rows(predictions(spark, d), 0, 1), REPLICATES)).select("n", *r6("lo", "hi"))
+
+
+QUERIES["item_bootstrap_ci"] = item_bootstrap_ci
 
 
 # Ordered data
@@ -700,21 +669,15 @@ def log_grep(spark, d):
 # Text
 
 
-@query("SELECT doc_id, replace(t, 'the', 'US') AS text FROM (SELECT doc_id, substr(text, 1, 60) t FROM documents WHERE contains(substr(text, 1, 60), 'the')) UNION ALL SELECT doc_id, replace(substr(text, 1, 60), ' of ', 'US') FROM documents WHERE NOT contains(substr(text, 1, 60), 'the')")
-def counterfactual_rewrite(spark, d):
-    head = F.substring("text", 1, 60)
-    land = F.when(F.contains(head, F.lit("the")), F.lit("the")).otherwise("_of_")
-    return table(spark, d, "documents").select("doc_id", text.as_if_us(head, land).alias("text"))
-
 
 @query("SELECT doc_id, replace(text, 'the', 'US') AS text FROM documents WHERE contains(text, 'the') UNION ALL SELECT doc_id, replace(text, ' of ', 'US') FROM documents WHERE NOT contains(text, 'the')")
-def counterfactual_rewrite_whole(spark, d):
+def counterfactual_rewrite(spark, d):
     land = F.when(F.contains("text", F.lit("the")), F.lit("the")).otherwise("_of_")
     return table(spark, d, "documents").select("doc_id", text.as_if_us("text", land).alias("text"))
 
 
 @query(
-    """SELECT item, CASE item % 4 WHEN 0 THEN 'People shake hands ' || item WHEN 1 THEN 'People shake hands ' || item WHEN 2 THEN 'Elders ' || item || ' speak first' ELSE 'She bowed when , ' || item || ' guests came' END story FROM scored WHERE cond = 0""",
+    """SELECT cond, item, CASE item % 4 WHEN 0 THEN 'People shake hands ' || item WHEN 1 THEN 'People shake hands ' || item WHEN 2 THEN 'Elders ' || item || ' speak first' ELSE 'She bowed when , ' || item || ' guests came' END story FROM scored""",
     "scored",
 )
 def strip_mentions(spark, d):
@@ -725,11 +688,11 @@ def strip_mentions(spark, d):
         .when(F.col("item") % 4 == 2, F.concat(F.lit(" Elders "), i, F.lit(" from Japan speak first")))
         .otherwise(F.concat(F.lit("She bowed when in Japan, "), i, F.lit(" Korean guests came")))
     )
-    return scored(spark, d).where("cond = 0").select("item", text.strip_mentions(story).alias("story"))
+    return scored(spark, d).select("cond", "item", text.strip_mentions(story).alias("story"))
 
 
 @query(
-    """SELECT item, CASE item % 5 WHEN 0 THEN ['United States', 'Japan'] WHEN 1 THEN ['Germany'] WHEN 2 THEN ['France', 'Kenya'] WHEN 3 THEN []::VARCHAR[] ELSE ['United Kingdom'] END countries FROM scored WHERE cond = 0""",
+    """SELECT cond, item, CASE item % 5 WHEN 0 THEN ['United States', 'Japan'] WHEN 1 THEN ['Germany'] WHEN 2 THEN ['France', 'Kenya'] WHEN 3 THEN []::VARCHAR[] ELSE ['United Kingdom'] END countries FROM scored""",
     "scored",
 )
 def entity_normalize(spark, d):
@@ -738,30 +701,30 @@ def entity_normalize(spark, d):
     from ..operators import mentions as m
 
     gazetteer = m.gazetteer(spark.createDataFrame([("FR", "France"), ("DE", "Germany"), ("KE", "Kenya"), ("JP", "Japan")], "code string, name string"), spark.createDataFrame([("Paris", "FR", 1), ("Berlin", "DE", 2)], "city string, code string, ord int"))
-    return m.resolve(scored(spark, d).where("cond = 0").select("item", mentions.alias("mentions")), "item", "mentions", gazetteer).select("item", "countries")
+    return m.resolve(scored(spark, d).select(F.struct("cond", "item").alias("row"), mentions.alias("mentions")), "row", "mentions", gazetteer).select("row.cond", "row.item", "countries")
 
 
-@query("SELECT item, CASE WHEN ('0x' || substr(md5('seed_' || item), 1, 8))::BIGINT % 2 = 1 THEN 'no, yes' ELSE 'yes, no' END options, CASE WHEN (('0x' || substr(md5('seed_' || item), 1, 8))::BIGINT % 2 = 1) = (gold = 'yes') THEN 2 ELSE 1 END::INT answer FROM scored WHERE cond = 0 AND gold <> 'neutral'", "scored")
+@query("SELECT cond, item, CASE WHEN ('0x' || substr(md5('seed_' || item), 1, 8))::BIGINT % 2 = 1 THEN 'no, yes' ELSE 'yes, no' END options, CASE WHEN (('0x' || substr(md5('seed_' || item), 1, 8))::BIGINT % 2 = 1) = (gold = 'yes') THEN 2 ELSE 1 END::INT answer FROM scored WHERE gold <> 'neutral'", "scored")
 def option_shuffle(spark, d):
     swap = text.option_order("seed", "item")
-    rows = scored(spark, d).where("cond = 0 and gold <> 'neutral'")
-    return rows.select("item", F.when(swap, "no, yes").otherwise("yes, no").alias("options"), F.when(swap == (F.col("gold") == "yes"), 2).otherwise(1).alias("answer"))
+    rows = scored(spark, d).where("gold <> 'neutral'")
+    return rows.select("cond", "item", F.when(swap, "no, yes").otherwise("yes, no").alias("options"), F.when(swap == (F.col("gold") == "yes"), 2).otherwise(1).alias("answer"))
 
 
-@query("SELECT item, 'You are evaluating cultural acceptability.' || chr(10) || 'Country: ' || country || chr(10) || 'Scenario: ' || gold || chr(10) || 'Question: Is this action socially acceptable in this culture?' || chr(10) || 'Answer with exactly one of: yes, no, neutral.' || chr(10) || 'Answer:' prompt FROM scored WHERE cond = 0", "scored")
+@query("SELECT cond, item, 'You are evaluating cultural acceptability.' || chr(10) || 'Country: ' || country || chr(10) || 'Scenario: ' || gold || chr(10) || 'Question: Is this action socially acceptable in this culture?' || chr(10) || 'Answer with exactly one of: yes, no, neutral.' || chr(10) || 'Answer:' prompt FROM scored", "scored")
 def prompt_render(spark, d):
-    return scored(spark, d).where("cond = 0").select("item", text.story_prompt("three", "country", "gold").alias("prompt"))
+    return scored(spark, d).select("cond", "item", text.story_prompt("three", "country", "gold").alias("prompt"))
 
 
 @query(
-    """SELECT item, CASE label % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'neutral' END gold, CASE item % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'Atlantis' ELSE 'Unknown' END country, CASE item % 3 WHEN 0 THEN 'Western' ELSE 'Other' END grp FROM scored WHERE cond = 0""",
+    """SELECT cond, item, CASE label % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'neutral' END gold, CASE item % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'Atlantis' ELSE 'Unknown' END country, CASE item % 3 WHEN 0 THEN 'Western' ELSE 'Other' END grp FROM scored""",
     "scored",
 )
 def coalesce_labels(spark, d):
     raw = F.when(F.col("label") % 3 == 0, " Acceptable\n").when(F.col("label") % 3 == 1, "0").otherwise("Neither")
     land = F.when(F.col("item") % 3 == 0, " United_States_of_America ").when(F.col("item") % 3 == 1, "Atlantis").otherwise("")
-    rows = scored(spark, d).where("cond = 0").withColumn("c", text.country(land, F.lit(None).cast("string")))
-    return rows.select("item", text.gold_label(F.lit("??"), raw).alias("gold"), F.col("c").alias("country"), regions.group_of("c").alias("grp"))
+    rows = scored(spark, d).withColumn("c", text.country(land, F.lit(None).cast("string")))
+    return rows.select("cond", "item", text.gold_label(F.lit("??"), raw).alias("gold"), F.col("c").alias("country"), regions.group_of("c").alias("grp"))
 
 
 # Further products
@@ -844,14 +807,9 @@ def curated_union(spark, d):
     return curate.union_all(text_part, preference_pairs(spark, d).select(F.lit("pair").alias("part"), F.col("conv_id").cast("string").alias("id")))
 
 
-@query("SELECT doc_id, 'Passage: ' || substr(text, 1, 30) || chr(10) || 'Question: ' || source || chr(10) || 'Answer:' prompt, CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END gold FROM documents")
-def reading_prompts(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", text.nlu_prompt("boolq", passage=F.substring("text", 1, 30), question=F.col("source")).alias("prompt"), text.nlu_gold("boolq", F.col("doc_id") % 2 == 0).alias("gold"))
-
 
 @query("SELECT doc_id, 'Passage: ' || text || chr(10) || 'Question: ' || source || chr(10) || 'Answer:' prompt, CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END gold FROM documents")
-def reading_prompts_whole(spark, d):
+def reading_prompts(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", text.nlu_prompt("boolq", passage=F.col("text"), question=F.col("source")).alias("prompt"), text.nlu_gold("boolq", F.col("doc_id") % 2 == 0).alias("gold"))
 
@@ -879,11 +837,15 @@ def significance_sql(pairs: list[tuple[int, int]], n: int) -> str:
     return " UNION ALL ".join(parts)
 
 
-@query(significance_sql([(0, 1), (0, 3)], 60), "predictions")
+#: base with sft, dpo and sftdpo, and sft with sftdpo, by number.
+PAIRS = [(0, 1), (0, 2), (0, 3), (1, 3)]
+
+
+@query(f"SELECT *, CASE WHEN lo > 0 OR hi < 0 THEN ' *' ELSE '' END star FROM ({significance_sql(PAIRS, REPLICATES)})", "predictions")
 def significance_report(spark, d):
     from . import reports
 
-    return reports.significance(predictions(spark, d), [(0, 1), (0, 3)], 60, 60).select("before", "after", *r6("d_w", "d_nw", "gap_shift", "lo", "hi", "p"))
+    return reports.significance(predictions(spark, d), PAIRS, REPLICATES, REPLICATES).select("before", "after", *r6("d_w", "d_nw", "gap_shift", "lo", "hi", "p"), "star")
 
 
 # Streams

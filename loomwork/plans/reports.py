@@ -9,23 +9,23 @@ from ..operators import curate, resample, series
 
 
 def significance(predictions: DataFrame, comparisons: list[tuple], n_boot: int = 5000, n_perm: int = 5000, items: bool = False) -> DataFrame:
-    """before, after, d_w, d_nw, gap_shift, lo, hi, p for each pair of conditions.
+    """before, after, d_w, d_nw, gap_shift, lo, hi, p, star (where the interval leaves out 0) for each pair of conditions.
 
     predictions: cond, country, side (W or NW), gold, pred, and item for the item bootstrap, whose items must be the same on both sides. The interval
     comes from drawing countries (or items) with replacement, p from dealing the W label anew. Comparisons are a few.
     """
     rows = []
     for before, after in comparisons:
-        sums = resample.country_sums(predictions, before, after).persist()  # a row per country
+        sums = resample.country_sums(predictions, before, after)  # a row per country
         acc = lambda h, n, s: F.try_divide(F.sum(F.when(F.col("side") == s, F.col(h))).cast("double"), F.sum(F.when(F.col("side") == s, F.col(n))).cast("double"))
         seen = sums.agg((acc("h1", "n1", "W") - acc("h0", "n0", "W")).alias("d_w"), (acc("h1", "n1", "NW") - acc("h0", "n0", "NW")).alias("d_nw"), resample.shift().alias("shift"))
         if items:
-            reps = resample.item_bootstrap(item_rows(predictions, before, after), n_boot, f"item{before}{after}")
+            reps = resample.item_bootstrap(item_rows(predictions, before, after), n_boot)
         else:
             reps = resample.cluster_bootstrap(sums, n_boot, f"boot{before}{after}")
         p = resample.p_value(resample.permutation(sums, n_perm, f"perm{before}{after}"), seen).select("p")
         one = seen.crossJoin(resample.interval(reps).select("lo", "hi")).crossJoin(p)  # single rows
-        rows.append(one.select(F.lit(before).alias("before"), F.lit(after).alias("after"), "d_w", "d_nw", F.col("shift").alias("gap_shift"), "lo", "hi", "p"))
+        rows.append(one.select(F.lit(before).alias("before"), F.lit(after).alias("after"), "d_w", "d_nw", F.col("shift").alias("gap_shift"), "lo", "hi", "p", F.when((F.col("lo") > 0) | (F.col("hi") < 0), " *").otherwise("").alias("star")))
     return curate.union_all(*rows)
 
 

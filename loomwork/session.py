@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -19,10 +20,12 @@ def session(app: str = "loomwork", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share; one is made only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share. Where the session names none, a local master gets a temporary one; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not kept.isDefined() and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = kept.get() if kept.isDefined() else "file://" + tempfile.mkdtemp(prefix="loomwork-")
         if not kept.isDefined():
             spark.sparkContext.setCheckpointDir(path)

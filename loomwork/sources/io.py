@@ -34,7 +34,7 @@ def pick_split(df: DataFrame, column: str = "split", wanted: list[str] | None =
     """Rows of the first split that has any, by priority; the column goes. No split at all is an error, no column means a single split."""
     if column not in df.columns:
         return df
-    there = {r[0] for r in df.select(column).distinct().limit(100).collect()}
+    there = {r[0] for r in df.where(F.col(column).isin(wanted or SPLITS)).select(column).distinct().collect()}
     for name in wanted or SPLITS:
         if name in there:
             return df.where(F.col(column) == name).drop(column)
@@ -42,9 +42,8 @@ def pick_split(df: DataFrame, column: str = "split", wanted: list[str] | None =
 
 
 def route(df: DataFrame, column: str, routes: dict[str, list[str]]) -> dict[str, DataFrame]:
-    """One scan for several consumers: the wanted sources are filtered (which reaches the scan) and kept for as long as the caller needs them."""
-    kept = df.where(F.col(column).isin([s for v in routes.values() for s in v])).persist()
-    return {name: kept.where(F.col(column).isin(sources)) for name, sources in routes.items()}
+    """The rows of each consumer's sources. Every consumer scans with its own filter, which reaches the files, so that nothing is kept in memory or on local disks."""
+    return {name: df.where(F.col(column).isin(sources)) for name, sources in routes.items()}
 
 
 RESULT = T.StructType(
@@ -217,8 +216,11 @@ def number(x) -> str:
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A report as a Markdown table; for reports, which have a few rows."""
-    rows = [df.columns, ["---"] * len(df.columns)] + [[number(v) for v in r] for r in df.limit(limit).collect()]
+    """A report as a Markdown table; for reports, which have a few rows: more than ``limit`` are an error."""
+    found = df.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"a report of more than {limit} rows")
+    rows = [df.columns, ["---"] * len(df.columns)] + [[number(v) for v in r] for r in found]
     return "\n".join("| " + " | ".join(map(str, r)) + " |" for r in rows)
 
 
