@@ -86,15 +86,10 @@ def overview(df: DataFrame, us: str = "US") -> DataFrame:
 def null_baseline(df: DataFrame, golds: DataFrame, us: str = "US") -> DataFrame:
     """How often an answer is the gold of another country for the same scenario, the US and the country itself left out.
 
-    df: cond, scenario, country, pred. golds: scenario, country, gold, one row each. Instead of joining countries with each other, the golds of a
-    scenario are counted by label; a row takes its own and the US gold out of those counts. Rows without other countries are skipped.
+    df: cond, scenario, country, pred. golds: scenario, country, gold, one row each. Countries are not joined with each other: the golds of a scenario, at most
+    one for each country, are gathered once and a row looks through those of its scenario. Rows without other countries are skipped.
     """
-    label = golds.groupBy("scenario", "gold").agg(F.count("*").alias("hits"))
-    all_of = golds.groupBy("scenario").agg(F.count("*").alias("countries"), F.max(F.when(F.col("country") == us, F.col("gold"))).alias("us_gold"))
-    own = golds.select("scenario", "country", F.col("gold").alias("own_gold"))
-    rows = df.where(F.col("country") != us).join(own, ["scenario", "country"], "left").join(all_of, "scenario")
-    rows = rows.join(label.withColumnRenamed("gold", "pred"), ["scenario", "pred"], "left")
-    out = lambda c: F.coalesce((F.col(c) == F.col("pred")).cast("long"), F.lit(0))
-    n = F.col("countries") - F.col("own_gold").isNotNull().cast("long") - F.col("us_gold").isNotNull().cast("long")
-    hits = F.coalesce("hits", F.lit(0)) - out("own_gold") - out("us_gold")
-    return rows.where(n > 0).groupBy("cond").agg(F.count("*").alias("n"), F.avg(hits / n).alias("null_match"))
+    gathered = golds.groupBy("scenario").agg(F.collect_list(F.struct("country", "gold")).alias("__g"))
+    rows = df.where(F.col("country") != us).join(gathered, "scenario").select("cond", "pred", F.filter("__g", lambda g: (g["country"] != F.col("country")) & (g["country"] != us)).alias("__g"))
+    hits = F.size(F.filter("__g", lambda g: g["gold"] == F.col("pred")))
+    return rows.where(F.size("__g") > 0).groupBy("cond").agg(F.count("*").alias("n"), F.avg(hits / F.size("__g")).alias("null_match"))
