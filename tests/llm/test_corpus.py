@@ -145,6 +145,34 @@ def test_packing_plan_fills_gaplessly(lengths, capacity):
         assert at <= capacity and sum(3 * n > capacity for _, n in own) <= 2
 
 
+def fewest_bins(lengths, capacity):
+    """The optimum, by trying every sequence for every piece."""
+    best = len(lengths)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for k, room in enumerate(rooms):
+            if lengths[i] <= room and room not in rooms[:k]:
+                place(i + 1, [*rooms[:k], room - lengths[i], *rooms[k + 1 :]])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=9))
+def test_packing_plan_is_near_the_optimum(lengths):
+    lengths = sorted(lengths, reverse=True)
+    made = {first + i // per for _, _, n, first, per, _ in packing.plan(Counter(lengths), 40) for i in range(n)}
+    assert len(made) <= fewest_bins(lengths, 40) + 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60))
 def test_word_ids_equal_the_library(text):
