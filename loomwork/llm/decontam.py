@@ -164,50 +164,51 @@ def frequencies(shards: DataFrame, vocabulary: Broadcast) -> np.ndarray:
     return seen
 
 
+def matches(row: dict, b: Block, slop: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
+    """Exact matches (window, first place) and proximity matches (window, place of its rarest term) in a chunk, in places from GAP on."""
+    slot, sizes = slots(row, b.vocabulary)
+    own = slot[b.term[:, :3]]
+    alive = np.flatnonzero(((own >= 0) | (b.term[:, :3] < 0)).all(axis=1))
+    exact, near = [], []
+    if not len(alive):
+        return exact, near
+    steps = unpack(row["positions"], np.uint32).astype(np.int64)
+    cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    run = np.cumsum(steps)
+    places = run - np.repeat(run[cuts[:-1]] - steps[cuts[:-1]], sizes) + GAP  # GAP free positions before and after all
+    term_at = np.full(int(places.max()) + 2 * GAP, -2, np.int32)
+    term_at[places] = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    often = sizes[slot[b.term[alive, 0]]].astype(np.int64)
+    at = 0
+    total = np.cumsum(often)
+    while at < len(alive):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, side="right")))
+        w = np.repeat(alive[at:stop], often[at:stop])
+        start = places[ranges(cuts[slot[b.term[alive[at:stop], 0]]], often[at:stop])] - b.offset[w, 0]
+        at = stop
+        close = np.flatnonzero(b.length[w] >= 3)
+        for i in (1, 2):
+            expected, want = start[close] + b.offset[w[close], i], slot[b.term[w[close], i]]
+            close = close[np.any([term_at[expected + d] == want for d in range(-slop, slop + 1)], axis=0)] if len(close) else close
+        near.append((w[close], start[close] + b.offset[w[close], 0]))
+        for i in range(1, b.term.shape[1]):
+            if not len(w):
+                break
+            good = (b.length[w] <= i) | (term_at[np.maximum(start + b.offset[w, i], 0)] == slot[b.term[w, i]])
+            w, start = w[good], start[good]
+        exact.append((w, start))
+    return exact, near
+
+
 def search(shards: DataFrame, block: Broadcast, slop: int) -> DataFrame:
     """``chunk, row, hit_words, windows, n_near, near_windows`` per document with a match; row is its place in its chunk."""
 
-    def matches(row: dict) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
-        b = block.value
-        slot, sizes = slots(row, b.vocabulary)
-        own = slot[b.term[:, :3]]
-        alive = np.flatnonzero(((own >= 0) | (b.term[:, :3] < 0)).all(axis=1))
-        exact, near = [], []
-        if not len(alive):
-            return exact, near
-        steps = unpack(row["positions"], np.uint32).astype(np.int64)
-        cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        run = np.cumsum(steps)
-        places = run - np.repeat(run[cuts[:-1]] - steps[cuts[:-1]], sizes) + GAP  # GAP free positions before and after all
-        term_at = np.full(int(places.max()) + 2 * GAP, -2, np.int32)
-        term_at[places] = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        often = sizes[slot[b.term[alive, 0]]].astype(np.int64)
-        at = 0
-        total = np.cumsum(often)
-        while at < len(alive):
-            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, side="right")))
-            w = np.repeat(alive[at:stop], often[at:stop])
-            start = places[ranges(cuts[slot[b.term[alive[at:stop], 0]]], often[at:stop])] - b.offset[w, 0]
-            at = stop
-            close = np.flatnonzero(b.length[w] >= 3)
-            for i in (1, 2):
-                expected, want = start[close] + b.offset[w[close], i], slot[b.term[w[close], i]]
-                close = close[np.any([term_at[expected + d] == want for d in range(-slop, slop + 1)], axis=0)] if len(close) else close
-            near.append((w[close], start[close] + b.offset[w[close], 0]))
-            for i in range(1, b.term.shape[1]):
-                if not len(w):
-                    break
-                good = (b.length[w] <= i) | (term_at[np.maximum(start + b.offset[w, i], 0)] == slot[b.term[w, i]])
-                w, start = w[good], start[good]
-            exact.append((w, start))
-        return exact, near
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long, many = pa.int64(), pa.list_(pa.binary())
         schema = pa.schema([("chunk", long), ("row", long), ("hit_words", pa.list_(long)), ("windows", many), ("n_near", long), ("near_windows", many)])
         for batch in batches:
             for row in batch.to_pylist():
-                exact, near = matches(row)
+                exact, near = matches(row, block.value, slop)
                 w, start, v, place = [np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for found in (exact, near) for i in (0, 1)]
                 if not len(w) and not len(v):
                     continue
@@ -215,10 +216,13 @@ def search(shards: DataFrame, block: Broadcast, slop: int) -> DataFrame:
                 base = np.cumsum(lengths + GAP) - lengths  # the first word of each document, after GAP free positions
                 covered = np.unique(ranges(start, block.value.length[w]))
                 owner, doc, close = (np.searchsorted(base, x, side="right") - 1 for x in (covered, start, place))
-                out = []
-                for d in np.unique(np.concatenate([doc, close])).tolist():
-                    ids = block.value.ids
-                    out.append((row["chunk"], d, (covered[owner == d] - base[d]).tolist(), [ids[i] for i in np.unique(w[doc == d]).tolist()], int((close == d).sum()), [ids[i] for i in np.unique(v[close == d]).tolist()]))
+                of, ids, out = len(block.value.ids), block.value.ids, []
+                hit, met = np.unique(doc * of + w), np.unique(close * of + v)  # distinct pairs of document and window
+                some = np.unique(np.concatenate([doc, close]))
+                cut = lambda x: list(zip(np.searchsorted(x, some).tolist(), np.searchsorted(x, some, side="right").tolist()))
+                n_near = np.bincount(close, minlength=len(lengths))
+                for d, (a, b), (h, i), (m, j) in zip(some.tolist(), cut(owner), cut(hit // of), cut(met // of)):
+                    out.append((row["chunk"], d, (covered[a:b] - base[d]).tolist(), [ids[k] for k in (hit[h:i] % of).tolist()], int(n_near[d]), [ids[k] for k in (met[m:j] % of).tolist()]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return shards.select("chunk", "n_words", "terms", "sizes", "positions").mapInArrow(tidied(run), "chunk bigint, row bigint, hit_words array<bigint>, windows array<binary>, n_near bigint, near_windows array<binary>")
