@@ -167,7 +167,7 @@ def cross_pairs(key: int, marks: np.ndarray, keys: np.ndarray, label: np.ndarray
     side: 0 or 1 per member, only pairs across are meant; None: all pairs.
     """
     run, found = key >> 8 * ROWS, []
-    for x in range(len(label) - 1):
+    for x in range(len(label)):
         others = np.flatnonzero(label[x + 1 :] != label[x]) + x + 1 if side is None else np.flatnonzero((label != label[x]) & (side == 1)) if side[x] == 0 else np.zeros(0, np.int64)
         if run and len(others):
             others = others[~(keys[others, :run] == keys[x, :run]).any(axis=1)]
@@ -275,13 +275,18 @@ def similarity_links(keyed: DataFrame, prints: DataFrame, similarity: float) ->
     tried = stored(candidates(first, least, True), "simhash-forest")
     edges = stored(similar(tried, sets, similarity), "simhash-edges")
 
-    # Round 2: all other pairs that reach the minimum and are not connected yet; every two blocks of a long posting meet.
+    # Round 2: all other pairs that reach the minimum and are not connected yet. The texts of a posting outside its largest component, in blocks, meet all
+    # blocks of the posting; those inside have met by way of the component.
     roots = stored(components(edges), "simhash-roots")
-    labelled = postings.join(roots, postings.digest == roots.node, "left").select(*[postings[c] for c in ("key", "digest", "blocks", "block")], F.coalesce("root", "digest").alias("label"))
-    labelled = stored(labelled, "simhash-labels")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    pairs_of = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rest = labelled.join(mixed, "key").withColumn("other", pairs_of)
+    labelled = stored(postings.join(roots, postings.digest == roots.node, "left").select("key", "digest", F.coalesce("root", "digest").alias("label")), "simhash-labels")
+    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all")).where("inside < all")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rest = labelled.join(largest, "key").withColumn("u", blocks(F.col("all") - F.col("inside"))).withColumn("m", blocks(F.col("inside")))
+    place = lambda n: F.pmod(F.xxhash64("digest"), n).cast("int")
+    outside = F.col("label") != F.col("main")
+    rest = rest.withColumn("block", F.when(outside, place(F.col("u"))).otherwise(F.col("u") + place(F.col("m"))))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("u") - 1 + F.when(outside, F.col("m")).otherwise(0))))
     rest = rest.select("key", "digest", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     second = candidates(rest.join(marked, "digest"), least, False).join(tried, ["a", "b"], "left_anti")
     return edges.union(stored(similar(stored(second, "simhash-rest"), sets, similarity), "simhash-edges"))
