@@ -164,7 +164,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
             large.pop()
             continue
         k = bisect.bisect_right(large, capacity - length) - 1
-        while k >= 0 and not left[large[k]]:
+        while k >= 0 and (not left[large[k]] or (large[k] == length and n == 1)):  # a single piece is no partner of its own
             k -= 1
         if k < 0:
             put(length, n, sequences, 1, 0)
@@ -174,13 +174,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
         mate = large[k]
         if mate == length:
             pairs = n // 2
-            if pairs:
-                put(length, 2 * pairs, sequences, 2, 0)
-            else:
-                put(length, 1, sequences, 1, 0)
-                opened(capacity - length, sequences, 1)
-                sequences += 1
-                continue
+            put(length, 2 * pairs, sequences, 2, 0)
         else:
             pairs = min(n, left[mate])
             put(length, pairs, sequences, 1, 0)
