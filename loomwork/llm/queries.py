@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, packing, pii, quality, sharding, simhash, substrings, tokencount
+from . import collocations, decontam, langid, licenses, packing, pii, quality, sharding, simhash, substrings, tokencount
 from .common import documents
 
 
@@ -51,8 +51,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(documents(spark, sf_dir))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_quality_rules, op4_decontamination, op5_token_counts, op6_best_fit_packing, op7_simhash, op8_pii, op9_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_quality_rules, op4_decontamination, op5_token_counts, op6_best_fit_packing, op7_simhash, op8_pii, op9_sharding, op10_language_id, op13_collocations)}
 
 
 SUBSTRINGS = r"""
@@ -108,6 +112,20 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN n
 """
 
 
+COLLOCATIONS = r"""
+WITH p AS (SELECT coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') ws FROM p),
+totals AS (SELECT lang, sum(len(ws))::HUGEINT n FROM w GROUP BY 1),
+f AS MATERIALIZED (SELECT lang, g, count(*)::HUGEINT f FROM (SELECT lang, array_to_string(list_slice(ws, i, i + k - 1), ' ') g FROM w, (SELECT unnest([1, 2, 3, 4, 5]) k), LATERAL (SELECT unnest(range(1, len(ws) - k + 2)) i)) GROUP BY 1, 2 HAVING count(*) >= 100),
+c AS MATERIALIZED (SELECT lang, g, f, string_split(g, ' ') ws FROM f WHERE contains(g, ' ')),
+inner_ones AS (SELECT DISTINCT lang, unnest([array_to_string(ws[1:-2], ' '), array_to_string(ws[2:], ' ')]) g, f FROM c WHERE len(ws) > 2),
+cuts AS (SELECT lang, g, f, k, array_to_string(list_slice(ws, 1, k), ' ') one, array_to_string(list_slice(ws, k + 1, len(ws)), ' ') two FROM c ANTI JOIN inner_ones USING (lang, g, f), LATERAL (SELECT unnest(range(1, len(ws))) k)),
+scored AS (SELECT lang, cuts.g phrase, cuts.f a, a.f l, b.f r, n, (1000 * cuts.f * n) // (a.f * b.f) score FROM cuts JOIN f a USING (lang) JOIN f b USING (lang) JOIN totals USING (lang) WHERE a.g = one AND b.g = two
+    QUALIFY row_number() OVER (PARTITION BY lang, cuts.g ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT a, l::BIGINT l, r::BIGINT r, n::BIGINT n, score::BIGINT score FROM scored QUALIFY rank <= 2000
+"""
+
+
 def license_sql() -> str:
     """The definition without index or frequencies: every place where a key phrase stands, with the share of the passage's words around it that are in place."""
     rows = ", ".join(f"({i}, '{label}', '{' '.join(body)}', '{' '.join(key)}')" for i, (label, body, key) in enumerate(licenses.TEMPLATES))
@@ -130,4 +148,4 @@ LEFT JOIN labelled USING (doc_id) LEFT JOIN (SELECT doc_id, max(score) score FRO
 
 def oracle_sql() -> dict[str, str]:
     """For the other queries SQL lacks a tokenizer, XXH64, match positions, a compressor or an iterative partition: tests hold them against brute force."""
-    return {"op1_substring_dedup": SUBSTRINGS, "op2_license_scan": license_sql(), "op3_quality_rules": QUALITY, "op4_decontamination": CONTAMINATION}
+    return {"op1_substring_dedup": SUBSTRINGS, "op2_license_scan": license_sql(), "op3_quality_rules": QUALITY, "op4_decontamination": CONTAMINATION, "op13_collocations": COLLOCATIONS}
