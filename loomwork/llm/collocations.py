@@ -10,6 +10,7 @@ are summed up, and the least count and the scores are taken from the sums, so a
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -166,8 +167,8 @@ def keep_words(stripes: int):
             words, seq = unpack_strings(row["words"]), unpack_planes(row["seq"])
             own = np.flatnonzero(on)
             seq = closed_up(np.where(np.concatenate([[False], on])[seq], seq, 0))
-            out.append(table_of(row, words, seq, word=[words[i].decode() for i in own.tolist()], count=counts[own].tolist()))
-        return pa.Table.from_pylist(out, pa.schema([("id", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.binary()), ("seq", pa.binary()), ("word", pa.list_(pa.string())), ("count", pa.list_(pa.int64()))]))
+            out.append(table_of(row, words, seq, passing=pack_strings([words[i] for i in own.tolist()]), counts=pack_planes(counts[own])))
+        return pa.Table.from_pylist(out, pa.schema([("id", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), *((c, pa.binary()) for c in ("words", "seq", "passing", "counts"))]))
 
     return run
 
@@ -188,6 +189,32 @@ def keep_pairs(stripes: int):
     return run
 
 
+def word_counts(first: DataFrame, stripes: int, least: int) -> DataFrame:
+    """``lang, phrase, f`` of the words that reach ``least``: shards send packed lists to stripes of words, which add them up."""
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, blob, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "passing", "counts"))):
+                words, tally = unpack_strings(blob), unpack_planes(counts)
+                stripe = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(stripes)
+                order = np.argsort(stripe, kind="stable")
+                own, begins = np.unique(stripe[order], return_index=True)
+                groups = np.split(order, begins[1:]) if len(own) else []
+                columns = [pa.array(own.astype(np.int64)), pa.array([lang] * len(own), pa.string()), pa.array([pack_strings([words[i] for i in g.tolist()]) for g in groups], pa.binary()), pa.array([pack_planes(tally[g]) for g in groups], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["stripe", "lang", "words", "counts"])
+
+    def add_up(table: pa.Table) -> pa.Table:
+        total: Counter = Counter()
+        for words, counts in zip(table.column("words"), table.column("counts")):
+            for word, n in zip(unpack_strings(words.as_py()), unpack_planes(counts.as_py()).tolist()):
+                total[word] += n
+        found = [(w.decode(), n) for w, n in total.items() if n >= least]
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(found), pa.string()), "phrase": pa.array([w for w, _ in found], pa.string()), "f": pa.array([n for _, n in found], pa.int64())})
+
+    sent = first.select("lang", "passing", "counts").mapInArrow(tidied(deal), "stripe bigint, lang string, words binary, counts binary")
+    return sent.groupBy("stripe", "lang").applyInArrow(add_up, "lang string, phrase string, f bigint")
+
+
 def scanned(phrases: list[str], text: str) -> np.ndarray:
     """How often each of the guarded phrases stands in ``text``, overlaps included; the automata hold a bounded number of phrases each."""
     counts = np.zeros(len(phrases), np.int64)
@@ -232,13 +259,12 @@ def phrase_counts(docs: DataFrame, least: int = 100, shard: int = SHARD) -> tupl
     total = held.agg(F.sum("n")).first()[0] or 0
     stripes = max(1, -(-total // (PER_CELL * STRIPE)))
     paired = lambda one, level: one.groupBy("id").cogroup(looked_up(one, level, stripes, least).groupBy("id"))
-    first = stored(paired(held, level_words).applyInArrow(keep_words(stripes), HELD + ", word array<string>, count array<bigint>"), "collocations-words")
-    slim = first.drop("word", "count")
+    first = stored(paired(held, level_words).applyInArrow(keep_words(stripes), HELD + ", passing binary, counts binary"), "collocations-words")
+    slim = first.drop("passing", "counts")
     second = stored(paired(slim, lambda r: level_phrases(r, 2, 2)).applyInArrow(keep_pairs(stripes), HELD), "collocations-pairs")
     found = paired(second, lambda r: level_phrases(r, 3, LONGEST)).applyInArrow(count_matches(stripes), "lang string, phrase string, f bigint")
-    single = first.select("lang", F.explode(F.arrays_zip("word", "count")).alias("x")).select("lang", F.col("x.word").alias("phrase"), F.col("x.count").alias("f"))
-    counts = found.unionByName(single).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return stored(counts, "collocations-counts"), held.groupBy("lang").agg(F.sum("n").alias("n"))
+    counts = found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return stored(counts.unionByName(word_counts(first, stripes, least)), "collocations-counts"), held.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def exact_score() -> F.Column:
