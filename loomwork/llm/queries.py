@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cobuckets, collocations, decontam, langid, licenses, packing, pii, quality, sharding, simhash, substrings, tokencount
+from . import cobuckets, collocations, decontam, langid, licenses, mixing, packing, pii, quality, sharding, simhash, substrings, tokencount
 from .common import documents
 
 
@@ -51,6 +51,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(documents(spark, sf_dir))
 
 
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.pack_mixed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op12_cobuckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cobuckets.co_bucket(documents(spark, sf_dir, "sales"), documents(spark, sf_dir, "sale_lines"))[1]
 
@@ -60,7 +64,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_quality_rules, op4_decontamination, op5_token_counts, op6_best_fit_packing, op7_simhash, op8_pii, op9_sharding, op10_language_id, op12_cobuckets, op13_collocations)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_quality_rules, op4_decontamination, op5_token_counts, op6_best_fit_packing, op7_simhash, op8_pii, op9_sharding, op10_language_id, op11_mixture_packing, op12_cobuckets, op13_collocations)}
 
 
 SUBSTRINGS = r"""
