@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import regions, text
-from ..operators import curate, mentions
+from ..operators import curate, mentions, positions
 from ..session import shared_dir
 from ..sources import io
 from .bindings import nations, predictions, table, tagged, with_tables
@@ -42,7 +42,7 @@ def results_scan(spark, d):
     path = folder(spark, "results")
     rows = predictions(spark, d).withColumn("group", F.col("side")).withColumn("row_idx", F.col("item").cast("long"))
     for c in range(4):
-        io.write_document(io.result_document(rows.where(F.col("cond") == c), str(c), "stories"), f"{path}/{c}")
+        io.write_result(rows.where(F.col("cond") == c), str(c), "stories", f"{path}/{c}/result.json")
     back = curate.union_all(*[io.read_predictions(spark, f"{path}/{c}") for c in range(4)], io.read_predictions(spark, f"{path}/missing"))
     return back.groupBy("condition").agg(F.count("*").alias("n"), F.count(F.when(F.col("pred") == F.col("gold"), 1)).alias("hits"), F.count("us_pred").alias("n_us"), F.round(F.sum(F.col("scores")[0]), 6).alias("s"))
 
@@ -70,12 +70,9 @@ def score_map_scan(spark, d):
     price = F.col("p_retailprice").cast("double")
     parts = table(spark, d, "part").withColumn("key", F.concat_ws("_", F.lit("mlp.gate_proj"), F.col("p_partkey") % 28, "p_partkey"))
     names = {r["nk"]: r["country"] for r in nations(spark, d).where("nk < 3").collect()}
-    by = F.create_map(*[x for nk, name in names.items() for x in (F.lit(name), F.round(price * nk, 6))])
-    entries = parts.groupBy(F.col("p_partkey") % 4).agg(F.map_from_entries(F.collect_list(F.struct("key", by.alias("by")))).alias("neuron_scores"))
-    entries.select("neuron_scores").write.json(path)
-    rows = spark.read.schema("neuron_scores map<string, map<string, double>>").json(path)
-    long = rows.select(F.explode("neuron_scores").alias("key", "by")).select(text.neuron_key("key").alias("k"), F.explode("by").alias("country", "score"))
-    return long.select("k.module_name", "k.layer_idx", "k.neuron_idx", "country", F.round("score", 6).alias("score"))
+    by = F.to_json(F.create_map(*[x for nk, name in names.items() for x in (F.lit(name), F.round(price * nk, 6))]))
+    io.write_map(parts.select("key", by.alias("by")), "key", "by", f"{path}/map.json", "neuron_scores")
+    return io.read_score_map(spark, path).withColumn("score", F.round("score", 6))
 
 
 @over_files("SELECT culture_tag, domain_tag, count(*) n FROM tagged GROUP BY 1, 2", "tagged")
@@ -83,10 +80,9 @@ def tag_cache_scan(spark, d):
     """A cache document, key to tags as JSON text; an old one, with plain strings, reads as empty where that is allowed."""
     path = folder(spark, "tags")
     tags = tagged(spark, d).select(F.col("doc_id").cast("string").alias("key"), F.to_json(F.struct("culture_tag", "domain_tag", F.lit("ask").alias("task_intent_tag"), "language")).alias("v"))
-    document = lambda rows: rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "v")))).alias("value"))
-    document(tags).coalesce(1).write.text(f"{path}/new")
-    document(tags.limit(2).withColumn("v", F.lit("CultureAsBias"))).coalesce(1).write.text(f"{path}/old")
-    known = io.read_tag_cache(spark, f"{path}/new").unionByName(io.read_tag_cache(spark, f"{path}/old", strict=False)).unionByName(io.read_tag_cache(spark, f"{path}/none", strict=False))
+    io.write_map(tags, "key", "v", f"{path}/new.json")
+    io.write_map(tags.withColumn("v", F.lit('"CultureAsBias"')), "key", "v", f"{path}/old.json")
+    known = curate.union_all(*[io.read_tag_cache(spark, f"{path}/{name}.json", strict=name == "new") for name in ("new", "old", "none")])
     return known.groupBy("culture_tag", "domain_tag").agg(F.count("*").alias("n"))
 
 
@@ -116,6 +112,18 @@ def log_lines_scan(spark, d):
     return last.groupBy("source").agg(F.sum(F.col("n") - (F.col("end") == "").cast("long")).alias("n_lines"), F.sum("the").alias("n_the"))
 
 
+@over_files("SELECT row_number() OVER (ORDER BY a.item) - 1 AS position, a.item, b.item base_item, a.pred, b.pred base_pred FROM predictions a JOIN predictions b ON a.item = b.item WHERE a.cond = 1 AND b.cond = 0", "predictions")
+def file_order_pairs(spark, d):
+    """Predictions before and after, in two folders of files that share nothing but the order of their rows."""
+    path = folder(spark, "ordered")
+    rows = predictions(spark, d).select("cond", "item", "pred")
+    for c in (0, 1):
+        rows.where(F.col("cond") == c).drop("cond").repartitionByRange(c + 3, "item").sortWithinPartitions("item").write.parquet(f"{path}/{c}")
+    after = positions.read_in_order(spark, f"{path}/1")
+    base = positions.read_in_order(spark, f"{path}/0").select("position", F.col("item").alias("base_item"), F.col("pred").alias("base_pred"))
+    return positions.side_by_side(after, base)
+
+
 @over_files("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN upper(o_orderstatus) ELSE lower(o_orderstatus) || '!' END status FROM orders")
 def replaced_dataset(spark, d):
     """A dataset replaced by a frame that reads it, twice; a column that is there already is not made again."""

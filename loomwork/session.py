@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "loomwork", **conf: str) -> SparkSession:
@@ -30,3 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
         if not kept.isDefined():
             spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A frame written to the shared folder and read back: computed once, whatever is lost; the files go when the session ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.positions import numbered
+from ..session import kept
+from . import nested
+
 SPLITS = ["test", "validation", "train"]
 
 
@@ -46,42 +51,56 @@ def route(df: DataFrame, column: str, routes: dict[str, list[str]]) -> dict[str,
     return {name: df.where(F.col(column).isin(sources)) for name, sources in routes.items()}
 
 
+PREDICTION = T.StructType([T.StructField(c, T.StringType()) for c in ("country", "group", "gold", "pred", "us_pred", "mcqid")] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("scores", "us_scores")])
 RESULT = T.StructType(
     [
         T.StructField("condition", T.StringType()), T.StructField("benchmark", T.StringType()), T.StructField("n", T.LongType()), T.StructField("n_unparseable", T.LongType()),
         T.StructField("accuracy_overall", T.DoubleType()), T.StructField("accuracy_by_group", T.MapType(T.StringType(), T.DoubleType())),
         T.StructField("accuracy_by_country", T.MapType(T.StringType(), T.DoubleType())),
-        T.StructField("predictions", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("country", "group", "gold", "pred", "us_pred", "mcqid")] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("scores", "us_scores")]))),
     ]
 )
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result documents, one row each. A missing file is an empty frame, so that a left join from the conditions shows it as blanks."""
+    """Headers of result documents, one row each; the parser skips the predictions. A missing file is an empty frame, so that a left join from the conditions shows it as blanks."""
     if not exists(spark, path):
         return spark.createDataFrame([], RESULT)
     return spark.read.schema(RESULT).json(path, multiLine=True)
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """All predictions of result documents, numbered by their place (``row_idx``)."""
-    rows = read_results(spark, path).select("condition", "benchmark", F.posexplode("predictions").alias("row_idx", "p"))
-    return rows.select("condition", "benchmark", F.col("row_idx").cast("long").alias("row_idx"), "p.*")
+def uri(c: Column | str) -> Column:
+    """A path without the empty host that some readers write and some do not."""
+    return F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
 
 
-def result_document(predictions: DataFrame, condition: str, benchmark: str) -> DataFrame:
-    """One result document from the predictions of a run: header, accuracy maps, and the predictions in order.
+def read_predictions(spark: SparkSession, path: str, size: int = nested.RANGE) -> DataFrame:
+    """All predictions of result documents, numbered by their place in their document (``row_idx``); documents are read by ranges of bytes."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], T.StructType(RESULT.fields[:2] + [T.StructField("row_idx", T.LongType())] + PREDICTION.fields))
+    head = spark.read.schema(RESULT).json(path, multiLine=True).select(uri("_metadata.file_path").alias("file"), "condition", "benchmark")
+    rows = nested.read_entries(spark, path, "predictions", size).select(uri("file").alias("file"), "place", F.from_json("value", PREDICTION).alias("p"))
+    placed = numbered(rows, "file", "place", name="at")
+    first = placed.groupBy("file").agg(F.min("at").alias("first"))
+    return placed.join(first, "file").join(head, "file").select("condition", "benchmark", (F.col("at") - F.col("first")).alias("row_idx"), "p.*")
 
-    A document holds a run's predictions by nature; for large runs keep them as a table.
-    """
+
+def write_result(predictions: DataFrame, condition: str, benchmark: str, path: str) -> None:
+    """One result document at ``path``: header, accuracy maps, and the predictions in the order of ``row_idx``, which stream into it in sorted parts."""
     right = (F.col("pred") == F.col("gold")).cast("double")
-    by = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "a")))).alias(f"accuracy_by_{c}")
-    grains = {c: predictions.groupBy(c).agg(F.avg(right).alias("a")).where(F.col(c).isNotNull()).agg(by(c)) for c in ("group", "country")}
-    fields = [c for c in ("country", "group", "gold", "pred", "us_pred", "mcqid", "scores", "us_scores") if c in predictions.columns]
-    rows = F.array_sort(F.collect_list(F.struct("row_idx", F.struct(*fields).alias("p"))))
-    head = predictions.agg(F.count("*").alias("n"), F.count(F.when(F.col("pred") == "unparseable", 1)).alias("n_unparseable"), F.avg(right).alias("accuracy_overall"), F.transform(rows, lambda x: x["p"]).alias("predictions"))
-    out = head.crossJoin(grains["group"]).crossJoin(grains["country"])
-    return out.select(F.lit(condition).alias("condition"), F.lit(benchmark).alias("benchmark"), "n", "n_unparseable", "accuracy_overall", "accuracy_by_group", "accuracy_by_country", "predictions")
+    rows = predictions.withColumn("__right", right)
+    # A row by group and one by country, a few dozen; the predictions stay where they are.
+    by = {c: {r[0]: r[1] for r in rows.where(F.col(f"`{c}`").isNotNull()).groupBy(f"`{c}`").agg(F.avg("__right")).orderBy(f"`{c}`").collect()} for c in ("group", "country")}
+    head = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("pred") == "unparseable", 1)).alias("n_unparseable"), F.avg("__right").alias("accuracy_overall")).first().asDict()
+    document = {"condition": condition, "benchmark": benchmark, **head, "accuracy_by_group": by["group"], "accuracy_by_country": by["country"]}
+    fields = [f.name for f in PREDICTION.fields if f.name in predictions.columns]
+    lines = predictions.select("row_idx", F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields])).alias("value"))
+    nested.write_stream(lines, "value", ["row_idx", "value"], path, json.dumps(document)[:-1] + ', "predictions": [', "]}")
+
+
+def write_map(rows: DataFrame, key: str, value: str, path: str, member: str | None = None) -> None:
+    """One JSON object at ``path``, or its only ``member``: texts in ``key`` to JSON texts in ``value``, in the order of the keys."""
+    entry = F.concat(F.expr(f"substr(to_json(array(`{key}`)), 2, length(to_json(array(`{key}`))) - 2)"), F.lit(":"), F.col(f"`{value}`"))
+    nested.write_stream(rows.select(F.col(f"`{key}`").alias("key"), entry.alias("value")), "value", ["key", "value"], path, "{" if member is None else "{" + json.dumps(member) + ": {", "}" if member is None else "}}")
 
 
 def read_survey(spark: SparkSession, path: str) -> DataFrame:
@@ -110,24 +129,28 @@ def cluster_dimension(coordinates: DataFrame) -> DataFrame:
     return coordinates.where("name is not null").select("name", "cluster")
 
 
-def read_score_map(spark: SparkSession, path: str) -> DataFrame:
-    """Nested score maps to long rows: module_name, layer_idx, neuron_idx, country, score. Meant to be converted once and kept as Parquet."""
+def read_score_map(spark: SparkSession, path: str, size: int = nested.RANGE) -> DataFrame:
+    """Nested score maps to long rows: module_name, layer_idx, neuron_idx, country, score. Documents are read by ranges of bytes, a neuron at a time."""
     from ..functions.text import neuron_key
 
-    schema = "neuron_scores map<string, map<string, double>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("neuron_scores").alias("key", "by")).select("key", F.explode("by").alias("country", "score"))
-    return rows.select(neuron_key("key").alias("k"), "country", "score").select("k.*", "country", "score")
+    entries = nested.read_entries(spark, path, "neuron_scores", size)
+    rows = entries.select(neuron_key("key").alias("k"), F.explode(F.from_json("value", "map<string, double>")).alias("country", "score"))
+    return rows.select("k.*", "country", "score")
+
 
+def read_tag_cache(spark: SparkSession, path: str, strict: bool = True, size: int = nested.RANGE) -> DataFrame:
+    """key and tags of a cache document, read by ranges of bytes. Old caches, with plain strings for tags, are an error, or empty if not ``strict``; so is a missing one.
 
-def read_tag_cache(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """key and tags of a cache document. Old caches, with plain strings for tags, are an error, or empty if not ``strict``; so is a missing one."""
+    A key's tags are an object, or a text that holds one.
+    """
     fields = ["culture_tag", "domain_tag", "task_intent_tag", "language"]
     empty = spark.createDataFrame([], "key string, " + ", ".join(f"{f} string" for f in fields))
     if not exists(spark, path):
         if strict:
             raise FileNotFoundError(path)
         return empty
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, string>")).alias("key", "v"))
+    text = F.when(F.col("value").startswith('"'), F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"]).otherwise(F.col("value"))
+    rows = kept(nested.read_entries(spark, path, size=size).select("key", text.alias("v")), "tag-cache")
     old = rows.where(~F.col("v").startswith("{")).limit(1).count()
     if old and strict:
         raise ValueError("the cache has the old format; rebuild it")
@@ -190,10 +213,6 @@ def add_once(df: DataFrame, columns: list[str], make) -> DataFrame:
     return df if set(columns) <= set(df.columns) else make(df)
 
 
-def write_document(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
-
-
 def write_report(df: DataFrame, path: str, decimals: int = 4) -> None:
     """A CSV report in one file: doubles with fixed decimals, nulls as blanks, arrays joined by ';'. Reports have a row per condition or country."""
     shown = []

@@ -14,10 +14,11 @@ def test_results_round_trip(spark, tmp_path):
     rows = [(i, "US" if i % 2 else "Iran", "Western" if i % 2 else "Non-Western", "yes", "yes" if i % 3 else "no", None, [0.5, float(i)]) for i in range(6)]
     preds = spark.createDataFrame(rows, "row_idx long, country string, `group` string, gold string, pred string, us_pred string, scores array<double>")
     path = str(tmp_path / "r.json")
-    io.write_document(io.result_document(preds, "base", "stories"), path)
+    io.write_result(preds.repartition(3), "base", "stories", path)
+    assert json.load(open(path))["accuracy_by_group"] == {"Non-Western": pytest.approx(2 / 3), "Western": pytest.approx(2 / 3)}
     head = io.read_results(spark, path).first()
     assert head.n == 6 and head.accuracy_overall == pytest.approx(4 / 6) and set(head.accuracy_by_country) == {"US", "Iran"}
-    back = io.read_predictions(spark, path).orderBy("row_idx").collect()
+    back = io.read_predictions(spark, path, size=50).orderBy("row_idx").collect()
     assert [(r.row_idx, r.pred, r.scores) for r in back] == [(r[0], r[4], r[6]) for r in rows]
     assert io.read_results(spark, str(tmp_path / "none.json")).count() == 0
 
