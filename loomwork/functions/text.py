@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column
@@ -208,6 +209,25 @@ def option_order(seed: str, *key: Column | str) -> Column:
     return hash_number(hashed(seed, *key)) % 2 == 1
 
 
+def permutation(n: int, seed: str, *key: Column | str) -> Column:
+    """The numbers 1 to ``n`` (at most 6) in one of their n! orders, picked by the item's hash: every order is as likely, and an item's stays the same."""
+    orders = list(itertools.permutations(range(1, n + 1)))
+    if not 1 <= n <= 6:
+        raise ValueError("1 to 6 options")
+    return F.element_at(F.array(*[F.array(*map(F.lit, o)) for o in orders]), (hash_number(hashed(seed, *key)) % len(orders) + 1).cast("int"))
+
+
+def numbered_options(labels: list[str], numbers: Column) -> Column:
+    """``1: no, 2: yes`` for labels that have these numbers, by number."""
+    pairs = F.array_sort(F.arrays_zip(numbers.alias("k"), F.array(*map(F.lit, labels)).alias("v")))
+    return F.array_join(F.transform(pairs, lambda p: F.concat(p["k"].cast("string"), F.lit(": "), p["v"])), ", ")
+
+
+def option_number(labels: list[str], numbers: Column, gold: Column | str) -> Column:
+    """The number under which the gold label stands; null for a label that is none of them."""
+    return F.try_element_at(numbers, F.nullif(F.array_position(F.array(*map(F.lit, labels)), col(gold)), F.lit(0)).cast("int"))
+
+
 def preview(c: Column | str, limit: int = 120) -> Column:
     short = F.replace(F.substring(col(c), 1, limit), F.lit("\n"), F.lit(" "))
     return F.when(F.length(col(c)) > limit, F.concat(short, F.lit("..."))).otherwise(short)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,47 @@ def resolve(df: DataFrame, key: str, mentions: str, names: DataFrame) -> DataFra
     return df.join(found, key, "left").withColumn("countries", distinct_ignoring_case(F.coalesce("countries", F.array().cast("array<string>"))))
 
 
+def words_of(c: str) -> F.Column:
+    """Lower-case words: runs of letters and digits."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def find_names(df: DataFrame, names: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, start, length (in words), country of each name of the gazetteer ``names(name, country)`` in a text: the leftmost, of those the longest, no overlaps.
+
+    Every word is looked up as the first word of names, with as many words after it as the longest name has, so that a large gazetteer is joined and
+    a small one is broadcast by Spark's own check. ``key`` must tell rows apart. Names without letters or digits match nothing; equal names have the least country.
+    """
+    parts = names.select(words_of("name").alias("w"), "country").where("size(w) > 0").groupBy("w").agg(F.min("country").alias("country"))
+    parts = parts.select(F.col("w")[0].alias("first"), F.concat(F.array_join(F.slice("w", 2, F.size("w")), " "), F.lit(" ")).alias("rest"), F.size("w").alias("length"), "country")
+    longest = parts.agg(F.max("length")).first()[0] or 1
+    spread = df.select(key, words_of(text).alias("w")).select(key, F.posexplode(F.transform("w", lambda x, i: F.struct(x.alias("first"), F.concat(F.array_join(F.slice("w", i + 2, longest - 1), " "), F.lit(" ")).alias("after")))).alias("start", "x"))
+    met = spread.select(key, "start", "x.first", "x.after").join(parts, "first").where("rest = ' ' OR startswith(after, rest)").select(key, "start", "length", "country")
+    rows = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("length")).alias("n"), "country"))).alias("found"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, out = batch.column(0), []
+            for i, found in enumerate(batch.column(1).to_pylist()):
+                free = 0
+                for x in found:
+                    if x["start"] >= free:
+                        free = x["start"] - x["n"]
+                        out.append((i, x["start"], -x["n"], x["country"]))
+            columns = [own.take(pa.array([r[0] for r in out], pa.int64())), *(pa.array([r[j] for r in out], t) for j, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.string())))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "start", "length", "country"])
+
+    return rows.mapInArrow(settle, f"key {kind}, start bigint, length bigint, country string").withColumnRenamed("key", key)
+
+
+def referenced(df: DataFrame, names: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``countries``: the distinct countries that a row's text names, in order; '' in the gazetteer discards a name."""
+    found = find_names(df, names, key, text).where("country <> ''").groupBy(key, "country").agg(F.min("start").alias("start"))
+    lists = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "country"))), lambda s: s["country"]).alias("countries"))
+    return df.join(lists, key, "left").withColumn("countries", F.coalesce("countries", F.array().cast("array<string>")))
+
+
 def extract_with(df: DataFrame, extractor: Callable[[pd.Series], pd.Series], text: str = "text") -> DataFrame:
     """Hook for a named-entity model: ``extractor`` maps a batch of texts to arrays of mentions."""
     schema = df.drop("mentions").schema.add("mentions", "array<string>")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import uuid
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LABELS = ["yes", "no", "neutral"]
 
@@ -53,12 +57,74 @@ def rollup(df: DataFrame, correct: Column, condition: str, *grains: str) -> Data
     return df.withColumn("__c", correct.cast("double")).groupingSets(sets, condition, *grains).agg(F.count("*").alias("n"), F.avg("__c").alias("accuracy"))
 
 
-def score_with(prompts: DataFrame, scorer: Callable[[pd.Series], pd.Series], prompt: str = "prompt") -> DataFrame:
-    """Hook for an external model: ``scorer`` maps a batch of prompts to score arrays."""
-    schema = prompts.drop("scores").schema.add("scores", "array<double>")
+#: The model that this worker process holds, by the call that asked for it.
+_LOADED: dict[str, object] = {}
 
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(scores=scorer(pdf[prompt]))
 
-    return prompts.drop("scores").mapInPandas(run, schema)
+def with_model(prompts: DataFrame, build: Callable[[], Callable], prompt: str, column: str, kind: T.DataType, batch: int) -> DataFrame:
+    """A column that a model makes of each prompt: built once per worker process, fed with batches of prompts of like length. Null prompts give null."""
+    call, kept = uuid.uuid4().hex, [c for c in prompts.columns if c != column]
+    arrow = pa.string() if isinstance(kind, T.StringType) else pa.list_(pa.float64())
+    schema = prompts.select(*[F.col(f"`{c}`") for c in kept]).schema.add(column, kind)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if call not in _LOADED:
+            _LOADED.clear()
+            _LOADED[call] = build()
+        model = _LOADED[call]
+        for rows in batches:
+            texts = rows.column(prompt).to_pylist()
+            order = sorted((i for i, t in enumerate(texts) if t is not None), key=lambda i: len(texts[i]))
+            made: list = [None] * len(texts)
+            for k in range(0, len(order), batch):
+                part = order[k : k + batch]
+                for i, value in zip(part, model([texts[i] for i in part])):
+                    made[i] = value
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], pa.array(made, arrow)], [*kept, column])
+
+    return prompts.mapInArrow(run, schema)
+
+
+def score_with(prompts: DataFrame, build: Callable[[], Callable[[list[str], list[str]], list[list[float]]]], choices: list[str], prompt: str = "prompt", leading_space: bool = True, batch: int = 64) -> DataFrame:
+    """``scores``: the log-probability of each choice after the prompt, by an external model; ``build()`` returns (prompts, choices) -> score lists.
+
+    Choices are scored with a space before them unless the prompt ends where the model goes on without one.
+    """
+    shown = [" " + c if leading_space else c for c in choices]
+
+    def ready() -> Callable:
+        model = build()
+        return lambda texts: model(texts, shown)
+
+    return with_model(prompts, ready, prompt, "scores", T.ArrayType(T.DoubleType()), batch)
+
+
+def priors_with(prompts: DataFrame, keys: list[str], build: Callable, choices: list[str], **options) -> DataFrame:
+    """keys, means: the scores of content-free prompts, a mean over those of a key, to be subtracted by ``calibrated``."""
+    return mean_scores(score_with(prompts, build, choices, **options), keys, n=len(choices))
+
+
+def answer_with(prompts: DataFrame, build: Callable[[], Callable[[list[str]], list[str]]], prompt: str = "prompt", batch: int = 64) -> DataFrame:
+    """``answer``: the text that an external model goes on with; ``parse_label`` reads a label from it."""
+    return with_model(prompts, build, prompt, "answer", T.StringType(), batch)
+
+
+class PromptBigrams:
+    """A stand-in for a language model: letters follow each other as often as they do in the prompt itself. Deterministic and small, for tests."""
+
+    def __call__(self, prompts: list[str], choices: list[str]) -> list[list[float]]:
+        def score(text: str, choice: str) -> float:
+            pair = text[-1:] + choice[:1]
+            return math.log((text.count(pair) + 1) / (text.count(text[-1:]) + 256)) if text else -math.inf
+
+        return [[score(p, c) for c in choices] for p in prompts]
+
+    def answer(self, prompts: list[str], length: int = 8) -> list[str]:
+        def go_on(text: str) -> str:
+            whole = text
+            for _ in range(length):
+                followers = Counter(text[i + 1] for i in range(len(text) - 1) if text[i] == whole[-1:])
+                whole += min(followers, key=lambda c: (-followers[c], c)) if followers else " "
+            return whole[len(text) :]
+
+        return [go_on(p) for p in prompts]

@@ -67,8 +67,10 @@ def accuracy_lines(spark, d):
 @product(
     f""", place AS (SELECT r_name AS "cluster", (r_regionkey * 3 % 5)::DOUBLE distance FROM region), a AS (SELECT cond, "cluster", count(*) n, avg({RIGHT}) accuracy FROM predictions GROUP BY 1, 2), j AS (SELECT * FROM a JOIN place USING ("cluster")),
     r AS (SELECT *, rank() OVER (PARTITION BY cond ORDER BY distance) rx, rank() OVER (PARTITION BY cond ORDER BY accuracy) + (count(*) OVER (PARTITION BY cond, accuracy) - 1) / 2 ry FROM j),
-    f AS (SELECT cond, corr(rx, ry) rho, regr_slope(accuracy, distance) slope, regr_intercept(accuracy, distance) intercept FROM r GROUP BY 1)
-    SELECT cond, "cluster", distance, n, round(accuracy, 6) accuracy, round(rho, 6) rho, round(slope, 6) slope, round(intercept, 6) intercept FROM j JOIN f USING (cond)""",
+    f AS (SELECT cond, count(*) - 2 v, corr(rx, ry) rho, regr_slope(accuracy, distance) slope, regr_intercept(accuracy, distance) intercept FROM r GROUP BY 1),
+    t AS (SELECT *, list_sum([pow(1 - rho * rho, j) * coalesce(list_product([CASE WHEN v % 2 = 1 THEN 2 * i / (2 * i + 1) ELSE (2 * i - 1) / (2 * i) END FOR i IN range(1, j + 1)]), 1) FOR j IN range(0, CASE WHEN v % 2 = 1 THEN (v - 1) // 2 ELSE v // 2 END)]) total FROM f)
+    SELECT cond, "cluster", distance, n, round(accuracy, 6) accuracy, round(rho, 6) rho, round(CASE WHEN abs(rho) >= 1 THEN 0 WHEN v % 2 = 0 THEN 1 - abs(rho) * total ELSE 1 - 2 / pi() * (asin(abs(rho)) + CASE WHEN v > 1 THEN abs(rho) * sqrt(1 - rho * rho) * total ELSE 0 END) END, 6) p,
+        round(slope, 6) slope, round(intercept, 6) intercept FROM j JOIN t USING (cond)""",
     "predictions",
 )
 def accuracy_scatter(spark, d):
@@ -76,8 +78,8 @@ def accuracy_scatter(spark, d):
 
     place = table(spark, d, "region").select(F.col("r_name").alias("cluster"), (F.col("r_regionkey") * 3 % 5).cast("double").alias("distance"))
     points = behaviour.group_accuracy(predictions(spark, d), ["cond", "cluster"]).join(F.broadcast(place), "cluster")  # five regions
-    fit = resample.rank_fit(points.select("cond", F.col("distance").alias("x"), F.col("accuracy").alias("y")), ["cond"]).drop("n")
-    return points.join(fit, "cond").select("cond", "cluster", "distance", "n", *r6("accuracy", "rho", "slope", "intercept"))
+    fit = resample.rank_fit(points.select("cond", F.col("distance").alias("x"), F.col("accuracy").alias("y")), ["cond"]).withColumn("p", resample.rank_p("rho", "n")).drop("n")
+    return points.join(fit, "cond").select("cond", "cluster", "distance", "n", *r6("accuracy", "rho", "p", "slope", "intercept"))
 
 
 @product(

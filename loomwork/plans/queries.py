@@ -281,17 +281,39 @@ NAMES = {n: dims.CLUSTER_OF[k] for k, n in dims.STORY_NAME.items()}
 NAMES |= {"New_Zealand": "EnglishSpeaking"}
 
 
-@query(
-    """SELECT * FROM (VALUES ('exact_lower', 'Germany', 'ProtestantEurope'), ('exact_lower', 'new_zealand', 'EnglishSpeaking'), ('exact_lower_alias', 'Germany', 'ProtestantEurope'), ('exact_lower_alias', 'US', 'EnglishSpeaking'),
-    ('exact_lower_alias', 'new_zealand', 'EnglishSpeaking'), ('exact_lower_title', 'Germany', 'ProtestantEurope'), ('exact_lower_title', 'new_zealand', 'EnglishSpeaking'), ('exact_region', 'Germany', 'ProtestantEurope'),
-    ('exact_region', 'US', 'EnglishSpeaking'), ('exact_region', 'West_Java', 'SouthAsia'), ('exact_region', 'new_zealand', 'EnglishSpeaking'), ('exact_region', 'uk', 'EnglishSpeaking'), ('normalised', 'Germany', 'ProtestantEurope'),
-    ('normalised', 'South Korea', 'Confucian'), ('normalised', 'US', 'Other'), ('normalised', 'West_Java', 'Other'), ('normalised', 'new_zealand', 'EnglishSpeaking'), ('normalised', 'north-macedonia', 'Orthodox'), ('normalised', 'nowhere', 'Other'),
-    ('normalised', 'uk', 'Other')) t("lookup", country, "cluster")"""
-)
+def values(pairs: dict[str, str]) -> str:
+    return ", ".join(f"('{k}', '{v}')" for k, v in pairs.items())
+
+
+def lookup_sql() -> str:
+    """The candidates of each lookup, tried in order, over the spellings that customers have of their country."""
+    short, region, lower = "(SELECT v FROM short WHERE k = {})", "(SELECT v FROM region_alias WHERE k = {})", "lower(country)"
+    title = "array_to_string(list_transform(string_split(country, '_'), lambda x: upper(x[1]) || lower(x[2:])), '_')"
+    tried = {
+        "exact_lower_alias": ["country", lower, short.format("country"), short.format(lower)], "exact_lower": ["country", lower], "exact_region": ["country", f"coalesce({region.format(lower)}, {lower})"],
+        "normalised": ["translate(lower(country), ' -', '__')"], "exact_lower_title": ["country", lower, title],
+    }
+    found = {k: "coalesce(" + ", ".join(f"(SELECT c FROM dim WHERE name = {x})" for x in keys) + (", 'Other')" if k == "normalised" else ")") for k, keys in tried.items()}
+    parts = [f"SELECT '{k}' \"lookup\", country, {c} AS \"cluster\", n FROM spelled" for k, c in found.items()]
+    return f"""WITH short AS (SELECT * FROM (VALUES {values(dims.ALIASES_SHORT)}) t(k, v)), region_alias AS (SELECT * FROM (VALUES {values(dims.ALIASES_REGION)}) t(k, v)),
+    dim AS (SELECT * FROM (VALUES {values(NAMES)}) t(name, c) UNION ALL SELECT CASE n_nationkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN n_name ELSE 'N' || lower(n_name[2:]) END, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+    spelled AS (SELECT CASE c_custkey % 8 WHEN 0 THEN lower(n_name) WHEN 1 THEN n_name WHEN 2 THEN replace(n_name, '_', ' ') WHEN 3 THEN lower(replace(n_name, '_', '-')) WHEN 4 THEN 'N' || lower(n_name[2:])
+        WHEN 5 THEN 'US' WHEN 6 THEN 'West_Java' ELSE n_name || '?' END country, count(*) n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+    SELECT * FROM ({" UNION ALL ".join(parts)}) WHERE "cluster" IS NOT NULL"""
+
+
+@query(lookup_sql())
 def lookup_variants(spark, d):
-    rows = spark.sql("SELECT col1 AS country FROM VALUES ('US'), ('uk'), ('South Korea'), ('north-macedonia'), ('new_zealand'), ('West_Java'), ('Germany'), ('nowhere')")
-    names = spark.createDataFrame(list(NAMES.items()), "name string, cluster string")
-    parts = [regions.with_cluster(rows, names, k, default="Other" if k == "normalised" else None).select(F.lit(k).alias("lookup"), "country", "cluster") for k in regions.LOOKUPS]
+    """Every lookup over the spellings that customers have of their country; the dimension spells nations in three ways and knows the published names."""
+    n, k = F.col("n_name"), F.col("c_custkey") % 8
+    titled = F.concat(F.lit("N"), F.lower(F.substring(n, 2, 100)))
+    spelled = F.when(k == 0, F.lower(n)).when(k == 1, n).when(k == 2, F.translate(n, "_", " ")).when(k == 3, F.lower(F.translate(n, "_", "-"))).when(k == 4, titled).when(k == 5, "US").when(k == 6, "West_Java").otherwise(F.concat(n, F.lit("?")))
+    nation = table(spark, d, "nation")
+    rows = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(spelled.alias("country")).agg(F.count("*").alias("n"))
+    own = F.when(F.col("n_nationkey") % 3 == 0, F.lower(n)).when(F.col("n_nationkey") % 3 == 1, n).otherwise(titled)
+    names = nation.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(own.alias("name"), F.col("r_name").alias("cluster"))
+    names = names.unionByName(spark.createDataFrame(list(NAMES.items()), "name string, cluster string"))
+    parts = [regions.with_cluster(rows, names, k, default="Other" if k == "normalised" else None).select(F.lit(k).alias("lookup"), "country", "cluster", "n") for k in regions.LOOKUPS]
     return curate.union_all(*parts)
 
 

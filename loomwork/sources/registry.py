@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import dims
 from .io import latest_checkpoint
@@ -67,9 +68,19 @@ def comparison_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(dims.COMPARISONS, "before string, after string")
 
 
+#: Parts of the names of preference datasets, and how each kind is read.
+PAIR_LOADERS = (("COIG-P", "turns"), ("PKU-SafeRLHF", "oriented"), ("hh-rlhf", "transcripts"))
+
+
 def pair_loader(dataset: str) -> str:
     """Which loader reads a preference dataset, by a part of its name."""
-    for part, kind in (("COIG-P", "turns"), ("PKU-SafeRLHF", "oriented"), ("hh-rlhf", "transcripts")):
+    for part, kind in PAIR_LOADERS:
         if part.lower() in dataset.lower():
             return kind
     return "transcripts"
+
+
+def pair_loader_column(dataset: Column | str) -> Column:
+    """The same for a column of dataset names."""
+    name = F.lower(dataset)
+    return F.coalesce(*[F.when(F.contains(name, F.lit(part.lower())), kind) for part, kind in PAIR_LOADERS], F.lit("transcripts"))

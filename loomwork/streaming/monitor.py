@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.curate import last_wins
@@ -41,6 +43,87 @@ def early_stops(stream: DataFrame, run: str, margin: str, patience: int, *order:
     return kept.groupBy(run).applyInPandasWithState(step, f"{run} long, stop_step long", "last array<double>, n long, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def early_stops_any_order(stream: DataFrame, run: str, margin: str, patience: int, time: str, tie: str, delay: str) -> DataFrame:
+    """run, stop_step, as ``early_stops`` gives them, for rows that arrive in any order but at most ``delay`` behind the latest.
+
+    State holds the rows that the watermark has not passed, by time and ``tie``; what it has passed is complete and is stepped through in order. A timer wakes a run
+    whose rows are ready though no new ones come. Rows of null margin are no steps, so a row far in the future with a null margin closes a stream.
+    """
+    kept = stream.withWatermark(time, delay).select(F.col(run).cast("long").alias(run), F.col(margin).cast("double").alias("__m"), F.col(time).alias("__time"), F.unix_micros(time).alias("__t"), F.col(tie).cast("long").alias("__tie"))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, ties, margins, last, n, done = state.get if state.exists else ([], [], [], [], 0, False)
+        waiting = list(zip(times, ties, margins))
+        for frame in frames:
+            frame = frame[frame["__m"].notna()]
+            waiting += zip(frame["__t"].tolist(), frame["__tie"].tolist(), frame["__m"].tolist())
+        passed, last, found = state.getCurrentWatermarkMs() * 1000 + 999, list(last), None
+        waiting.sort()
+        ready = [w for w in waiting if w[0] <= passed]
+        waiting = [] if done else waiting[len(ready) :]
+        for _, _, m in [] if done else ready:
+            n += 1
+            last = [*last, m][-patience:]
+            if len(last) == patience and max(last) <= 0:
+                found, done, waiting = n, True, []
+                break
+        state.update(([w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting], last, n, done))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs() + 1))
+        if found is not None:
+            yield pd.DataFrame({run: [key[0]], "stop_step": [found]})
+
+    held = "times array<long>, ties array<long>, margins array<double>, last array<double>, n long, done boolean"
+    return kept.groupBy(run).applyInPandasWithState(step, f"{run} long, stop_step long", held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class RouteProgress(StreamingQueryListener):
+    """Counts by route of each batch, as a running query observes them."""
+
+    def __init__(self) -> None:
+        self.batches: list[dict[str, int]] = []
+        self.ended = threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if seen := event.progress.observedMetrics.get("routes"):
+            self.batches.append(seen.asDict())
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+
+def scan_routed(stream: DataFrame, column: str, routes: dict[str, list[str]], path: str, report=None) -> tuple[DataFrame, list[dict[str, int]]]:
+    """A bounded scan that writes each route's rows, in one pass, below ``path`` (rows of no route go), and the counts by route that it showed while it ran.
+
+    ``report(counts so far)`` is called after each batch. A source may be in one route only.
+    """
+    spark = stream.sparkSession
+    of = {source: name for name, sources in routes.items() for source in sources}
+    if len(of) < sum(map(len, routes.values())):
+        raise ValueError("a source in two routes")
+    route = F.coalesce(*[F.when(F.col(column).isin(sources), name) for name, sources in routes.items()]).alias("route")
+    counts = [F.count(F.when(F.col("route") == name, 1)).alias(name) for name in routes]
+    progress = RouteProgress()
+    if report:
+        progress.onQueryProgress = lambda event, was=progress.onQueryProgress: (was(event), report({k: sum(b[k] for b in progress.batches) for k in routes}))
+    spark.streams.addListener(progress)
+    try:
+        taken = stream.select("*", route).observe("routes", F.count("*").alias("scanned"), *counts).where("route is not null")
+        query = taken.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").partitionBy("route").format("parquet").start(f"{path}/rows")
+        query.awaitTermination()
+        progress.ended.wait(60)
+    finally:
+        spark.streams.removeListener(progress)
+    schema = taken.schema
+    return spark.read.schema(schema).parquet(f"{path}/rows"), progress.batches
+
+
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Everything a bounded stream gives now, as a table in the shared folder."""
     spark = stream.sparkSession
@@ -68,6 +151,10 @@ def lookup_from_stream(stream: DataFrame, keys: list[str], order: str, name: str
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, per_batch: int = 1) -> DataFrame:
-    """The Parquet files called ``name`` in a folder as a stream."""
+    """The Parquet table called ``name`` in a folder, a file or a folder of files, as a stream."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", name).parquet(folder)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return source.parquet(f"{folder}/{name}")
+    return source.option("pathGlobFilter", name).parquet(folder)

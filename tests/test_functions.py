@@ -233,7 +233,9 @@ def test_resampling_laws(spark):
     points = spark.createDataFrame([("k", float(x), float(y)) for x, y in ((1, 2), (2, 4), (2, 5), (4, 9))], "k string, x double, y double")
     fit = resample.rank_fit(points, ["k"]).first()
     assert fit.rho == pytest.approx(0.9486833) and fit.slope > 2
-    assert resample.spearman_p(0.5, 10) == pytest.approx(0.14111328, abs=1e-6) and resample.spearman_p(1.0, 5) == 0.0 and resample.spearman_p(0.3, 2) is None
+    known = [(0.5, 10, 0.14111328), (1.0, 5, 0.0), (0.3, 2, None), (None, 9, None), (0.0, 7, 1.0), (-0.5, 3, 2 / 3), (0.5, 4, 0.5), (0.9, 5, 0.03738607), (-0.2, 101, 0.04494)]
+    got = spark.createDataFrame(known, "rho double, n int, want double").withColumn("p", resample.rank_p("rho", "n")).collect()
+    assert all(r.p is None if r.want is None else r.p == pytest.approx(r.want, abs=1e-5) for r in got), got
 
 
 def test_series(spark):
