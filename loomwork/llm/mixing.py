@@ -36,6 +36,8 @@ QUEUES = 1000
 STOP = re.compile(rb"(?<=[a-zA-Z])([.,])(?=[ \n])")
 #: Three white spaces in a row, or two at the end, may be one pre-token; else each space begins a pre-token and each line end is one.
 LONG_SPACE = re.compile(r"\s\s(?:\s|\Z)")
+#: Stretches after a space that hold no white space: printable ASCII, and the two-byte letters beyond U+00BF.
+PLAIN = re.compile(rb"(?:[!-~]|[\xc3-\xc9][\x80-\xbf])+").fullmatch
 REST = "rest"
 OUT = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window bigint"
 
@@ -59,29 +61,31 @@ class ByteIds:
     def forget(self) -> None:
         self.known = Numbers()
         self.ids = np.zeros(0, self.kind)
-        self.ends = np.zeros(1, np.int64)
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
 
     def encoded(self, texts: list[bytes]) -> list[list[int]]:
         return [m.ids for i in range(0, len(texts), 10_000) for m in self.encode([t.decode() for t in texts[i : i + 10_000]], add_special_tokens=False)]
 
     def learn(self, new: list[bytes]) -> None:
-        """The ids of stretches numbered last: those that begin with a space many at a time, as each opens with a token that does."""
+        """The ids of stretches numbered last: most begin with a space and hold no other; they are encoded many at a time, as each opens with a token that begins with a space."""
         if not new:
             return
-        units = [w[1:] if w[:1] == b"\0" else b" " + w for w in new]
-        spaced = [i for i, u in enumerate(units) if u[:1] == b" " and u.count(b" ") == 1 and u[1:] and not u.decode()[1].isspace() and not u.decode()[-1].isspace()]
-        each: dict[int, np.ndarray] = {}
-        for k in range(0, len(spaced), GROUP * 20):
-            part = spaced[k : k + GROUP * 20]
-            ids = np.concatenate([np.array(m, self.kind) for m in self.encoded([b"".join(units[i] for i in part[a : a + GROUP]) for a in range(0, len(part), GROUP)])])
-            begins = np.flatnonzero(self.opens[ids])
-            if len(begins) == len(part) and begins[0] == 0:
-                each |= zip(part, np.split(ids, begins[1:]))
-        others = [i for i in range(len(units)) if i not in each]
-        each |= zip(others, (np.array(m, self.kind) for m in self.encoded([units[i] for i in others])))
-        made = [each[i] for i in range(len(units))]
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(m) for m in made])])
-        self.ids = np.concatenate([self.ids, *made])
+        plain = np.fromiter((PLAIN(w) is not None for w in new), bool, len(new))
+        many = [new[i] for i in np.flatnonzero(plain).tolist()]
+        made = self.encoded([b" " + b" ".join(many[k : k + GROUP]) for k in range(0, len(many), GROUP)])
+        ids = np.array([i for m in made for i in m], self.kind)
+        begins = np.flatnonzero(self.opens[ids])
+        if len(begins) != len(many) or (len(begins) and begins[0]):
+            plain[:], ids, begins = False, ids[:0], begins[:0]
+        others = self.encoded([w[1:] if w[:1] == b"\0" else b" " + w for w in (new[i] for i in np.flatnonzero(~plain).tolist())])
+        sizes, starts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        sizes[plain], starts[plain] = np.diff(begins, append=len(ids)), begins
+        own = np.fromiter(map(len, others), np.int64, len(others))
+        sizes[~plain], starts[~plain] = own, len(ids) + np.cumsum(own) - own
+        self.starts = np.concatenate([self.starts, starts + len(self.ids)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids, np.array([i for m in others for i in m], self.kind)])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE:
@@ -97,8 +101,7 @@ class ByteIds:
         whole = iter(self.encoded([t.encode() for t, plain in zip(texts, hard) if plain]))
         out = []
         for own, plain in zip(numbered, hard):
-            starts = self.ends[own]
-            out.append(np.array(next(whole), self.kind) if plain else self.ids[ranges(starts, self.ends[own + 1] - starts)])
+            out.append(np.array(next(whole), self.kind) if plain else self.ids[ranges(self.starts[own], self.sizes[own])])
         return out
 
 
