@@ -74,13 +74,21 @@ def trichotomy(df: DataFrame, keys: list[str]) -> DataFrame:
     return counted.withColumn("default_rate", F.try_divide(F.col("wrong_us_match").cast("double"), (F.col("wrong_us_match") + F.col("wrong_us_diverge")).cast("double")))
 
 
-def overview(df: DataFrame, us: str = "US") -> DataFrame:
-    """Accuracy and default rate by condition, in both modes (two sides, clusters), from one pass over the predictions."""
+def overview(df: DataFrame, us: str = "US", keys: tuple[str, ...] = ("cond",)) -> DataFrame:
+    """Accuracy and default rate by the keys, in both modes (two sides, clusters), from one pass over the predictions."""
     wrong = F.col("us_pred").isNotNull() & (F.col("pred") != F.col("gold")) & (F.col("country") != us)
     same = (F.col("pred") == F.col("us_pred")).cast("double")
-    sets = df.withColumn("__w", wrong).withColumn("__s", F.when(wrong, same)).withColumn("__r", right()).groupingSets([[F.col("cond"), F.col("side")], [F.col("cond"), F.col("cluster")]], "cond", "side", "cluster")
+    own = [F.col(k) for k in keys]
+    sets = df.withColumn("__w", wrong).withColumn("__s", F.when(wrong, same)).withColumn("__r", right()).groupingSets([[*own, F.col("side")], [*own, F.col("cluster")]], *keys, "side", "cluster")
     out = sets.agg(F.count("*").alias("n"), F.avg("__r").alias("accuracy"), F.avg("__s").alias("default_rate"))
-    return out.select("cond", F.when(F.col("side").isNotNull(), "binary").otherwise("clusters").alias("mode"), F.coalesce("side", "cluster").alias("grp"), "n", "accuracy", "default_rate")
+    return out.select(*keys, F.when(F.col("side").isNotNull(), "binary").otherwise("clusters").alias("mode"), F.coalesce("side", "cluster").alias("grp"), "n", "accuracy", "default_rate")
+
+
+def default_rates(df: DataFrame, keys: list[str], us: str = "US") -> DataFrame:
+    """keys, wrong, n, default_rate, match_rate: the share of answers that are the one given for the US, among errors and among all rows of other countries, in one pass."""
+    rows = df.where(F.col("us_pred").isNotNull() & (F.col("country") != us))
+    same, wrong = (F.col("pred") == F.col("us_pred")).cast("double"), F.col("pred") != F.col("gold")
+    return rows.groupBy(*keys).agg(F.count(F.when(wrong, 1)).alias("wrong"), F.count("*").alias("n"), F.avg(F.when(wrong, same)).alias("default_rate"), F.avg(same).alias("match_rate"))
 
 
 def null_baseline(df: DataFrame, golds: DataFrame, us: str = "US") -> DataFrame:

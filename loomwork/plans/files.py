@@ -36,7 +36,7 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-@over_files("SELECT cond::VARCHAR AS condition, count(*) n, count(*) FILTER (pred = gold) hits, count(us_pred) n_us, round(sum(scores[1]), 6) s FROM predictions GROUP BY 1", "predictions")
+@over_files("SELECT cond::VARCHAR AS condition, count(*) n, count(*) FILTER (pred = gold) hits, count(us_pred) n_us, round(sum(scores[1]), 6) s, round(avg((pred = gold)::INT), 6) accuracy, count(DISTINCT country) n_countries FROM predictions GROUP BY 1", "predictions")
 def results_scan(spark, d):
     """A result document by condition, written as JSON and its predictions scanned."""
     path = folder(spark, "results")
@@ -44,7 +44,10 @@ def results_scan(spark, d):
     for c in range(4):
         io.write_result(rows.where(F.col("cond") == c), str(c), "stories", f"{path}/{c}/result.json")
     back = curate.union_all(*[io.read_predictions(spark, f"{path}/{c}") for c in range(4)], io.read_predictions(spark, f"{path}/missing"))
-    return back.groupBy("condition").agg(F.count("*").alias("n"), F.count(F.when(F.col("pred") == F.col("gold"), 1)).alias("hits"), F.count("us_pred").alias("n_us"), F.round(F.sum(F.col("scores")[0]), 6).alias("s"))
+    heads = curate.union_all(*[io.read_results(spark, f"{path}/{c}") for c in range(4)], io.read_results(spark, f"{path}/missing"))
+    heads = heads.select("condition", F.round("accuracy_overall", 6).alias("accuracy"), F.size("accuracy_by_country").cast("long").alias("n_countries"))
+    sums = back.groupBy("condition").agg(F.count("*").alias("n"), F.count(F.when(F.col("pred") == F.col("gold"), 1)).alias("hits"), F.count("us_pred").alias("n_us"), F.round(F.sum(F.col("scores")[0]), 6).alias("s"))
+    return sums.join(heads, "condition")
 
 
 @over_files("SELECT n_name country, count(*) n, round(sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE c_custkey % 3 + 1 END), 6)::DOUBLE w, count(*) FILTER (c_custkey % 5 > 0) n_x, round(sum(c_custkey % 100 / 100.0::DOUBLE), 6) y FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")

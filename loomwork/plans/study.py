@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims, text
-from ..operators import behaviour, mentions, scoring
+from ..operators import behaviour, mentions, neurons, scoring
 from ..sources import io, registry
 from ..streaming import monitor
-from .bindings import nations, predictions, scored, table, with_tables
+from .bindings import US, predictions, scored, table, with_tables
 from .files import folder
-from .queries import STOPS, assigned_of, r6
+from .queries import STOPS, assigned_of, control_rows, r6, selected_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,6 +50,47 @@ def referenced_countries(spark, d):
     return found.select("doc_id", F.array_join("countries", ",").alias("countries"), F.size("countries").cast("long").alias("n"))
 
 
+LANDS, PEOPLE = [f"({text.alternatives(x)})" for x in (dims.COUNTRY_NAMES, dims.DEMONYM_NAMES)]
+
+
+def stripped_sql(c: str) -> str:
+    """The six patterns one after the other, then spaces closed up and the first letter raised."""
+    quoted = lambda x: x.replace("'", "''").replace("\\'", "'")
+    for pattern in (rf"^\s*In\s+(?:the\s+)?{LANDS}\s*,\s*", rf"^\s*In\s+(?:a|an|the)?\s*{PEOPLE}\s+", rf"^\s*Among\s+{PEOPLE}s?\s*,\s*", rf"\bin\s+(?:the\s+)?{LANDS}\b", rf"\b{PEOPLE}\b", rf"\bfrom\s+{LANDS}\b"):
+        c = f"regexp_replace({c}, '{quoted(pattern)}', '', 'gi')"
+    c = f"regexp_replace(regexp_replace({c}, '\\s{{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+    return c
+
+
+NAMED = ", ".join(f"'{x}'" for x in sorted(dims.COUNTRY_NAMES)[:40] if "'" not in x)
+
+
+@study(
+    f"""WITH s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'In the ' || land || ', ' || replace(coalesce(text, ''), ' and ', ' from ' || land || ' ') WHEN 1 THEN replace(coalesce(text, ''), ' of ', ' in ' || land || ', ') WHEN 2 THEN 'Among ' || land || 's, ' || coalesce(text, '') ELSE coalesce(text, '') || ' from ' || land END story
+        FROM (SELECT *, [{NAMED}][doc_id % {NAMED.count(",") + 1} + 1] land FROM documents)),
+    t AS (SELECT doc_id, {stripped_sql("story")} x FROM s) SELECT doc_id, upper(x[1]) || x[2:] story FROM t"""
+)
+def mention_free_texts(spark, d):
+    """Country names off whole documents into which they were put, at the start, the end and inside."""
+    names = [x for x in sorted(dims.COUNTRY_NAMES)[:40] if "'" not in x]
+    body, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    land = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names) + 1).cast("int"))
+    put = lambda word, lead, tail: F.replace(body, F.lit(f" {word} "), F.concat(F.lit(lead), land, F.lit(tail)))
+    story = F.when(k == 0, F.concat(F.lit("In the "), land, F.lit(", "), put("and", " from ", " "))).when(k == 1, put("of", " in ", ", ")).when(k == 2, F.concat(F.lit("Among "), land, F.lit("s, "), body)).otherwise(F.concat(body, F.lit(" from "), land))
+    return table(spark, d, "documents").select("doc_id", text.strip_mentions(story).alias("story"))
+
+
+@study(
+    r"""WITH g AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') t FROM conversations), l AS (SELECT *, CASE turn % 4 WHEN 0 THEN ' ' || role || ' ' WHEN 1 THEN 'Acceptable' WHEN 2 THEN t ELSE 'NEITHER' END raw FROM g)
+    SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN 'yes' WHEN turn % 4 = 3 THEN 'neutral' WHEN lower(trim(raw)) IN ('yes', 'acceptable', 'true', '1') THEN 'yes' WHEN lower(trim(raw)) IN ('no', 'unacceptable', 'false', '0') THEN 'no' WHEN lower(trim(raw)) IN ('neutral', 'neither', 'unclear') THEN 'neutral' END gold FROM l"""
+)
+def turn_labels(spark, d):
+    """Gold labels from what turns say, where that is a label."""
+    k = F.col("turn") % 4
+    raw = F.when(k == 0, F.concat(F.lit(" "), "role", F.lit(" "))).when(k == 1, "Acceptable").when(k == 2, F.col("text")).otherwise("NEITHER")
+    return table(spark, d, "conversations").select("conv_id", "turn", text.gold_label(F.lit("??"), raw).alias("gold"))
+
+
 # Prompts
 
 
@@ -177,15 +218,77 @@ def health_report(spark, d):
     return out.select("run", "n", F.round(F.col("q4") - F.col("q1"), 6).alias("trend"), "verdict", F.array_join("errors", "|").alias("errors"))
 
 
-@study("SELECT source, true AS ordered, sum(strlen(line) + 1)::BIGINT bytes FROM (SELECT source, replace(text, chr(13), ' ') line FROM documents WHERE text IS NOT NULL) GROUP BY 1")
+@study("SELECT source, true AS ordered, true AS sized, sum(strlen(line) + 1)::BIGINT bytes FROM (SELECT source, replace(text, chr(13), ' ') line FROM documents WHERE text IS NOT NULL) GROUP BY 1")
 def files_by_time(spark, d):
     """Files listed oldest first, with their sizes; folders are written one after the other, so the order of time is that of the folders."""
     path = folder(spark, "listed")
     docs = table(spark, d, "documents").where("text is not null").select("source", F.regexp_replace("text", "\r", " ").alias("value"))
     docs.write.partitionBy("source").text(path)
     listed = io.list_files(spark, f"{path}/*/*.txt").withColumn("source", F.regexp_extract("path", r"source=(\w+)", 1))
+    listed = listed.withColumn("size", io.size_text("length"))
     step = F.col("modified") >= F.lag("modified").over(Window.partitionBy("source").orderBy("modified", "path"))
-    return listed.withColumn("step", F.coalesce(step, F.lit(True))).groupBy("source").agg(F.bool_and("step").alias("ordered"), F.sum("length").alias("bytes"))
+    return listed.withColumn("step", F.coalesce(step, F.lit(True))).groupBy("source").agg(F.bool_and("step").alias("ordered"), F.sum("length").alias("bytes"), F.bool_and(F.col("size").rlike("^[0-9.]+ (B|KB|MB)$")).alias("sized"))
+
+
+# Rates by model, benchmark and split
+
+
+MODELLED = """, m AS (SELECT *, CASE WHEN label < 5 THEN 'first' ELSE 'second' END benchmark, CASE item % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END model FROM predictions)"""
+
+
+def modelled(spark, d) -> DataFrame:
+    """Predictions of three models on two benchmarks."""
+    model = F.element_at(F.array(*map(F.lit, "abc")), (F.col("item") % 3 + 1).cast("int"))
+    return predictions(spark, d).withColumn("benchmark", F.when(F.col("label") < 5, "first").otherwise("second")).withColumn("model", model)
+
+
+@study(
+    MODELLED + f""", r AS (SELECT benchmark, model, CASE WHEN cond = 3 THEN 'nocult' ELSE 'cult' END split, cond stage, pred, gold, us_pred FROM m WHERE us_pred IS NOT NULL AND country <> '{US}' AND cond > 0
+    UNION ALL SELECT benchmark, model, 'reference', NULL, pred, gold, us_pred FROM m WHERE us_pred IS NOT NULL AND country <> '{US}' AND cond = 0)
+    SELECT benchmark, model, split, stage, count(*) FILTER (pred <> gold) wrong, count(*) n, round(avg((pred = us_pred)::INT) FILTER (pred <> gold), 6) default_rate, round(avg((pred = us_pred)::INT), 6) match_rate FROM r GROUP BY ALL""",
+    "predictions",
+)
+def cult_default_lines(spark, d):
+    """Both default rates of each stage of the two splits, and those of the reference condition beside them."""
+    rows = modelled(spark, d)
+    split = F.when(F.col("cond") == 0, "reference").when(F.col("cond") == 3, "nocult").otherwise("cult")
+    rates = behaviour.default_rates(rows.withColumn("split", split).withColumn("stage", F.when(F.col("cond") > 0, F.col("cond"))), ["benchmark", "model", "split", "stage"], US)
+    return rates.select("benchmark", "model", "split", "stage", "wrong", "n", *r6("default_rate", "match_rate"))
+
+
+@study(
+    MODELLED + """, b AS (SELECT model, benchmark, cond, mode, grp, pred, gold, us_pred, country FROM m, LATERAL (VALUES ('binary', side), ('clusters', "cluster")) t(mode, grp)) SELECT model, benchmark, cond, mode, grp, count(*) n, round(avg((pred = gold)::INT), 6) accuracy,
+    round(avg((pred = us_pred)::INT) FILTER (us_pred IS NOT NULL AND pred <> gold AND country <> 'NATION_0'), 6) default_rate FROM b GROUP BY ALL""",
+    "predictions",
+)
+def overview_figures(spark, d):
+    """The rows behind an overview of three models, two benchmarks and both modes, from one pass."""
+    return behaviour.overview(modelled(spark, d), US, ("model", "benchmark", "cond")).select("model", "benchmark", "cond", "mode", "grp", "n", *r6("accuracy", "default_rate"))
+
+
+@study(
+    MODELLED + """, b AS (SELECT model, cond, CASE WHEN pred = gold THEN 'c' WHEN pred = us_pred THEN 'm' ELSE 'd' END o FROM m WHERE us_pred IS NOT NULL)
+    SELECT model, cond, count(*) FILTER (o = 'c') correct, count(*) FILTER (o = 'm') wrong_us_match, count(*) FILTER (o = 'd') wrong_us_diverge, round(count(*) FILTER (o = 'm') / nullif(count(*) FILTER (o <> 'c'), 0), 6) default_rate FROM b GROUP BY ALL""",
+    "predictions",
+)
+def us_probe_by_model(spark, d):
+    return behaviour.trichotomy(modelled(spark, d), ["model", "cond"]).select("model", "cond", "correct", "wrong_us_match", "wrong_us_diverge", *r6("default_rate"))
+
+
+@study(
+    """, l AS (SELECT 'layer' kind, cond, layer::VARCHAR AS "key", count(*) n, round(avg(delta), 4) AS value FROM selected GROUP BY ALL), c AS (SELECT DISTINCT cond FROM selected WHERE cond <> 'c0'),
+    b AS (SELECT 'base', cond, 'c0', count(*) FILTER (x AND y), round(count(*) FILTER (x AND y) / count(*), 4) FROM (SELECT c.cond, module, layer, neuron, bool_or(s.cond = c.cond) x, bool_or(s.cond = 'c0') y FROM c, selected s WHERE s.cond IN (c.cond, 'c0') GROUP BY ALL) GROUP BY cond),
+    k AS (SELECT 'control', cond, 'controls', count(*) FILTER (x AND y), count(*) FILTER (x AND NOT y)::DOUBLE FROM (SELECT cond, module, layer, neuron, bool_or(t = 1) x, bool_or(t = 2) y FROM (SELECT cond, module, layer, neuron, 1 t FROM selected UNION ALL SELECT cond, module, layer, neuron, 2 FROM controls) GROUP BY ALL) GROUP BY cond)
+    SELECT * FROM l UNION ALL SELECT * FROM b UNION ALL SELECT * FROM k""",
+    "selected", "controls",
+)
+def attribution_details(spark, d):
+    """A selection by layer, beside the base's, and beside the controls': per layer the neurons and their mean, the Jaccard index with the base, what only the selection has."""
+    rows, controls = selected_rows(spark, d), control_rows(spark, d)
+    layers = rows.groupBy("cond", "layer").agg(F.count("*").alias("n"), F.round(F.avg("delta"), 4).alias("value")).select(F.lit("layer").alias("kind"), "cond", F.col("layer").cast("string").alias("key"), "n", "value")
+    base = neurons.jaccard(rows, "cond", ["c0", "c1", "c2", "c3"]).where("a = 'c0' AND n_b > 0").select(F.lit("base").alias("kind"), F.col("b").alias("cond"), F.col("a").alias("key"), F.col("n_both").alias("n"), F.round("jaccard", 4).alias("value"))
+    both = neurons.compare_sources(rows, controls, ["cond"]).select(F.lit("control").alias("kind"), "cond", F.lit("controls").alias("key"), F.col("shared").alias("n"), F.col("only_a").cast("double").alias("value"))
+    return layers.unionByName(base).unionByName(both)
 
 
 # Streams

@@ -176,6 +176,13 @@ def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", F.col("modificationTime").alias("modified"), "length").orderBy("modified", "path")
 
 
+def size_text(length: Column | str) -> Column:
+    """A file's size as people read it: B, KB or MB, the latter two with one decimal."""
+    n = F.col(length) if isinstance(length, str) else length
+    shown = lambda unit, name: F.concat(F.format_string("%.1f", n / unit), F.lit(f" {name}"))
+    return F.when(n > 1 << 20, shown(1 << 20, "MB")).when(n > 1 << 10, shown(1 << 10, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+
+
 def latest_checkpoint(spark: SparkSession, parent: str, fallback: bool = False) -> str | None:
     """The ``checkpoint-N`` folder with the greatest N; a suffix that is no number ranks below all, or is skipped without fallback.
 
