@@ -1,12 +1,12 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index holds the postings of all tokens of the training documents, whatever the benchmark: each chunk of documents is one stored row with its
-distinct terms (64-bit hashes of words) in order and the positions of each, in a numbering with gaps between documents. Benchmark windows are a table:
-an id, the terms and, apart from it, the items that each stands in. They go through the index in blocks of at most ``BLOCK`` windows, which bounds what driver and
-workers hold for any benchmark. For a block its terms are counted over all chunks; then each chunk looks the windows' terms up,
-drops windows of which one of the three rarest terms is missing, takes the postings of the rarest and intersects them with the others' at
-their offsets, all windows at a time. What is left are exact places; the three rarest terms within ``slop`` places of where they should be give proximity
-matches, each at the place of its rarest term. Of terms that are equally frequent the earlier in the window counts as rarer.
+distinct terms (64-bit hashes of words) in order and the positions of each, in a numbering with gaps between documents. Its terms are also dealt by term into
+stripes, which know the chunks of every term. Benchmark windows are a table: an id, the terms and, apart from it, the items that each stands in. Windows go, in packed blocks,
+to the stripes of their terms for the terms' frequencies over all documents; then each window goes to the stripe of its rarest term alone, and from there only to the
+chunks that hold that term. There the postings of the rarest are intersected with the others' at their offsets, all windows at a time. What is left are exact places; the
+three rarest terms within ``slop`` places of where they should be give proximity matches, each at the place of its rarest term. Of terms that are equally frequent the earlier
+in the window counts as rarer. No window and no posting passes through the driver, and nothing is broadcast.
 
 A hit asks for all words of a window, so two words of one hash could only make a false one if all others of a window stood around one of them.
 """
@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +31,11 @@ CHUNK = 6 << 20
 BATCH = 1 << 20
 #: Free positions between two documents of a chunk.
 GAP = 64
-#: Windows in a block; postings that a task follows at once; terms in a slice of counts.
-BLOCK = 400_000
+#: Windows in a packed block; postings that a task follows at once; chunks for each stripe of terms.
+BLOCK = 20_000
 AT_ONCE = 1 << 20
-SLICE = 1 << 16
+PER_STRIPE = 8
+LISTS = "ids binary, lengths binary, terms binary, offsets binary"
 
 
 def term_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,21 +113,164 @@ def windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
 
 class Block:
-    """Some windows, ready for the workers: ids, the distinct terms in order, and each window's terms and offsets (rarest first, once they are counted)."""
-
-    def __init__(self, ids: list[bytes], terms: list[bytes], width: int) -> None:
-        self.ids = ids
-        self.length = np.fromiter((len(t) // 8 for t in terms), np.int64, len(terms))
-        flat = np.frombuffer(b"".join(terms), U)
-        self.vocabulary, where = np.unique(flat, return_inverse=True)
-        self.term = np.full((len(ids), width), -1, np.int32)
-        self.term[np.arange(width) < self.length[:, None]] = where
-        self.offset = np.broadcast_to(np.arange(width, dtype=np.int8), self.term.shape)
-
-    def rank(self, seen: np.ndarray) -> None:
-        often = np.where(self.term >= 0, seen[self.term], np.iinfo(np.int64).max)
+    """Some windows: ids, numbers of terms, and terms with their offsets, a row each, padded to the width; rarest first once they are ranked."""
+
+    def __init__(self, ids: np.ndarray, length: np.ndarray, terms: np.ndarray, offset: np.ndarray) -> None:
+        self.ids, self.length, self.terms, self.offset = ids, length, terms, offset
+
+    @staticmethod
+    def unpacked(rows: list[dict], width: int) -> Block:
+        """Packed rows put together."""
+        join = lambda name, kind: np.concatenate([np.zeros(0, kind), *(unpack(r[name], kind) for r in rows)])
+        return Block(join("ids", "S16"), join("lengths", np.int8).astype(np.int64), join("terms", U).reshape(-1, width), join("offsets", np.int8).reshape(-1, width))
+
+    def packed(self, some: np.ndarray) -> list[bytes]:
+        return [pack(self.ids[some]), pack(self.length[some].astype(np.int8)), pack(self.terms[some]), pack(self.offset[some])]
+
+    def ranked(self, vocabulary: np.ndarray, seen: np.ndarray) -> Block:
+        """Terms in order of their frequencies, ``seen`` of the sorted ``vocabulary``; without the windows of which one of the three rarest occurs nowhere."""
+        width = np.arange(self.terms.shape[1])
+        often = np.where(width < self.length[:, None], seen[np.minimum(np.searchsorted(vocabulary, self.terms), len(vocabulary) - 1)], np.iinfo(np.int64).max)
         order = np.argsort(often, axis=1, kind="stable")
-        self.term, self.offset = np.take_along_axis(self.term, order, 1), np.take_along_axis(self.offset, order, 1)
+        there = np.flatnonzero(np.take_along_axis(often, order[:, :3], 1).min(axis=1) > 0)
+        order = order[there]
+        return Block(self.ids[there], self.length[there], np.take_along_axis(self.terms[there], order, 1), np.take_along_axis(self.offset[there], order, 1))
+
+    def numbered(self) -> Block:
+        """With a vocabulary of its own and terms as numbers in it, -1 beyond a window's length."""
+        self.vocabulary, where = np.unique(self.terms, return_inverse=True)
+        self.term = np.where(np.arange(self.terms.shape[1]) < self.length[:, None], where.reshape(self.terms.shape), -1).astype(np.int32)
+        return self
+
+
+def split(values: np.ndarray, stripes: int) -> list[tuple[int, np.ndarray]]:
+    """Places of the values by stripe."""
+    own = (values % U(stripes)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    found, begins = np.unique(own[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, begins[1:]))) if len(found) else []
+
+
+def rows_of(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.Table:
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds))})
+
+
+LONG, BYTES = pa.int64(), pa.binary()
+
+
+def mapped(df: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` (row -> tuples) over the rows of a frame."""
+    names = [p.split()[0] for p in schema.split(", ")]
+    kinds = [LONG if p.split()[1] == "bigint" else BYTES for p in schema.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from rows_of(names, kinds, list(work(row))).to_batches()
+
+    return df.mapInArrow(tidied(run), schema)
+
+
+def blocks_of(distinct: DataFrame, width: int, size: int) -> DataFrame:
+    """Windows in packed blocks: ``block`` and the lists."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, size):
+                ids, terms = (batch.column(c).slice(k, size).to_pylist() for c in ("window", "terms"))
+                length = np.fromiter((len(t) // 8 for t in terms), np.int64, len(terms))
+                table = np.zeros((len(terms), width), U)
+                table[np.arange(width) < length[:, None]] = np.frombuffer(b"".join(terms), U)
+                block = Block(np.array(ids, "S16"), length, table, np.broadcast_to(np.arange(width, dtype=np.int8), table.shape))
+                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | made], LONG), *(pa.array([b], BYTES) for b in block.packed(np.arange(len(ids))))], ["block", "ids", "lengths", "terms", "offsets"])
+                made += 1
+
+    return stored(distinct.mapInArrow(tidied(run), f"block bigint, {LISTS}"), "decontam-blocks")
+
+
+def postings(shards: DataFrame, blocks: DataFrame, stripes: int) -> DataFrame:
+    """``stripe, chunk, terms, sizes``: the terms of each chunk that windows have, dealt by term."""
+
+    def deal(row: dict):
+        terms, sizes = unpack(row["terms"], U), unpack(row["sizes"], np.int32)
+        for stripe, at in split(terms, stripes):
+            yield stripe, row["chunk"], pack(terms[at]), pack(sizes[at])
+
+    def words(row: dict):
+        terms = np.unique(unpack(row["terms"], U))
+        for stripe, at in split(terms, stripes):
+            yield stripe, pack(terms[at])
+
+    def keep(left: pa.Table, right: pa.Table) -> pa.Table:
+        wanted = np.unique(np.concatenate([np.zeros(0, U), *(unpack(b, U) for b in right.column("terms").to_pylist())]))
+        out = []
+        for row in left.to_pylist() if len(wanted) else []:
+            terms = unpack(row["terms"], U)
+            on = wanted[np.minimum(np.searchsorted(wanted, terms), len(wanted) - 1)] == terms
+            if on.any():
+                out.append((row["stripe"], row["chunk"], pack(terms[on]), pack(unpack(row["sizes"], np.int32)[on])))
+        return rows_of(["stripe", "chunk", "terms", "sizes"], [LONG, LONG, BYTES, BYTES], out)
+
+    dealt = mapped(shards.select("chunk", "terms", "sizes"), deal, "stripe bigint, chunk bigint, terms binary, sizes binary")
+    asked = mapped(blocks.select("terms"), words, "of bigint, terms binary")
+    return stored(dealt.groupBy("stripe").cogroup(asked.groupBy("of")).applyInArrow(keep, "stripe bigint, chunk bigint, terms binary, sizes binary"), "decontam-postings")
+
+
+def ranked_windows(blocks: DataFrame, lists: DataFrame, width: int, stripes: int) -> DataFrame:
+    """``of``, the stripe of the rarest term, and the lists of its windows, rarest term first."""
+
+    def ask(row: dict):
+        terms = np.unique(unpack(row["terms"], U))
+        for stripe, at in split(terms, stripes):
+            yield stripe, row["block"], pack(terms[at])
+
+    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = right.to_pylist()
+        terms = np.concatenate([np.zeros(0, U), *(unpack(r["terms"], U) for r in rows)])
+        known, where = np.unique(terms, return_inverse=True)
+        total = np.bincount(where, np.concatenate([np.zeros(0, np.int32), *(unpack(r["sizes"], np.int32) for r in rows)]), len(known)).astype(np.int64)
+        out = []
+        for row in left.to_pylist():
+            own = unpack(row["terms"], U)
+            at = np.searchsorted(known, own)
+            seen = np.where(np.append(known, U(0))[at] == own, np.append(total, 0)[at], 0) if len(known) else np.zeros(len(own), np.int64)
+            out.append((row["block"], row["terms"], pack(seen)))
+        return rows_of(["block", "terms", "seen"], [LONG, BYTES, BYTES], out)
+
+    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
+        told = right.to_pylist()
+        terms, seen = np.concatenate([np.zeros(0, U), *(unpack(r["terms"], U) for r in told)]), np.concatenate([np.zeros(0, np.int64), *(unpack(r["seen"], np.int64) for r in told)])
+        order = np.argsort(terms)
+        out = []
+        for row in left.to_pylist():
+            block = Block.unpacked([row], width).ranked(terms[order], seen[order])
+            out += [(stripe, *block.packed(at)) for stripe, at in split(block.terms[:, 0], stripes)]
+        return rows_of(["of", "ids", "lengths", "terms", "offsets"], [LONG, BYTES, BYTES, BYTES, BYTES], out)
+
+    asked = mapped(blocks.select("block", "terms"), ask, "stripe bigint, block bigint, terms binary")
+    told = asked.groupBy("stripe").cogroup(lists.groupBy("stripe")).applyInArrow(tell, "block bigint, terms binary, seen binary")
+    return blocks.groupBy("block").cogroup(told.select(F.col("block").alias("for"), "terms", "seen").groupBy("for")).applyInArrow(rank, f"of bigint, {LISTS}")
+
+
+def sent_to_chunks(ranked: DataFrame, lists: DataFrame, width: int) -> DataFrame:
+    """``to``, a chunk, and the lists of the windows whose rarest term it holds."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block.unpacked(left.to_pylist(), width)
+        out = []
+        if len(block.ids):
+            rarest, where = np.unique(block.terms[:, 0], return_inverse=True)
+            order, sizes = np.argsort(where, kind="stable"), np.bincount(where)
+            begins = np.cumsum(sizes) - sizes
+            for row in right.to_pylist():
+                at = np.searchsorted(rarest, unpack(row["terms"], U))
+                at = at[np.append(rarest, U(0))[at] == unpack(row["terms"], U)]
+                if len(at):
+                    out.append((row["chunk"], *block.packed(order[ranges(begins[at], sizes[at])])))
+        return rows_of(["to", "ids", "lengths", "terms", "offsets"], [LONG, BYTES, BYTES, BYTES, BYTES], out)
+
+    return ranked.groupBy("of").cogroup(lists.groupBy("stripe")).applyInArrow(meet, f"to bigint, {LISTS}")
 
 
 def slots(row: dict, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,31 +283,6 @@ def slots(row: dict, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return slot, sizes
 
 
-def frequencies(shards: DataFrame, vocabulary: Broadcast) -> np.ndarray:
-    """Occurrences of each term of the vocabulary over all documents. Tasks send their sums in slices, which are added up before they come to the driver."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary.value), np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                slot, sizes = slots(row, vocabulary.value)
-                there = np.flatnonzero(slot[:-1] >= 0)
-                total[there] += sizes[slot[there]]
-        cuts = [k for k in range(0, len(total), SLICE) if total[k : k + SLICE].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k // SLICE for k in cuts], pa.int32()), pa.array([pack(total[k : k + SLICE]) for k in cuts], pa.binary())], ["slice", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(unpack(b, np.int64) for b in table.column("counts").to_pylist())
-        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([pack(total)], pa.binary())})
-
-    found = shards.select("terms", "sizes").mapInArrow(tidied(count), "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
-    seen = np.zeros(len(vocabulary.value) + 1, np.int64)
-    for k, counts in found.toLocalIterator():
-        part = unpack(counts, np.int64)
-        seen[k * SLICE : k * SLICE + len(part)] = part
-    return seen
-
-
 def matches(row: dict, b: Block, slop: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
     """Exact matches (window, first place) and proximity matches (window, place of its rarest term) in a chunk, in places from GAP on."""
     slot, sizes = slots(row, b.vocabulary)
@@ -200,32 +319,33 @@ def matches(row: dict, b: Block, slop: int) -> tuple[list[tuple[np.ndarray, np.n
     return exact, near
 
 
-def search(shards: DataFrame, block: Broadcast, slop: int) -> DataFrame:
+def search(shards: DataFrame, sent: DataFrame, width: int, slop: int) -> DataFrame:
     """``chunk, row, hit_words, windows, n_near, near_windows`` per document with a match; row is its place in its chunk."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        long, many = pa.int64(), pa.list_(pa.binary())
-        schema = pa.schema([("chunk", long), ("row", long), ("hit_words", pa.list_(long)), ("windows", many), ("n_near", long), ("near_windows", many)])
-        for batch in batches:
-            for row in batch.to_pylist():
-                exact, near = matches(row, block.value, slop)
-                w, start, v, place = [np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for found in (exact, near) for i in (0, 1)]
-                if not len(w) and not len(v):
-                    continue
-                lengths = np.array(row["n_words"], np.int64)
-                base = np.cumsum(lengths + GAP) - lengths  # the first word of each document, after GAP free positions
-                covered = np.unique(ranges(start, block.value.length[w]))
-                owner, doc, close = (np.searchsorted(base, x, side="right") - 1 for x in (covered, start, place))
-                of, ids, out = len(block.value.ids), block.value.ids, []
-                hit, met = np.unique(doc * of + w), np.unique(close * of + v)  # distinct pairs of document and window
-                some = np.unique(np.concatenate([doc, close]))
-                cut = lambda x: list(zip(np.searchsorted(x, some).tolist(), np.searchsorted(x, some, side="right").tolist()))
-                n_near = np.bincount(close, minlength=len(lengths))
-                for d, (a, b), (h, i), (m, j) in zip(some.tolist(), cut(owner), cut(hit // of), cut(met // of)):
-                    out.append((row["chunk"], d, (covered[a:b] - base[d]).tolist(), [ids[k] for k in (hit[h:i] % of).tolist()], int(n_near[d]), [ids[k] for k in (met[m:j] % of).tolist()]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-    return shards.select("chunk", "n_words", "terms", "sizes", "positions").mapInArrow(tidied(run), "chunk bigint, row bigint, hit_words array<bigint>, windows array<binary>, n_near bigint, near_windows array<binary>")
+    many = pa.list_(BYTES)
+    schema = pa.schema([("chunk", LONG), ("row", LONG), ("hit_words", pa.list_(LONG)), ("windows", many), ("n_near", LONG), ("near_windows", many)])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block, out = Block.unpacked(right.to_pylist(), width).numbered(), []
+        for row in left.to_pylist() if len(block.ids) else []:
+            exact, near = matches(row, block, slop)
+            w, start, v, place = [np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for found in (exact, near) for i in (0, 1)]
+            if not len(w) and not len(v):
+                continue
+            lengths = np.array(row["n_words"], np.int64)
+            base = np.cumsum(lengths + GAP) - lengths  # the first word of each document, after GAP free positions
+            covered = np.unique(ranges(start, block.length[w]))
+            owner, doc, close = (np.searchsorted(base, x, side="right") - 1 for x in (covered, start, place))
+            of, ids = len(block.ids), [i.ljust(16, b"\0") for i in block.ids.tolist()]
+            hit, met = np.unique(doc * of + w), np.unique(close * of + v)  # distinct pairs of document and window
+            some = np.unique(np.concatenate([doc, close]))
+            cut = lambda x: list(zip(np.searchsorted(x, some).tolist(), np.searchsorted(x, some, side="right").tolist()))
+            n_near = np.bincount(close, minlength=len(lengths))
+            for d, (a, b), (h, i), (m, j) in zip(some.tolist(), cut(owner), cut(hit // of), cut(met // of)):
+                out.append((row["chunk"], d, (covered[a:b] - base[d]).tolist(), [ids[k] for k in (hit[h:i] % of).tolist()], int(n_near[d]), [ids[k] for k in (met[m:j] % of).tolist()]))
+        return rows_of(schema.names, schema.types, out)
+
+    both = shards.select("chunk", "n_words", "terms", "sizes", "positions").groupBy("chunk").cogroup(sent.groupBy("to"))
+    return both.applyInArrow(run, "chunk bigint, row bigint, hit_words array<bigint>, windows array<binary>, n_near bigint, near_windows array<binary>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 3, block_windows: int | None = None) -> DataFrame:
@@ -237,32 +357,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop:
     """
     if not 0 < width <= GAP - 2 * slop:
         raise ValueError("width out of range")
-    context = docs.sparkSession.sparkContext
     shards = index(docs)
     distinct, owners = windows(benchmark, width)
-    n = max(1, -(-distinct.count() // (block_windows or BLOCK)))
-    parts = []
-    for k in range(n):
-        mine = distinct.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k).toArrow()
-        if not mine.num_rows and n > 1:
-            continue
-        block = Block(mine.column("window").to_pylist(), mine.column("terms").to_pylist(), width)
-        vocabulary = context.broadcast(block.vocabulary)
-        block.rank(frequencies(shards, vocabulary) if len(block.ids) else np.zeros(1, np.int64))
-        sent = context.broadcast(block)
-        parts.append(stored(search(shards, sent, slop) if len(block.ids) else search(shards.limit(0), sent, slop), "decontam-matches"))
-        vocabulary.destroy()
-        sent.destroy()
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    stripes = max(1, shards.count() // PER_STRIPE)
+    blocks = blocks_of(distinct, width, block_windows or BLOCK)
+    lists = postings(shards, blocks, stripes)
+    found = stored(search(shards, sent_to_chunks(ranked_windows(blocks, lists, width, stripes), lists, width), width, slop), "decontam-matches")
 
     def items(column: str, name: str) -> DataFrame:
         told = found.select("chunk", "row", F.explode(column).alias("window")).join(owners, "window")
         return told.groupBy("chunk", "row").agg(F.array_sort(F.collect_set("item_id")).alias(name))
 
-    hits = found.groupBy("chunk", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.sum("n_near").alias("n_near"))
-    hits = hits.join(items("windows", "items"), ["chunk", "row"], "left").join(items("near_windows", "near_items"), ["chunk", "row"], "left")
+    hits = found.select("chunk", "row", "hit_words", "n_near").join(items("windows", "items"), ["chunk", "row"], "left").join(items("near_windows", "near_items"), ["chunk", "row"], "left")
     each = F.posexplode(F.arrays_zip("doc_id", "hash", "n_words")).alias("row", "d")
     rows = shards.select("chunk", each).select("chunk", F.col("row").cast("long").alias("row"), "d.doc_id", "d.hash", "d.n_words")
     none, nobody = F.array().cast("array<bigint>"), F.array().cast("array<string>")
