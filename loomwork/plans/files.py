@@ -43,8 +43,8 @@ def results_scan(spark, d):
     rows = predictions(spark, d).withColumn("group", F.col("side")).withColumn("row_idx", F.col("item").cast("long"))
     for c in range(4):
         io.write_result(rows.where(F.col("cond") == c), str(c), "stories", f"{path}/{c}/result.json")
-    back = curate.union_all(*[io.read_predictions(spark, f"{path}/{c}") for c in range(4)], io.read_predictions(spark, f"{path}/missing"))
-    heads = curate.union_all(*[io.read_results(spark, f"{path}/{c}") for c in range(4)], io.read_results(spark, f"{path}/missing"))
+    back = io.read_predictions(spark, f"{path}/*/result.json").unionByName(io.read_predictions(spark, f"{path}/missing"))
+    heads = io.read_results(spark, f"{path}/*/result.json").unionByName(io.read_results(spark, f"{path}/missing"))
     heads = heads.select("condition", F.round("accuracy_overall", 6).alias("accuracy"), F.size("accuracy_by_country").cast("long").alias("n_countries"))
     sums = back.groupBy("condition").agg(F.count("*").alias("n"), F.count(F.when(F.col("pred") == F.col("gold"), 1)).alias("hits"), F.count("us_pred").alias("n_us"), F.round(F.sum(F.col("scores")[0]), 6).alias("s"))
     return sums.join(heads, "condition")

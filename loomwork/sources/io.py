@@ -23,11 +23,9 @@ def hadoop(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """True if there is a file, or a folder with something in it."""
+    """True if there is a file, or a folder with something in it; of a pattern, if it matches such."""
     p, fs = hadoop(spark, path)
-    if not fs.exists(p):
-        return False
-    return fs.getFileStatus(p).isFile() or len(fs.listStatus(p)) > 0
+    return any(s.isFile() or len(fs.listStatus(s.getPath())) > 0 for s in fs.globStatus(p) or [])
 
 
 def local_first(spark: SparkSession, path: str, fallback) -> DataFrame:
