@@ -20,6 +20,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,9 +34,10 @@ GROUP = 500
 #: Queues of their own in a natural mixture; smaller sources share one.
 QUEUES = 1000
 #: A stop between a letter and white space is a pre-token, so it can be set apart.
-STOP = re.compile(rb"(?<=[a-zA-Z])([.,])(?=[ \n])")
-#: Three white spaces in a row, or two at the end, may be one pre-token; else each space begins a pre-token and each line end is one.
-LONG_SPACE = re.compile(r"\s\s(?:\s|\Z)")
+STOP = r"([a-zA-Z])([.,])([ \n])"
+#: White space of any kind. Three in a row, or two at the end, may be one pre-token; else each space begins a pre-token and each line end is one.
+WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LONG_SPACE = f"{WHITE}{WHITE}(?:{WHITE}|\\z)"
 #: Stretches after a space that hold no white space: printable ASCII, and the two-byte letters beyond U+00BF.
 PLAIN = re.compile(rb"(?:[!-~]|[\xc3-\xc9][\x80-\xbf])+").fullmatch
 REST = "rest"
@@ -87,22 +89,30 @@ class ByteIds:
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, ids, np.array([i for m in others for i in m], self.kind)])
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and their numbers. Texts with rare spacing or special strings go to the library whole."""
         if len(self.known) > CACHE:
             self.forget()
         before = len(self.known)
-        number = self.known.__getitem__
-        hard = [bool(LONG_SPACE.search(t)) or "\0" in t or any(s in t for s in self.special) for t in texts]
-        numbered = []
-        for text, plain in zip(texts, hard):
-            parts = [] if plain else (b"\0" + STOP.sub(b" \0" rb"\1", text.encode()).replace(b"\n", b" \0\n \0")).split(b" ")
-            numbered.append(np.fromiter(map(number, parts), np.int64, len(parts)))
+        texts = pc.fill_null(texts, "")
+        hard = pc.match_substring_regex(texts, LONG_SPACE)
+        for special in ("\0", *self.special):
+            hard = pc.or_(hard, pc.match_substring(texts, special))
+        spread = pc.replace_substring(pc.replace_substring_regex(texts.filter(pc.invert(hard)), STOP, "\\1 \0\\2\\3"), "\n", " \0\n \0")
+        split = pc.split_pattern(pc.binary_join_element_wise("", spread, "\0"), " ")
+        coded = split.flatten().dictionary_encode()
+        number = np.fromiter(map(self.known.__getitem__, coded.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(coded.dictionary))
         self.learn(list(islice(self.known, before, None)))
-        whole = iter(self.encoded([t.encode() for t, plain in zip(texts, hard) if plain]))
-        out = []
-        for own, plain in zip(numbered, hard):
-            out.append(np.array(next(whole), self.kind) if plain else self.ids[ranges(self.starts[own], self.sizes[own])])
-        return out
+        own = number[coded.indices.to_numpy()]
+        sizes = self.sizes[own]
+        ids = self.ids[ranges(self.starts[own], sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())]).astype(np.int64)]
+        hard = hard.to_numpy(zero_copy_only=False)
+        if not hard.any():
+            return ids, np.diff(ends)
+        plain, whole = iter(np.split(ids, ends[1:-1])), iter(self.encoded(texts.filter(pa.array(hard)).cast(pa.binary()).to_pylist()))
+        each = [np.array(next(whole), self.kind) if h else next(plain) for h in hard.tolist()]
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
 
 
 class Schedule:
@@ -202,15 +212,14 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = ByteIds(tokenizer_path), TaskContext.get().partitionId()
-        tail = np.array([end_id], encoder.kind)
         for k, table in enumerate(chunks(batches, CHUNK)):
-            texts = [t or "" for t in table.column("text").to_pylist()]
-            ids = [x for i in range(0, len(texts), 500) for x in encoder(texts[i : i + 500])]
-            tokens = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
+            ids, tokens = encoder(table.column("text").combine_chunks())
+            ids = np.insert(ids, np.cumsum(tokens), np.array(end_id, ids.dtype))
+            tokens += 1
             number = Numbers()
             queue = [number["null" if s is None else "of " + s] for s in table.column("source").to_pylist()]
             sums = np.bincount(queue, tokens, len(number)).astype(np.int64)
-            row = [part << 32 | k, table.column("doc_id").to_pylist(), tokens, queue, list(number), sums, encoder.kind is np.uint32, pack(np.concatenate([y for x in ids for y in (x, tail)]))]
+            row = [part << 32 | k, table.column("doc_id").to_pylist(), tokens, queue, list(number), sums, encoder.kind is np.uint32, pack(ids)]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, fields)], [n for n, _ in fields])
 
     schema = "chunk bigint, doc_id array<bigint>, tokens array<bigint>, queue array<int>, keys array<string>, sums array<bigint>, wide boolean, ids binary"
