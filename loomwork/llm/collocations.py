@@ -189,30 +189,42 @@ def keep_pairs(stripes: int):
     return run
 
 
-def word_counts(first: DataFrame, stripes: int, least: int) -> DataFrame:
-    """``lang, phrase, f`` of the words that reach ``least``: shards send packed lists to stripes of words, which add them up."""
+TALLY = [("stripe", pa.int64()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary())]
+TALLIES = "stripe bigint, lang string, phrases binary, counts binary"
 
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, blob, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "passing", "counts"))):
-                words, tally = unpack_strings(blob), unpack_planes(counts)
-                stripe = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(stripes)
-                order = np.argsort(stripe, kind="stable")
-                own, begins = np.unique(stripe[order], return_index=True)
-                groups = np.split(order, begins[1:]) if len(own) else []
-                columns = [pa.array(own.astype(np.int64)), pa.array([lang] * len(own), pa.string()), pa.array([pack_strings([words[i] for i in g.tolist()]) for g in groups], pa.binary()), pa.array([pack_planes(tally[g]) for g in groups], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["stripe", "lang", "words", "counts"])
 
-    def add_up(table: pa.Table) -> pa.Table:
+def tallied(lang: str, phrases: list[bytes], counts: np.ndarray, stripes: int) -> list[dict]:
+    """Counts of a shard as packed lists, a row for each stripe of phrases."""
+    stripe = np.fromiter(map(xxhash.xxh3_64_intdigest, phrases), np.uint64, len(phrases)) % np.uint64(stripes)
+    order = np.argsort(stripe, kind="stable")
+    own, begins = np.unique(stripe[order], return_index=True)
+    groups = np.split(order, begins[1:]) if len(own) else []
+    return [{"stripe": s, "lang": lang, "phrases": pack_strings([phrases[i] for i in g.tolist()]), "counts": pack_planes(counts[g])} for s, g in zip(own.tolist(), groups)]
+
+
+def added_up(tallies: DataFrame, least: int) -> DataFrame:
+    """``lang, phrase, f`` of the phrases that reach ``least`` over all shards."""
+
+    def run(table: pa.Table) -> pa.Table:
         total: Counter = Counter()
-        for words, counts in zip(table.column("words"), table.column("counts")):
-            for word, n in zip(unpack_strings(words.as_py()), unpack_planes(counts.as_py()).tolist()):
-                total[word] += n
-        found = [(w.decode(), n) for w, n in total.items() if n >= least]
-        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(found), pa.string()), "phrase": pa.array([w for w, _ in found], pa.string()), "f": pa.array([n for _, n in found], pa.int64())})
+        for phrases, counts in zip(table.column("phrases"), table.column("counts")):
+            for phrase, n in zip(unpack_strings(phrases.as_py()), unpack_planes(counts.as_py()).tolist()):
+                total[phrase] += n
+        found = [(p.decode(), n) for p, n in total.items() if n >= least]
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(found), pa.string()), "phrase": pa.array([p for p, _ in found], pa.string()), "f": pa.array([n for _, n in found], pa.int64())})
+
+    return tallies.groupBy("stripe", "lang").applyInArrow(run, "lang string, phrase string, f bigint")
+
+
+def word_tallies(first: DataFrame, stripes: int) -> DataFrame:
+    """The counts of the words that pass."""
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from pa.Table.from_pylist(tallied(row["lang"], unpack_strings(row["passing"]), unpack_planes(row["counts"]), stripes), pa.schema(TALLY)).to_batches()
 
-    sent = first.select("lang", "passing", "counts").mapInArrow(tidied(deal), "stripe bigint, lang string, words binary, counts binary")
-    return sent.groupBy("stripe", "lang").applyInArrow(add_up, "lang string, phrase string, f bigint")
+    return first.select("lang", "passing", "counts").mapInArrow(tidied(deal), TALLIES)
 
 
 def scanned(phrases: list[str], text: str) -> np.ndarray:
@@ -232,7 +244,7 @@ def count_matches(stripes: int):
     """Candidates of a shard compiled into automata; the counts of their overlapping matches in its text."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"lang": [], "phrase": [], "f": []}
+        out: list[dict] = []
         for row in left.to_pylist():
             seq, words = unpack_planes(row["seq"]), [w.decode() for w in unpack_strings(row["words"])]
             found = grams(seq, LONGEST)
@@ -245,10 +257,8 @@ def count_matches(stripes: int):
             names = ["\n", *words]
             text = " " + " ".join([names[i] for i in seq.tolist()]) + " "
             if phrases:
-                out["lang"] += [row["lang"]] * len(phrases)
-                out["phrase"] += [p[1:-1] for p in phrases]
-                out["f"] += scanned(phrases, text).tolist()
-        return pa.table(out, pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())]))
+                out += tallied(row["lang"], [p[1:-1].encode() for p in phrases], scanned(phrases, text), stripes)
+        return pa.Table.from_pylist(out, pa.schema(TALLY))
 
     return run
 
@@ -262,9 +272,8 @@ def phrase_counts(docs: DataFrame, least: int = 100, shard: int = SHARD) -> tupl
     first = stored(paired(held, level_words).applyInArrow(keep_words(stripes), HELD + ", passing binary, counts binary"), "collocations-words")
     slim = first.drop("passing", "counts")
     second = stored(paired(slim, lambda r: level_phrases(r, 2, 2)).applyInArrow(keep_pairs(stripes), HELD), "collocations-pairs")
-    found = paired(second, lambda r: level_phrases(r, 3, LONGEST)).applyInArrow(count_matches(stripes), "lang string, phrase string, f bigint")
-    counts = found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return stored(counts.unionByName(word_counts(first, stripes, least)), "collocations-counts"), held.groupBy("lang").agg(F.sum("n").alias("n"))
+    found = paired(second, lambda r: level_phrases(r, 3, LONGEST)).applyInArrow(count_matches(stripes), TALLIES)
+    return stored(added_up(found.unionByName(word_tallies(first, stripes)), least), "collocations-counts"), held.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def exact_score() -> F.Column:
