@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, pack, pack_strings, ranges, unpack, unpack_strings
 
 CHUNK = 8 << 20
+PARTITIONS = 4096
 BATCH = 2 << 20
 ANCHOR = 5
 HEAVY = 20_000
@@ -307,9 +308,11 @@ def dedup_substrings(docs: DataFrame, width: int = 13, spans: bool = False) -> D
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // CHUNK))
     held = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(n))).select("doc_id", "text", "chunk")
-    # As many partitions as chunks, so that what a task reads does not grow with the corpus.
-    by_chunk = lambda df: df.repartition(n, "chunk").groupBy("chunk")
-    by_bucket = lambda df: df.repartition(n, "bucket").groupBy("bucket")
+    # As many partitions as chunks, so that what a task reads does not grow with the corpus; beyond ``PARTITIONS`` a task takes several chunks, one after the
+    # other, since an exchange has a block for each pair of partitions.
+    parts = min(n, PARTITIONS)
+    by_chunk = lambda df: df.repartition(parts, "chunk").groupBy("chunk")
+    by_bucket = lambda df: df.repartition(parts, "bucket").groupBy("bucket")
     sent = by_chunk(held).applyInArrow(lambda t: send_anchors(t, width, n), "bucket bigint, chunk bigint, prints binary, counts binary")
     states = by_bucket(sent).applyInArrow(weigh_anchors, "chunk bigint, bucket bigint, state binary")
     stretches = by_chunk(held).cogroup(by_chunk(states)).applyInArrow(lambda d, s: send_stretches(d, s, width, n), "bucket bigint, chunk bigint, stretches binary, least binary")
