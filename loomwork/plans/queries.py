@@ -627,6 +627,20 @@ def item_bootstrap_ci(spark, d):
 QUERIES["item_bootstrap_ci"] = item_bootstrap_ci
 
 
+@query(
+    f""", i AS (SELECT item, side, count(*) FILTER (cond = 0 AND pred = gold) h0, count(*) FILTER (cond = 0) n0, count(*) FILTER (cond = 1 AND pred = gold) h1, count(*) FILTER (cond = 1) n1 FROM predictions WHERE cond < 2 GROUP BY 1, 2),
+    k AS (SELECT side, h0, n0, h1, n1, row_number() OVER (ORDER BY side, h0, n0, h1, n1) idx FROM i), c AS (SELECT count(*) n FROM i),
+    t AS (SELECT rep, {DRAW.format('item')} % n + 1 idx FROM (SELECT unnest(range({REPLICATES})) rep), c, LATERAL (SELECT unnest(range(n)) draw)), b AS (SELECT rep, {SHIFT} AS "shift" FROM t JOIN k USING (idx) GROUP BY 1)
+    SELECT count("shift") n, round(quantile_cont("shift", 0.025::DOUBLE), 6) lo, round(quantile_cont("shift", 0.975::DOUBLE), 6) hi FROM b""",
+    "predictions",
+)
+def item_bootstrap_draws_ci(spark, d):
+    """The interval by single items, with draws that SQL can replay."""
+    from . import reports
+
+    return resample.interval(resample.item_bootstrap_by_draws(reports.item_rows(predictions(spark, d), 0, 1), REPLICATES)).select("n", *r6("lo", "hi"))
+
+
 # Ordered data
 
 
