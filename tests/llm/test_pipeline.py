@@ -44,3 +44,21 @@ def test_stages_keep_columns_and_odd_rows(spark, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0
     kept = sorted((tuple(r) for r in corpus_pipeline.near_dedup(spark, odd, sf).select("doc_id", "text").collect()), key=str)
     assert kept == [(7, None), (8, "x")]
+
+
+def test_what_each_stage_keeps_of_odd_rows(spark, sf, tmp_path):
+    docs = documents(spark, sf)
+    odd = spark.createDataFrame([(None, None, None, None, None), (-7, None, "en", "s", 0), (-8, "", "en", "s", 0), (-9, "12 34", "en", "s", 5), (-1, "x y", "en", "s", 3), (-1, "x y", "en", "s", 3)], docs.schema)
+    mine = lambda df: sorted((tuple(r) for r in df.where("doc_id is null or doc_id < 0").select("doc_id", "text").collect()), key=str)
+    judged = mine(corpus_pipeline.language_id(spark, docs.union(odd), sf))
+    assert judged in ([], [(-1, "x y")] * 2)  # null, empty and letterless texts go, equal texts are judged alike
+    every = mine(odd)
+    assert mine(corpus_pipeline.decontaminate(spark, odd, sf)) == every
+    assert mine(corpus_pipeline.redact_pii(spark, odd, sf)) == every
+    redacted = corpus_pipeline.redact_pii(spark, odd, sf).where("doc_id = -7 or doc_id is null").select("n_chars").collect()
+    assert [r.n_chars for r in redacted] == [None, None]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).count() == docs.count()
+    clashing = odd.withColumn("hash", odd.doc_id).withColumn("n_words", odd.text).withColumn("chunk", odd.lang).withColumn("lang_rejected", odd.lang)
+    for stage in (corpus_pipeline.decontaminate, corpus_pipeline.redact_pii, corpus_pipeline.near_dedup):
+        assert stage(spark, clashing, sf).columns == clashing.columns
