@@ -34,6 +34,8 @@ SEED = 42
 #: Two of the four pairs of neighbouring bytes, as masks over the 64 bits.
 MASKS = [0xFFFF << 16 * a | 0xFFFF << 16 * b for a, b in combinations(range(4), 2)]
 SHORT = 24
+#: Members of a posting that one task looks up.
+PART = 50_000
 PER_TASK = 60_000
 
 WIDTH = 5
@@ -87,13 +89,17 @@ def fingerprints(docs: DataFrame, width: int = 3, keep: list[str] | None = None)
     return append_columns(docs, kernel, [("fp", "bigint", pa.int64())], keep=keep or ["doc_id"])
 
 
-def linked(members: list[int], free: list[int]) -> list[tuple[int, int]]:
-    """A star for each set of members chained by links of at most BITS bits; ``free``: bits in which members can differ."""
+def linked(members: list[int], free: list[int], some: list[int] | None = None) -> list[tuple[int, int]]:
+    """A star for each set of members chained by links of at most BITS bits; ``free``: bits in which members can differ. With ``some`` only the links of these members.
+
+    In a long posting the partners of a member are looked up, so that work is linear; they are tallied and verified like any pair.
+    """
+    close = lambda a, b: tally(a, b) >= LEAST_BYTES and (a ^ b).bit_count() <= BITS
     if len(members) <= SHORT:
-        return forest((a, b) for a, b in combinations(members, 2) if tally(a, b) >= LEAST_BYTES and (a ^ b).bit_count() <= BITS)
+        return forest((a, b) for a, b in combinations(members, 2) if close(a, b))
     there = set(members)
     flips = [sum(c) for n in range(1, BITS + 1) for c in combinations([1 << b for b in free], n)]
-    return forest((a, a ^ f) for a in members for f in flips if a ^ f in there)
+    return forest((a, a ^ f) for a in (members if some is None else some) for f in flips if a ^ f in there and close(a, a ^ f))
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -101,13 +107,17 @@ def links(prints: DataFrame) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bytes")) for i, m in enumerate(MASKS)])
     spread = prints.select("fp").repartition(max(1, -(-prints.count() // PER_TASK)), "fp")  # each row becomes 6
     postings = spread.select("fp", F.explode(keys).alias("k")).groupBy("k.mask", "k.bytes").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    # A posting goes to as many tasks as it has parts of PART members, each of which looks up its own part's links.
+    parts = F.explode(F.sequence(F.lit(0), F.floor((F.size("fps") - 1) / PART).cast("int"))).alias("part")
+    postings = postings.select("mask", "bytes", "fps", parts).repartition("mask", "bytes", "part")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stars: list[tuple[int, int]] = []
-            for mask, fps in zip(batch.column("mask").to_pylist(), batch.column("fps").to_pylist()):
+            for mask, fps, part in zip(*(batch.column(c).to_pylist() for c in ("mask", "fps", "part"))):
                 free = [b for b in range(64) if not MASKS[mask] >> b & 1]
-                stars += linked([f & (1 << 64) - 1 for f in fps], free)
+                members = [f & (1 << 64) - 1 for f in fps]
+                stars += linked(members, free, members[part * PART : (part + 1) * PART])
             pairs = np.array(stars, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 

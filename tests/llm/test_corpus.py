@@ -227,6 +227,8 @@ def test_long_postings_link_as_short_ones(base, _, rng):
     free = [b for b in range(64) if not simhash.MASKS[3] >> b & 1]
     members = sorted({base ^ sum({1 << rng.choice(free) for _ in range(rng.randrange(6))}) for _ in range(60)})
     assert sorted(simhash.linked(members, free)) == sorted(simhash.forest((a, b) for i, a in enumerate(members) for b in members[i + 1 :] if (a ^ b).bit_count() <= 2))
+    parts = [simhash.linked(members, free, members[k : k + 7]) for k in range(0, len(members), 7)]
+    assert sorted(simhash.forest(p for part in parts for p in part)) == sorted(simhash.linked(members, free))
 
 
 def test_simhash_links_of_chains(spark):
