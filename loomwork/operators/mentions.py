@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.text import distinct_ignoring_case, strip
+from ..session import kept
 
 
 def gazetteer(countries: DataFrame, cities: DataFrame) -> DataFrame:
@@ -41,39 +42,64 @@ def words_of(c: str) -> F.Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def met_names(df: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """key, found: the places (start, n, country; n the length, negative) of all names in a text, by start and then the longest first.
+
+    Whole names are looked up: a word stands for itself and for the runs of words that begin with it, one for each length that names have. So a word meets at
+    most as many names as there are lengths, however many names begin with it. Names are written once, so that Spark's own check sees their size.
+    """
+    own = names.select(words_of("name").alias("w"), "country").where("size(w) > 0")
+    parts = kept(own.groupBy(F.array_join("w", " ").alias("phrase")).agg(F.first(F.size("w")).alias("length"), F.min("country").alias("country")), "gazetteer")
+    lengths = sorted(r["length"] for r in parts.select("length").distinct().collect()) or [1]
+    runs = lambda x, i: F.array(*[F.when(i + n <= F.size("w"), F.array_join(F.slice("w", i + 1, n), " ")) for n in lengths])
+    spread = df.select(key, words_of(text).alias("w")).select(key, F.posexplode(F.transform("w", runs)).alias("start", "p")).select(key, "start", F.explode("p").alias("phrase"))
+    met = spread.where("phrase is not null").join(parts, "phrase")
+    return met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("length")).alias("n"), "country"))).alias("found"))
+
+
+def settled(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, str]]]:
+    """(start, length, country) of each row's names: the leftmost, of those the longest, no overlaps."""
+    lists = batch.column(1)
+    flat, ends = lists.flatten(), lists.value_lengths().to_pylist()
+    places, at = zip(*(flat.field(c).to_pylist() for c in ("start", "n", "country"))), 0
+    places = list(places)
+    for n in ends:
+        free, out = 0, []
+        for start, length, country in places[at : at + n]:
+            if start >= free:
+                free = start - length
+                out.append((start, -length, country))
+        at += n
+        yield out
+
+
 def find_names(df: DataFrame, names: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, start, length (in words), country of each name of the gazetteer ``names(name, country)`` in a text: the leftmost, of those the longest, no overlaps.
 
-    Every word is looked up as the first word of names, with as many words after it as the longest name has, so that a large gazetteer is joined and
-    a small one is broadcast by Spark's own check. ``key`` must tell rows apart. Names without letters or digits match nothing; equal names have the least country.
+    A large gazetteer is joined and a small one is broadcast by Spark's own check. ``key`` must tell rows apart. Names without letters or digits match
+    nothing; equal names have the least country.
     """
-    parts = names.select(words_of("name").alias("w"), "country").where("size(w) > 0").groupBy("w").agg(F.min("country").alias("country"))
-    parts = parts.select(F.col("w")[0].alias("first"), F.concat(F.array_join(F.slice("w", 2, F.size("w")), " "), F.lit(" ")).alias("rest"), F.size("w").alias("length"), "country")
-    longest = parts.agg(F.max("length")).first()[0] or 1
-    spread = df.select(key, words_of(text).alias("w")).select(key, F.posexplode(F.transform("w", lambda x, i: F.struct(x.alias("first"), F.concat(F.array_join(F.slice("w", i + 2, longest - 1), " "), F.lit(" ")).alias("after")))).alias("start", "x"))
-    met = spread.select(key, "start", "x.first", "x.after").join(parts, "first").where("rest = ' ' OR startswith(after, rest)").select(key, "start", "length", "country")
-    rows = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("length")).alias("n"), "country"))).alias("found"))
     kind = df.schema[key].dataType.simpleString()
 
     def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, out = batch.column(0), []
-            for i, found in enumerate(batch.column(1).to_pylist()):
-                free = 0
-                for x in found:
-                    if x["start"] >= free:
-                        free = x["start"] - x["n"]
-                        out.append((i, x["start"], -x["n"], x["country"]))
-            columns = [own.take(pa.array([r[0] for r in out], pa.int64())), *(pa.array([r[j] for r in out], t) for j, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.string())))]
+            out = [(i, *place) for i, places in enumerate(settled(batch)) for place in places]
+            columns = [batch.column(0).take(pa.array([r[0] for r in out], pa.int64())), *(pa.array([r[j] for r in out], t) for j, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.string())))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "start", "length", "country"])
 
-    return rows.mapInArrow(settle, f"key {kind}, start bigint, length bigint, country string").withColumnRenamed("key", key)
+    return met_names(df, names, key, text).mapInArrow(settle, f"key {kind}, start bigint, length bigint, country string").withColumnRenamed("key", key)
 
 
 def referenced(df: DataFrame, names: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``countries``: the distinct countries that a row's text names, in order; '' in the gazetteer discards a name."""
-    found = find_names(df, names, key, text).where("country <> ''").groupBy(key, "country").agg(F.min("start").alias("start"))
-    lists = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "country"))), lambda s: s["country"]).alias("countries"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [list(dict.fromkeys(country for _, _, country in places if country)) for places in settled(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.list_(pa.string()))], ["key", "countries"])
+
+    lists = met_names(df, names, key, text).mapInArrow(settle, f"key {kind}, countries array<string>").withColumnRenamed("key", key)
     return df.join(lists, key, "left").withColumn("countries", F.coalesce("countries", F.array().cast("array<string>")))
 
 
