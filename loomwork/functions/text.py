@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from . import dims
 
 MARKER = "\n\nAssistant:"
+#: Letters that Unicode's full mapping makes into several, with their single capitals or title forms; those that have none stay.
+CAPITALS = {c: "\u1e9e" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x20000)) if len(c.upper()) > 1}
 
 
 def col(c: Column | str) -> Column:
@@ -170,6 +172,11 @@ def alternatives(names: list[str]) -> str:
     return "|".join(re.escape(x).replace(r"\ ", " ") for x in sorted(set(names), key=lambda x: (-len(x), x)))
 
 
+def capital(letter: Column) -> Column:
+    """A letter to its one capital, as SQL engines map letters one by one; Spark's upper makes two of some (SS of a sharp s)."""
+    return mapped(letter, CAPITALS, F.upper(letter))
+
+
 def strip_mentions(c: Column | str) -> Column:
     """Country and people's names off a story: three forms at its start, then three anywhere; spaces closed up, first letter raised."""
     land, people = alternatives(dims.COUNTRY_NAMES), alternatives(dims.DEMONYM_NAMES)
@@ -178,7 +185,7 @@ def strip_mentions(c: Column | str) -> Column:
     for pattern in (rf"^\s*In\s+(?:the\s+)?(?:{land})\s*,\s*", rf"^\s*In\s+(?:a|an|the)?\s*(?:{people})\s+", rf"^\s*Among\s+(?:{people})s?\s*,\s*", rf"\bin\s+(?:the\s+)?(?:{land})\b", rf"\b(?:{people})\b", rf"\bfrom\s+(?:{land})\b"):
         out = F.regexp_replace(out, "(?iuU)" + pattern, "")
     out = strip(F.regexp_replace(out, r"(?U)\s{2,}", " "))
-    return F.concat(F.upper(F.substring(out, 1, 1)), F.substr(out, F.lit(2)))
+    return F.concat(capital(F.substring(out, 1, 1)), F.substr(out, F.lit(2)))
 
 
 def distinct_ignoring_case(items: Column | str) -> Column:

@@ -98,6 +98,16 @@ def test_strip_mentions(spark):
     assert [r[0] for r in frame.select(text.strip_mentions("s")).collect()] == [stripped(s) for s in STORIES]
 
 
+def test_capitals(spark):
+    """A story that begins with a letter without a capital of one letter keeps its length; other letters are raised as ever."""
+    import duckdb
+
+    letters = [*text.CAPITALS, "a", "é", "ǆ", "ſ", "я", "1", "Z"]
+    got = [r[0] for r in spark.createDataFrame([(x + "heit",) for x in letters], "s string").select(text.strip_mentions("s")).collect()]
+    assert got == [duckdb.execute("SELECT upper($1) || 'heit'", [x]).fetchone()[0] for x in letters]
+    assert got[letters.index("ß")] == "\u1e9eheit"
+
+
 def test_distinct_and_keys(spark):
     frame = spark.createDataFrame([(["Japan", "japan", None, "", "Iran", "IRAN"],)], "a array<string>")
     assert frame.select(text.distinct_ignoring_case("a")).first()[0] == ["Japan", "Iran"]
