@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import dims
 
 NEURON = ["module", "layer", "neuron"]
+#: A sketch's error is one in ACCURACY; ten times as many neurons as that are ranked beyond the wanted share.
+ACCURACY = 10_000
+SLACK = 10 / ACCURACY
 
 
 def family(module: str = "module") -> Column:
@@ -73,15 +76,34 @@ def deltas(treated: DataFrame, control: DataFrame, keys: list[str], sample: str
     return deltas_in_one_pass(side(treated, F.col("score"), F.lit(None)).unionByName(side(control, F.lit(None), F.col("score"))), keys, sample=sample)
 
 
+def reaching(df: DataFrame, keys: list[str], by: str, which: int = 0) -> DataFrame:
+    """The neurons, with ``family`` and the ``__wanted`` number of it, whose score is one that somewhat more than the wanted share of their family reaches, by a sketch."""
+    fractions = {name: both[which] for name, both in dims.FRACTIONS.items()}
+    of = lambda values: F.coalesce(*[F.when(F.col("family") == name, value) for name, value in values.items()])
+    x = F.col(by).cast("double")
+    place = F.when(x.isNull(), float("-inf")).when(F.isnan(x), float("inf")).otherwise(x)
+    ranked = df.withColumn("family", family()).where("family is not null").withColumn("__x", place)
+    shares = F.array(*[F.lit(max(0.0, 1 - p - SLACK)) for p in fractions.values()])
+    sizes = ranked.groupBy(*keys, "family").agg(F.count("*").alias("__n"), F.percentile_approx("__x", shares, F.lit(ACCURACY)).alias("__q"))
+    limits = sizes.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("family").alias("__f"), F.floor(F.col("__n") * of({name: F.lit(p) for name, p in fractions.items()})).alias("__wanted"),
+        of({name: F.col("__q")[i] for i, name in enumerate(fractions)}).alias("__least"),
+    )
+    same = F.col("family") == F.col("__f")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return ranked.join(F.broadcast(limits), same & (F.col("__x") >= F.col("__least"))).select(*df.columns, "family", "__wanted")  # limits: a row per condition and family
+
+
 def top_fraction(df: DataFrame, keys: list[str], by: str, which: int = 0) -> DataFrame:
-    """The first floor(n * p) neurons of each family by falling score; ties by module, layer, neuron."""
+    """The first floor(n * p) neurons of each family by falling score; ties by module, layer, neuron.
+
+    Families are few and neurons many, so no task ranks a family, only what reaches a sketched score. That too few do is an error, not a shorter selection.
+    """
     own = Window.partitionBy(*keys, "family")
-    p = F.lit(0.0)
-    for name, fractions in dims.FRACTIONS.items():
-        p = F.when(F.col("family") == name, fractions[which]).otherwise(p)
-    ranked = df.withColumn("family", family()).where("family is not null")
-    ranked = ranked.withColumn("__r", F.row_number().over(own.orderBy(F.desc(by), *NEURON))).withColumn("__n", F.count("*").over(own))
-    return ranked.where(F.col("__r") <= F.floor(F.col("__n") * p)).drop("__r", "__n")
+    reached = reaching(df, keys, by, which).withColumn("__r", F.row_number().over(own.orderBy(F.desc(by), *NEURON))).withColumn("__c", F.count("*").over(own))
+    enough = F.when(F.col("__c") < F.col("__wanted"), F.raise_error(F.lit("too few neurons reach the sketch's score"))).otherwise(F.col("__r") <= F.col("__wanted"))
+    return reached.where(enough).select(*df.columns, "family")
 
 
 def exclude(selected: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:

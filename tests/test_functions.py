@@ -5,6 +5,7 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import dims, regions, text
@@ -221,6 +222,21 @@ def test_mentions(spark):
     assert mentions.detect_with(rows.select("id", F.lit("").alias("text")), lambda t: t[0]).count() == 0
 
 
+def test_selection_ranks_a_share(spark):
+    """Only about the wanted share of a family is ranked, and ties, nulls and scores that are no numbers change nothing."""
+    module = F.when(F.col("id") % 3 == 0, "mlp.gate_proj").when(F.col("id") % 3 == 1, "self_attn.q_proj").otherwise("self_attn.v_proj")
+    odd = F.when(F.col("id") % 11 == 0, None).when(F.col("id") == 51, float("nan")).when(F.col("id") == 52, float("-inf")).otherwise(F.round(F.rand(3), 3))
+    for score, share in ((odd, 0.04), (F.lit(1.0), 1), (F.lit(None).cast("double"), 1)):
+        rows = spark.range(90000).select(F.when(F.col("id") % 2 == 0, "a").alias("cond"), module.alias("module"), F.lit(0).alias("layer"), F.col("id").alias("neuron"), score.alias("score")).localCheckpoint()
+        for which in (0, 1):
+            plain = Window.partitionBy("cond", "family")
+            want = rows.withColumn("family", neurons.family()).withColumn("r", F.row_number().over(plain.orderBy(F.desc("score"), *neurons.NEURON))).withColumn("n", F.count("*").over(plain))
+            p = F.when(F.col("family") == "mlp", dims.FRACTIONS["mlp"][which]).otherwise(dims.FRACTIONS["attention"][which])
+            want = {(r.cond, r.neuron) for r in want.where(F.col("r") <= F.floor(F.col("n") * p)).collect()}
+            assert want == {(r.cond, r.neuron) for r in neurons.top_fraction(rows, ["cond"], "score", which).collect()}
+            assert neurons.reaching(rows, ["cond"], "score", which).count() <= share * 90000
+
+
 def test_neurons(spark):
     score = spark.createDataFrame([("c", "mlp.gate_proj", 0, n, "K", float(n), s) for n in range(300) for s in (1, 2)], "cond string, module string, layer int, neuron int, country string, score double, sample int")
     control = score.where("neuron < 5").withColumn("score", F.lit(1.0))
