@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, regions, text
 from ..operators import behaviour, curate, geography, neurons, resample, scoring, series
+from ..session import kept
 from .bindings import US, contributions, golds, nations, predictions, respondents, scored, table, tagged, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -465,9 +466,10 @@ def selected_rows(spark, d):
     return neurons.top_fraction(delta_rows(spark, d).drop("s"), ["cond"], "delta")
 
 
-def control_rows(spark, d):
-    """From the same aggregation as the deltas, so that a query with both reads the contributions once."""
-    return neurons.top_fraction(delta_rows(spark, d).drop("delta"), ["cond"], "s", which=1)
+def selected_and_controls(spark, d):
+    """Both selections from one aggregation, whose rows are written once: by itself each would leave out the other's sums and read all contributions again."""
+    both = kept(delta_rows(spark, d), "deltas")
+    return neurons.top_fraction(both.drop("s"), ["cond"], "delta"), neurons.top_fraction(both.drop("delta"), ["cond"], "s", which=1)
 
 
 CONDS = ["c0", "c1", "c2", "c3"]
@@ -490,7 +492,8 @@ def top_fraction_select(spark, d):
 
 @query("SELECT cond, module, layer, neuron, delta FROM selected ANTI JOIN controls USING (cond, module, layer, neuron)", "selected", "controls")
 def exclude_countryrc(spark, d):
-    return neurons.exclude(selected_rows(spark, d).drop("family"), control_rows(spark, d), ["cond"])
+    selected, controls = selected_and_controls(spark, d)
+    return neurons.exclude(selected.drop("family"), controls, ["cond"])
 
 
 COUNTED = "nullif(count(neuron) FILTER (cond = 'c0'), 0) c0, nullif(count(neuron) FILTER (cond = 'c1'), 0) c1, nullif(count(neuron) FILTER (cond = 'c2'), 0) c2, nullif(count(neuron) FILTER (cond = 'c3'), 0) c3"
@@ -566,7 +569,7 @@ def jaccard_family(spark, d):
     "selected", "controls",
 )
 def cross_source_overlap(spark, d):
-    return neurons.compare_sources(selected_rows(spark, d), control_rows(spark, d), ["cond"])
+    return neurons.compare_sources(*selected_and_controls(spark, d), ["cond"])
 
 
 @query("SELECT module || '_' || layer || '_' || neuron \"key\", module module_name, layer layer_idx, neuron::INT neuron_idx FROM (SELECT DISTINCT module, layer, neuron FROM selected)", "selected")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, text
 from ..operators import behaviour, mentions, neurons, scoring
+from ..session import kept
 from ..sources import io, registry
 from ..streaming import monitor
 from .bindings import US, predictions, scored, table, with_tables
 from .files import folder
-from .queries import STOPS, assigned_of, control_rows, r6, selected_rows
+from .queries import STOPS, assigned_of, r6, selected_and_controls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -284,7 +285,8 @@ def us_probe_by_model(spark, d):
 )
 def attribution_details(spark, d):
     """A selection by layer, beside the base's, and beside the controls': per layer the neurons and their mean, the Jaccard index with the base, what only the selection has."""
-    rows, controls = selected_rows(spark, d), control_rows(spark, d)
+    rows, controls = selected_and_controls(spark, d)
+    rows = kept(rows, "selected")  # read three times
     layers = rows.groupBy("cond", "layer").agg(F.count("*").alias("n"), F.round(F.avg("delta"), 4).alias("value")).select(F.lit("layer").alias("kind"), "cond", F.col("layer").cast("string").alias("key"), "n", "value")
     base = neurons.jaccard(rows, "cond", ["c0", "c1", "c2", "c3"]).where("a = 'c0' AND n_b > 0").select(F.lit("base").alias("kind"), F.col("b").alias("cond"), F.col("a").alias("key"), F.col("n_both").alias("n"), F.round("jaccard", 4).alias("value"))
     both = neurons.compare_sources(rows, controls, ["cond"]).select(F.lit("control").alias("kind"), "cond", F.lit("controls").alias("key"), F.col("shared").alias("n"), F.col("only_a").cast("double").alias("value"))

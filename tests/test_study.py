@@ -135,3 +135,11 @@ def test_loaders_by_name(spark):
     got = spark.createDataFrame([(n,) for n in names], "n string").select(registry.pair_loader_column("n").alias("k")).collect()
     assert [r.k for r in got] == [registry.pair_loader(n) for n in names]
     assert registry.comparison_table(spark).count() > 0
+
+
+def test_attribution_reads_contributions_once(spark, sf):
+    """Both selections come from deltas that were written; neither reads the line items again."""
+    from loomwork.plans import queries, study
+
+    for query in (study.QUERIES["attribution_details"], queries.QUERIES["cross_source_overlap"], queries.QUERIES["exclude_countryrc"]):
+        assert not [f for f in query(spark, sf).inputFiles() if "lineitem" in f]
