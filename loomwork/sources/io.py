@@ -156,10 +156,17 @@ def read_tag_cache(spark: SparkSession, path: str, strict: bool = True, size: in
     return empty if old else rows.select("key", parsed.alias("t")).select("key", "t.*")
 
 
-def read_training_log(spark: SparkSession, path: str) -> DataFrame:
-    """run (the file), step, loss, margin, accuracy in logged order; absent values are null."""
+def read_training_log(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """run, step, loss, margin, accuracy in logged order; absent values are null.
+
+    A file is a run's document, and names it; with ``run`` files hold the documents of many runs, one on each line, whose field of that name names the run. So the
+    number of files need not follow the number of runs.
+    """
     schema = "log_history array<struct<loss: double, `rewards/margins`: double, `rewards/accuracies`: double>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("run"), F.posexplode("log_history").alias("step", "h"))
+    if run is None:
+        rows = spark.read.schema(schema).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("run"), F.posexplode("log_history").alias("step", "h"))
+    else:
+        rows = spark.read.schema(f"`{run}` string, {schema}").json(path).select(F.col(run).alias("run"), F.posexplode("log_history").alias("step", "h"))
     return rows.select("run", "step", F.col("h.loss").alias("loss"), F.col("h.`rewards/margins`").alias("margin"), F.col("h.`rewards/accuracies`").alias("accuracy"))
 
 

@@ -103,6 +103,18 @@ def test_score_maps_caches_logs(spark, tmp_path):
     assert io.list_files(spark, str(tmp_path / "*.err")).count() == 1
 
 
+def test_training_logs_of_many_runs_in_a_file(spark, sf, tmp_path):
+    """Documents on lines name their runs; the query's files do not follow the number of runs."""
+    import __spark_entry__ as entry
+
+    (tmp_path / "many.json").write_text("".join(json.dumps(d) + "\n" for d in ({"run": "b", "log_history": [{"loss": 2.0}, {"x": 1}]}, {"run": "a", "log_history": [{"rewards/margins": 0.5}]}, {"run": "c", "log_history": []})))
+    got = io.read_training_log(spark, str(tmp_path / "many.json"), run="run").orderBy("run", "step").collect()
+    assert [tuple(r) for r in got] == [("a", 0, None, 0.5, None), ("b", 0, 2.0, None, None), ("b", 1, None, None, None)]
+    out = entry.queries()["training_log_scan"](spark, sf)
+    runs = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+    assert out.count() == runs and len(out.inputFiles()) <= 8
+
+
 def test_checkpoints_and_conditions(spark, tmp_path):
     for n in ("checkpoint-9", "checkpoint-100", "checkpoint-x", "other"):
         (tmp_path / "sft" / n).mkdir(parents=True)
