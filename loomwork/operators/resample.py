@@ -72,17 +72,20 @@ def item_bootstrap(items: DataFrame, n: int, seed: int = 42) -> DataFrame:
 def item_bootstrap_by_draws(items: DataFrame, n: int, seed: str = "item") -> DataFrame:
     """rep, shift, as ``item_bootstrap`` gives them, with draws that can be replayed: each takes the item at its md5's place among the items, ordered by class.
 
-    A row for each draw, summed within tasks; for far more items than the study's few thousand the other form is cheaper by their number.
+    A row for each draw, counted by replicate and class within tasks, so that a draw costs its md5 and a search among the classes' bounds; the sums take a row for
+    each replicate and class. For far more items than the study's few thousand the other form is cheaper by their number.
     """
     kept = ["side", "h0", "n0", "h1", "n1"]
     classes = [tuple(r) for r in items.groupBy(*kept).count().orderBy(*kept).collect()]  # a handful
     total = sum(c[-1] for c in classes)
     if not total:
         return items.sparkSession.createDataFrame([], "rep long, shift double")
-    bounds = F.array(*[F.lit(sum(c[-1] for c in classes[:i])).cast("long") for i in range(len(classes))])
-    rows = replicates(items, n, total, seed).withColumn("class", F.size(F.filter(bounds, lambda b: b < F.col("idx"))))
-    value = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in classes]), F.col("class")).alias(kept[i])
-    return rows.select("rep", *[value(i) for i in range(5)]).groupBy("rep").agg(shift().alias("shift"))
+    of = F.lit(0)
+    for i in range(1, len(classes)):
+        of = F.when(F.col("idx") > sum(c[-1] for c in classes[:i]), i).otherwise(of)
+    drawn = replicates(items, n, total, seed).groupBy("rep", of.alias("class")).agg(F.count("*").alias("times"))
+    value = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in classes]), F.col("class") + 1)
+    return drawn.select("rep", value(0).alias("side"), *[(value(i) * F.col("times")).alias(kept[i]) for i in range(1, 5)]).groupBy("rep").agg(shift().alias("shift"))
 
 
 def permutation(sums: DataFrame, n: int, seed: str = "perm") -> DataFrame:

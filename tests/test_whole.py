@@ -31,6 +31,22 @@ def test_resampling_draws_5000_replicates(spark, sf):
     assert entry.queries()["significance_report"](spark, sf).count() == 4
 
 
+def test_item_draws_are_counted_by_class(spark):
+    """The draws of single items, replayed; no function runs over an array for each draw."""
+    import hashlib
+
+    from loomwork.operators import resample
+
+    rows = sorted(("W" if i % 3 else "NW", i % 2, 1, i % 5 % 2, 1) for i in range(40))
+    frame = spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "idx long, side string, h0 long, n0 long, h1 long, n1 long")
+    out = resample.item_bootstrap_by_draws(frame, 30)
+    assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for rep, shift in map(tuple, out.collect()):
+        own = [rows[int(hashlib.md5(f"item_{rep}_{k}".encode()).hexdigest()[:8], 16) % 40] for k in range(40)]
+        rate = lambda s, i: sum(r[i] for r in own if r[0] == s) / sum(r[i + 1] for r in own if r[0] == s)
+        assert abs(shift - ((rate("W", 3) - rate("NW", 3)) - (rate("W", 1) - rate("NW", 1)))) < 1e-12
+
+
 def test_item_bootstrap_by_classes_follows_draws_of_single_items(spark):
     import numpy as np
 
