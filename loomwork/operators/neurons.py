@@ -15,6 +15,8 @@ NEURON = ["module", "layer", "neuron"]
 #: A sketch's error is one in ACCURACY; ten times as many neurons as that are ranked beyond the wanted share.
 ACCURACY = 10_000
 SLACK = 10 / ACCURACY
+#: Contributions that one task sums.
+PER_TASK = 200_000
 
 
 def family(module: str = "module") -> Column:
@@ -57,13 +59,16 @@ def deltas_in_one_pass(df: DataFrame, keys: list[str], score: Column | str = "sc
     """Mean score per sample minus the control's, where a row may carry both (null: neither); a neuron without control rows has control 0.
 
     One aggregation over the contributions, with further sums in ``also``, and one that counts samples by condition: a row per sample with two flags, then their sums.
-    Treatment and control are never joined.
+    Treatment and control are never joined. Neurons and samples are nearly as many as contributions, so that sums before the shuffle would save little and hold what a
+    whole split has: contributions are dealt first, over tasks whose number follows theirs.
     """
     s, c = (F.col(x) if isinstance(x, str) else x for x in (score, control))
     more = also or []
-    sums = df.groupBy(*keys, *NEURON).agg(F.sum(s).alias("t"), F.sum(c).alias("c"), *more)
+    tasks = max(1, -(-df.count() // PER_TASK))
+    sums = df.repartition(tasks, *keys, *NEURON).groupBy(*keys, *NEURON).agg(F.sum(s).alias("t"), F.sum(c).alias("c"), *more)
     known = F.col(sample).isNotNull()
-    flags = df.groupBy(*keys, sample).agg(F.max((s.isNotNull() & known).cast("long")).alias("n"), F.max((c.isNotNull() & known).cast("long")).alias("m"))
+    flagged = df.select(*keys, sample, (s.isNotNull() & known).alias("n"), (c.isNotNull() & known).alias("m")).repartition(tasks, *keys, sample)
+    flags = flagged.groupBy(*keys, sample).agg(F.max("n").cast("long").alias("n"), F.max("m").cast("long").alias("m"))
     samples = flags.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     net = F.col("t") / F.col("n") - F.coalesce(F.try_divide("c", "m"), F.lit(0.0))
     rest = [f for f in sums.columns if f not in [*keys, *NEURON, "t", "c"]]

@@ -463,7 +463,8 @@ def delta_rows(spark, d):
 
 
 def selected_rows(spark, d):
-    return neurons.top_fraction(delta_rows(spark, d).drop("s"), ["cond"], "delta")
+    """The selection; the deltas are written once, for the sketch of their scores and for the ranking."""
+    return neurons.top_fraction(kept(delta_rows(spark, d).drop("s"), "deltas"), ["cond"], "delta")
 
 
 def selected_and_controls(spark, d):

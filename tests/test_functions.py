@@ -237,6 +237,15 @@ def test_selection_ranks_a_share(spark):
             assert neurons.reaching(rows, ["cond"], "score", which).count() <= share * 90000
 
 
+def test_contributions_are_dealt_by_their_number(spark, monkeypatch):
+    """No task sums more than its share of the contributions, whatever the session's partitions and the splits of the input are."""
+    rows = spark.range(0, 3000, 1, 1).select(F.lit("c").alias("cond"), F.lit("mlp.gate_proj").alias("module"), F.lit(0).alias("layer"), "id", F.col("id").alias("neuron"), F.col("id").alias("sample"), F.lit(1.0).alias("score"), F.lit(None).cast("double").alias("control")).localCheckpoint()
+    monkeypatch.setattr(neurons, "PER_TASK", 100, raising=False)
+    got = neurons.deltas_in_one_pass(rows, ["cond"])
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 300 and {r.delta for r in got.collect()} == {1 / 3000}
+
+
 def test_neurons(spark):
     score = spark.createDataFrame([("c", "mlp.gate_proj", 0, n, "K", float(n), s) for n in range(300) for s in (1, 2)], "cond string, module string, layer int, neuron int, country string, score double, sample int")
     control = score.where("neuron < 5").withColumn("score", F.lit(1.0))
