@@ -301,15 +301,16 @@ def early_stop_late_stream(spark, d):
     """Events in batches that overlap in time, each up to two spans behind the latest; a closing row lets the last ones through."""
     path = f"{folder(spark, 'late')}/rows"
     events = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") - 20).alias("margin"))
-    first, last = events.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    first, last, runs = events.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts")), F.approx_count_distinct("user_id")).first()
     span = max(1, ((last or 0) - (first or 0)) // 4 + 1)
     batch = F.floor((F.unix_seconds("ts") - (first or 0)) / span) + F.col("event_id") % 2
     for k in range(6):
         events.where(batch == k).write.mode("append").parquet(path)
     closing = spark.createDataFrame([(-1, -1, None)], "user_id long, event_id long, margin double").withColumn("ts", F.timestamp_seconds(F.lit((last or 0) + 3 * span)))
     closing.select(events.columns).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return monitor.run_to_table(monitor.early_stops_any_order(stream, "user_id", "margin", 4, "ts", "event_id", f"{2 * span} seconds"), "late-stops")
+    files = events.rdd.getNumPartitions()  # a batch writes at most as many, so that batches of the stream do not follow the size of the table
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
+    return monitor.run_to_table(monitor.early_stops_any_order(stream, "user_id", "margin", 4, "ts", "event_id", f"{2 * span} seconds", max(16, runs // 200)), "late-stops")
 
 
 @study("SELECT route, count(*) shown, count(*) written FROM (SELECT CASE source WHEN 'src1' THEN 'a' WHEN 'src2' THEN 'b' WHEN 'src3' THEN 'b' END route FROM documents) WHERE route IS NOT NULL GROUP BY 1")

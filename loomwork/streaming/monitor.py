@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import pickle
 import threading
 import uuid
 from collections.abc import Iterator
@@ -43,38 +45,44 @@ def early_stops(stream: DataFrame, run: str, margin: str, patience: int, *order:
     return kept.groupBy(run).applyInPandasWithState(step, f"{run} long, stop_step long", "last array<double>, n long, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def early_stops_any_order(stream: DataFrame, run: str, margin: str, patience: int, time: str, tie: str, delay: str) -> DataFrame:
+def early_stops_any_order(stream: DataFrame, run: str, margin: str, patience: int, time: str, tie: str, delay: str, buckets: int = 256) -> DataFrame:
     """run, stop_step, as ``early_stops`` gives them, for rows that arrive in any order but at most ``delay`` behind the latest.
 
-    State holds the rows that the watermark has not passed, by time and ``tie``; what it has passed is complete and is stepped through in order. A timer wakes a run
-    whose rows are ready though no new ones come. Rows of null margin are no steps, so a row far in the future with a null margin closes a stream.
+    State is kept by bucket of runs, since a call for each run costs far more than its rows; ``buckets`` stays the same as long as the stream does. It holds the rows that the
+    watermark has not passed, by time and ``tie``, and of each run its steps, how many of the last margins are 0 or below, and whether it has stopped; what the watermark has
+    passed is complete and is stepped through in order. A timer wakes a bucket whose rows are ready though no new ones come. Rows of null margin are no steps, so a row far in the
+    future with a null margin closes a stream.
     """
-    kept = stream.withWatermark(time, delay).select(F.col(run).cast("long").alias(run), F.col(margin).cast("double").alias("__m"), F.col(time).alias("__time"), F.unix_micros(time).alias("__t"), F.col(tie).cast("long").alias("__tie"))
+    own = F.col(run).cast("long")
+    kept = stream.withWatermark(time, delay).select(
+        F.pmod(F.xxhash64(own), F.lit(buckets)).alias("__b"), F.coalesce(own, F.lit(0)).alias(run), own.isNull().alias("__none"), F.col(margin).cast("double").alias("__m"),
+        F.col(time).alias("__time"), F.unix_micros(time).alias("__t"), F.col(tie).cast("long").alias("__tie"),
+    )
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, ties, margins, last, n, done = state.get if state.exists else ([], [], [], [], 0, False)
-        waiting = list(zip(times, ties, margins))
+        waiting, runs = pickle.loads(state.get[0]) if state.exists else ([], {})
         for frame in frames:
-            frame = frame[frame["__m"].notna()]
-            waiting += zip(frame["__t"].tolist(), frame["__tie"].tolist(), frame["__m"].tolist())
-        passed, last, found = state.getCurrentWatermarkMs() * 1000 + 999, list(last), None
+            columns = (frame[c].tolist() for c in ("__t", "__tie", "__m", run, "__none"))
+            waiting += [(t, i, m, r, none) for t, i, m, r, none in zip(*columns) if m == m and not runs.get((r, none), (0, 0, False))[2]]
+        passed = state.getCurrentWatermarkMs() * 1000 + 999
         waiting.sort()
-        ready = [w for w in waiting if w[0] <= passed]
-        waiting = [] if done else waiting[len(ready) :]
-        for _, _, m in [] if done else ready:
-            n += 1
-            last = [*last, m][-patience:]
-            if len(last) == patience and max(last) <= 0:
-                found, done, waiting = n, True, []
-                break
-        state.update(([w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting], last, n, done))
+        ready = bisect.bisect_right(waiting, passed, key=lambda w: w[0])
+        found = []
+        for _, _, m, r, none in waiting[:ready]:
+            n, low, done = runs.get((r, none), (0, 0, False))
+            if not done:
+                n, low = n + 1, low + 1 if m <= 0 else 0
+                runs[r, none] = (n, low, low >= patience)
+                if low >= patience:
+                    found.append((None if none else r, n))
+        waiting = [w for w in waiting[ready:] if not runs.get((w[3], w[4]), (0, 0, False))[2]]
+        state.update((pickle.dumps((waiting, runs)),))
         if waiting:
             state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs() + 1))
-        if found is not None:
-            yield pd.DataFrame({run: [key[0]], "stop_step": [found]})
+        if found:
+            yield pd.DataFrame({run: pd.array([r for r, _ in found], dtype="Int64"), "stop_step": [n for _, n in found]})
 
-    held = "times array<long>, ties array<long>, margins array<double>, last array<double>, n long, done boolean"
-    return kept.groupBy(run).applyInPandasWithState(step, f"{run} long, stop_step long", held, "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.groupBy("__b").applyInPandasWithState(step, f"{run} long, stop_step long", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class RouteProgress(StreamingQueryListener):

@@ -115,6 +115,25 @@ def test_rows_in_any_order_stop_a_run_where_ordered_ones_do(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(1, 6), (3, 3)]
 
 
+def test_late_rows_wake_buckets_and_not_runs(spark, tmp_path):
+    """Many runs share a call, and each, that of null id too, stops where plain Python stops it."""
+    rng = random.Random(6)
+    rows = [(None if run == 0 else run, 100 * run + k, 1000 + k, rng.choice([-1.0, 0.0, 2.0, None])) for run in range(40) for k in range(20)]
+    want = {}
+    for run in range(40):
+        margins = [m for r, _, _, m in rows if r == (run or None) and m is not None]
+        steps = [i + 1 for i in range(2, len(margins)) if max(margins[i - 2 : i + 1]) <= 0]
+        want |= {run or None: steps[0]} if steps else {}
+    rng.shuffle(rows)
+    for part in [rows[::2], rows[1::2], [(-1, -1, 9000, None)]]:
+        frame = spark.createDataFrame(part, "run long, tie long, sec long, m double").withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    got = monitor.run_to_table(monitor.early_stops_any_order(stream, "run", "m", 3, "ts", "tie", "60 seconds", buckets=3), "late").collect()
+    assert len(want) > 10 and None in want and {r.run: r.stop_step for r in got} == want and len(got) == len(want)
+
+
 def test_a_routed_scan_tells_how_far_it_is(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame([(i, "abcx"[i % 4]) for i in range(10 * k, 10 * k + 10)], "id long, source string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
