@@ -15,8 +15,10 @@ NEURON = ["module", "layer", "neuron"]
 #: A sketch's error is one in ACCURACY; ten times as many neurons as that are ranked beyond the wanted share.
 ACCURACY = 10_000
 SLACK = 10 / ACCURACY
-#: Contributions that one task sums.
+#: Contributions that one task sums, as long as MOST_TASKS are enough for that.
 PER_TASK = 200_000
+#: Spark's default for spark.shuffle.sort.bypassMergeThreshold: up to so many tasks the rows go straight to files, beyond them the writer holds a whole split.
+MOST_TASKS = 200
 
 
 def family(module: str = "module") -> Column:
@@ -60,11 +62,11 @@ def deltas_in_one_pass(df: DataFrame, keys: list[str], score: Column | str = "sc
 
     One aggregation over the contributions, with further sums in ``also``, and one that counts samples by condition: a row per sample with two flags, then their sums.
     Treatment and control are never joined. Neurons and samples are nearly as many as contributions, so that sums before the shuffle would save little and hold what a
-    whole split has: contributions are dealt first, over tasks whose number follows theirs.
+    whole split has: contributions are dealt first, over tasks whose number follows theirs up to MOST_TASKS. From there on a task's share grows, which its sums can spill.
     """
     s, c = (F.col(x) if isinstance(x, str) else x for x in (score, control))
     more = also or []
-    tasks = max(1, -(-df.count() // PER_TASK))
+    tasks = min(MOST_TASKS, max(1, -(-df.count() // PER_TASK)))
     sums = df.repartition(tasks, *keys, *NEURON).groupBy(*keys, *NEURON).agg(F.sum(s).alias("t"), F.sum(c).alias("c"), *more)
     known = F.col(sample).isNotNull()
     flagged = df.select(*keys, sample, (s.isNotNull() & known).alias("n"), (c.isNotNull() & known).alias("m")).repartition(tasks, *keys, sample)

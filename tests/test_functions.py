@@ -246,6 +246,14 @@ def test_contributions_are_dealt_by_their_number(spark, monkeypatch):
     assert sum(sizes) == 3000 and max(sizes) < 300 and {r.delta for r in got.collect()} == {1 / 3000}
 
 
+def test_contributions_are_dealt_over_few_tasks(spark, monkeypatch):
+    """Of many contributions a task takes more: with over 200 tasks Spark's shuffle writer would hold a whole split."""
+    rows = spark.range(0, 3000, 1, 1).select(F.lit("c").alias("cond"), F.lit("mlp.gate_proj").alias("module"), F.lit(0).alias("layer"), "id", F.col("id").alias("neuron"), F.col("id").alias("sample"), F.lit(1.0).alias("score"), F.lit(None).cast("double").alias("control")).localCheckpoint()
+    monkeypatch.setattr(neurons, "PER_TASK", 10)
+    got = neurons.deltas_in_one_pass(rows, ["cond"])
+    assert got.rdd.getNumPartitions() <= 200 and {(r.neuron, r.delta) for r in got.collect()} == {(n, 1 / 3000) for n in range(3000)}
+
+
 def test_neurons(spark):
     score = spark.createDataFrame([("c", "mlp.gate_proj", 0, n, "K", float(n), s) for n in range(300) for s in (1, 2)], "cond string, module string, layer int, neuron int, country string, score double, sample int")
     control = score.where("neuron < 5").withColumn("score", F.lit(1.0))
