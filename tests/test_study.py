@@ -63,6 +63,26 @@ def test_names_with_one_first_word(spark):
     assert time.time() - begun < 30
 
 
+def test_names_in_texts_shuffle_no_words(spark):
+    """What texts and names travel as is less than the texts themselves, though every word begins a name."""
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(400)]
+    docs = [(i, " ".join(rng.choices(words, k=3000))) for i in range(200)] + [(900, None), (901, "?!"), (902, words[0])]
+    names = [(" ".join(rng.choices(words, k=k % 3 + 1)), rng.choice(["US", "UK", "", "Korea"])) for k in range(3000)] + [(w, "Aland") for w in words]
+    frame, gazetteer = spark.createDataFrame(docs, "id long, text string").repartition(3), spark.createDataFrame(names, "name string, country string")
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+    before = {f.getPath() for f in map(files().apply, range(files().length()))}
+    got = mentions.referenced(frame.select("id", "text"), gazetteer, "id").select("id", "countries").collect()
+    after = files()
+    written = sum(f.length() for f in map(after.apply, range(after.length())) if f.getPath() not in before)
+    want = {}
+    for key, _, _, country in plain_names(docs, names):
+        if country and country not in want.setdefault(key, []):
+            want[key].append(country)
+    assert {r.id: r.countries for r in got} == {d: want.get(d, []) for d, _ in docs}
+    assert written < sum(len(t or "") for _, t in docs)
+
+
 def test_option_orders(spark):
     rows = spark.range(6000).select("id", *[text.permutation(n, "s", "id").alias(f"p{n}") for n in (1, 2, 3, 4)]).collect()
     for n in (1, 2, 3, 4):
