@@ -13,10 +13,15 @@ that: at similarity 0.8 two fingerprints differ in 9.7 of 64 bits on average, so
 positions; in a posting the shared bytes of each pair are tallied once, under the first run that the two share. Verification on the whole
 shingle sets goes in two rounds: first a forest of the best tallies in each posting, then every pair that reaches the minimum and whose texts are
 not connected yet. So no pair that shares a run and reaches the minimum is lost, and copies of one another are not listed in pairs.
+
+Runs and tallies of minima find a similar pair with a high probability only. A last round therefore indexes all texts by a prefix of their sorted shingles,
+counts the keys that two texts of different components share against the number that the similarity guarantees, and verifies what reaches it
+(``remaining_links``). After it no pair of the similarity is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -47,6 +52,8 @@ SLACK = 0.07
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, SIGNATURE, np.uint64) * np.uint64(2) + np.uint64(1)
 STIR = np.uint64(0x9E3779B97F4A7C15)
 BLOCK, PIVOTS = 512, 16
+#: Of so many texts one is looked at for frequent shingles, of which so many are put last.
+SHOWN, HOT = 16, 1 << 18
 
 
 def tally(a: int, b: int) -> int:
@@ -160,13 +167,16 @@ def run_keys(own: np.ndarray) -> list[int]:
     return [r << 8 * ROWS | int.from_bytes(marks[r * ROWS : (r + 1) * ROWS], "little") for r in range(RUNS)]
 
 
+def digest_of(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED) - (1 << 63) if words else 0
+
+
 def sketches(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns in ``keep``, ``digest`` of the words (0 without any) and ``keys``."""
 
     def kernel(texts: list) -> list:
-        worded = [words_of(t) for t in texts]
-        digests = [xxhash.xxh64_intdigest(b" ".join(w), SEED) - (1 << 63) if w else 0 for w in worded]
-        return [digests, [run_keys(np.unique(shingle_hashes(w, WIDTH))) for w in worded]]
+        made = [(digest_of(w), run_keys(np.unique(shingle_hashes(w, WIDTH)))) for w in map(words_of, texts)]  # one text's words at a time
+        return [[m[k] for m in made] for k in range(2)]
 
     return append_columns(docs, kernel, [("digest", "bigint", pa.int64()), ("keys", "array<bigint>", pa.list_(pa.int64()))], keep=keep)
 
@@ -260,6 +270,22 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
+def crossing(labelled: DataFrame) -> DataFrame:
+    """Postings ``key, digest, label`` and further columns, those of one label left out, by pairs of blocks ``i, j`` (and the ``side``) in which members of different labels meet.
+
+    The texts of a posting outside its largest label, in blocks, meet all blocks of the posting; those inside have met already.
+    """
+    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all")).where("inside < all")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rest = labelled.join(largest, "key").withColumn("u", blocks(F.col("all") - F.col("inside"))).withColumn("m", blocks(F.col("inside")))
+    place = lambda n: F.pmod(F.xxhash64("digest"), n).cast("int")
+    outside = F.col("label") != F.col("main")
+    rest = rest.withColumn("block", F.when(outside, place(F.col("u"))).otherwise(F.col("u") + place(F.col("m"))))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("u") - 1 + F.when(outside, F.col("m")).otherwise(0))))
+    return rest.select(*labelled.columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+
 def similarity_links(keyed: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     """Verified edges ``a, b`` among digests, enough to connect what chains of them connect. keyed: __key, text; prints: digest, keys, rows, __key."""
     least = round((similarity - SLACK) * SIGNATURE)
@@ -285,23 +311,125 @@ def similarity_links(keyed: DataFrame, prints: DataFrame, similarity: float) ->
     tried = stored(candidates(first, least, True), "simhash-forest")
     edges = stored(similar(tried, sets, similarity), "simhash-edges")
 
-    # Round 2: all other pairs that reach the minimum and are not connected yet. The texts of a posting outside its largest component, in blocks, meet all
-    # blocks of the posting; those inside have met by way of the component.
+    # Round 2: all other pairs that reach the minimum and are not connected yet.
     roots = stored(components(edges), "simhash-roots")
     labelled = stored(postings.join(roots, postings.digest == roots.node, "left").select("key", "digest", F.coalesce("root", "digest").alias("label")), "simhash-labels")
-    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all")).where("inside < all")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    rest = labelled.join(largest, "key").withColumn("u", blocks(F.col("all") - F.col("inside"))).withColumn("m", blocks(F.col("inside")))
-    place = lambda n: F.pmod(F.xxhash64("digest"), n).cast("int")
-    outside = F.col("label") != F.col("main")
-    rest = rest.withColumn("block", F.when(outside, place(F.col("u"))).otherwise(F.col("u") + place(F.col("m"))))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("u") - 1 + F.when(outside, F.col("m")).otherwise(0))))
-    rest = rest.select("key", "digest", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    rest = crossing(labelled)
     second = candidates(rest.join(marked, "digest"), least, False).join(tried, ["a", "b"], "left_anti")
     return edges.union(stored(similar(stored(second, "simhash-rest"), sets, similarity), "simhash-edges"))
 
 
+def frequent(plain: DataFrame) -> np.ndarray:
+    """Sorted hashes of shingles that many texts have, the most frequent HOT of them at most, told from one text in SHOWN. They only decide in what order shingles are taken."""
+
+    def kernel(texts: list) -> list:
+        own = (np.unique(shingle_hashes(words_of(t), WIDTH)) for t in texts)
+        return [[o[: np.searchsorted(o, np.uint64(1 << 63))].view(np.int64).copy() for o in own]]  # a prefix seldom reaches further
+
+    some = plain.where(F.pmod(F.xxhash64("__key"), F.lit(SHOWN)) == 0).select("text")
+    each = append_columns(some, kernel, [("own", "array<bigint>", pa.list_(pa.int64()))], keep=[]).select(F.explode("own").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(HOT)
+    return np.sort(np.array([r["shingle"] for r in often.select("shingle").collect()], np.int64).view(np.uint64))
+
+
+def prefix(own: np.ndarray, hot: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set, frequent ones after all others, so many that two sets of the similarity share one of them at least."""
+    late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own if len(hot) else np.zeros(len(own), bool)
+    return np.concatenate([own[~late], own[late]])[: prefix_length(len(own), similarity)].copy()
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - 1e-6) + 1 if n else 0
+
+
+def shared_postings(spread: DataFrame) -> DataFrame:
+    """The rows ``key, digest, size`` whose key several digests have, each once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, again = np.zeros((0, 3), np.int64), False  # the last row, and whether the row before has its key
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)])
+            rows = rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))] if len(rows) else rows
+            if not len(rows):
+                continue
+            same = rows[1:, 0] == rows[:-1, 0]
+            good = np.append(again, same) | np.append(same, False)
+            held, again = rows[-1:], bool(good[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:-1][good[:-1]].T], ["key", "digest", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (held if again else held[:0]).T], ["key", "digest", "size"])
+
+    return spread.select("key", "digest", "size").repartition("key").sortWithinPartitions("key", "digest").mapInArrow(tidied(run), "key bigint, digest bigint, size bigint")
+
+
+def counted_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a < b`` of digests of different labels that share as many keys of their prefixes as two sets of the similarity must. members: key, i, j, side, digest, label, size."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def met(rows: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Each row with the row ``apart`` places on, while that is of its posting. ends: where the postings end."""
+            i, j, side, digest, label, size = rows[:, 1:].T
+            left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(rows))
+            x, apart, found, held = np.arange(len(rows)), 0, [], 0
+            while len(x := x[left[x] > apart + 1]):
+                apart += 1
+                y = x + apart
+                good = (label[x] != label[y]) & ((i[x] == j[x]) | (side[x] != side[y])) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-6)
+                a, b = x[good], y[good]
+                # Of the shingles that both must share, all but those beyond the prefix that ends first are in both prefixes.
+                both = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - 1e-6)
+                need = (both + 1 - np.ceil(similarity * np.maximum(size[a], size[b]) - 1e-6)).astype(np.int64)
+                found.append((np.minimum(digest[a], digest[b]), np.maximum(digest[a], digest[b]), need))
+                held += len(a)
+                if held > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b", "need"])
+                    found, held = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b", "need"])
+
+        held = np.zeros((0, 7), np.int64)
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in range(7)], axis=1)])
+            ends = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+            if len(ends):
+                yield from met(rows[: ends[-1]], ends)
+                rows = rows[ends[-1] :]
+            held = rows
+        yield from met(held, np.array([len(held)]))
+
+    dealt = members.select("key", *[F.col(c).cast("bigint") for c in ("i", "j", "side")], "digest", "label", "size").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "digest")
+    pairs = dealt.mapInArrow(tidied(run), "a bigint, b bigint, need bigint")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("a", "b")
+
+
+def remaining_links(plain: DataFrame, prints: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Verified edges among digests that ``links`` don't connect: none of the similarity is left out.
+
+    Minima of two similar sets agree with a high probability, not always. So every text is indexed once more, by the first shingles of its set in one order
+    for all; two sets of the similarity share some of these, and at least a number that follows from their sizes. Only pairs of different components are
+    formed. plain: __key, text; prints: digest, __key.
+    """
+    roots = components(links)
+    labels = prints.join(roots, prints.digest == roots.node, "left").select("digest", F.coalesce("root", "digest").alias("label"))
+    hot = frequent(plain)
+
+    def kernel(texts: list) -> list:
+        def one(words: list[bytes]) -> tuple:
+            own = np.unique(shingle_hashes(words, WIDTH))
+            return digest_of(words), len(own), prefix(own, hot, similarity).view(np.int64)
+
+        made = [one(w) for w in map(words_of, texts)]  # one text's words at a time
+        return [[m[k] for m in made] for k in range(3)]
+
+    fields = [("digest", "bigint", pa.int64()), ("size", "bigint", pa.int64()), ("keys", "array<bigint>", pa.list_(pa.int64()))]
+    spread = append_columns(plain.select("text"), kernel, fields, keep=[]).select("digest", "size", F.explode("keys").alias("key"))
+    labelled = stored(shared_postings(spread).join(labels, "digest"), "simhash-prefixes")
+    pairs = stored(counted_pairs(crossing(labelled), similarity), "simhash-counted")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(prints.select("digest", "__key"), "digest")
+    texts = plain.select("__key", "text").join(wanted, "__key").dropDuplicates(["digest"])
+    sets = append_columns(texts, lambda texts: [[np.unique(shingle_hashes(words_of(t), WIDTH)).tobytes() for t in texts]], [("own", "binary", pa.binary())], keep=["digest"])
+    return similar(pairs, stored(sets, "simhash-sets"), similarity).select("a", "b").union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b"))
+
+
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row, with all its columns, of each set of rows chained by similarities of at least ``similarity`` between their five-word shingles.
 
@@ -314,7 +442,8 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = stored(sketches(plain, ["doc_id", "__key"]), "simhash-sketches")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))
     prints = stored(rows.groupBy("digest").agg(F.first("keys").alias("keys"), F.count("*").alias("rows"), first.alias("first")).select("digest", "keys", "rows", "first", "first.__key"), "simhash-texts")
-    roots = components(stored(similarity_links(plain, prints, similarity), "simhash-links"))
+    links = stored(similarity_links(plain, prints, similarity), "simhash-links")
+    roots = components(stored(remaining_links(plain, prints, links, similarity), "simhash-links"))
     by_root = prints.join(roots, prints.digest == roots.node, "left").select(F.coalesce("root", "digest").alias("root"), "first")
     chosen = by_root.groupBy("root").agg(F.min("first")["__key"].alias(name)).select(name)
     return keyed.join(chosen, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -57,3 +57,37 @@ def test_long_postings_lose_no_link(spark, sf, docs_of, monkeypatch):
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(rows), sf).select("doc_id").collect()}
     want = brute_kept(rows)
     assert got == want and 1 < len(want) < 40
+
+
+def test_no_similar_pair_is_left_out(spark, sf, docs_of):
+    """Pairs of similarity 0.8 whose minima agree in no run, or in too few places."""
+    rows = []
+    for k, seed in enumerate((928, 1973, 2875, 3272, 5444, 7351, 8794, 11379)):
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(49)]
+        edited = list(words)
+        edited[20] = "changed"  # 40 of 50 shingles remain
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited))]
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(rows), sf).select("doc_id").collect()}
+    assert got == brute_kept(rows) == set(range(0, len(rows), 2))
+
+
+def test_prefixes_alone_equal_all_pairs(spark, docs_of, monkeypatch):
+    """Without the minima, also with frequent shingles put last and postings of several blocks."""
+    rng = random.Random(13)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for k in range(40):
+        words = passage[: rng.randrange(20, 60)] + [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 80))]
+        for j in range(rng.randrange(1, 4)):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+    want = brute_kept(rows)
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "similarity_links", lambda *_: none)
+    for shown, block in ((16, 512), (1, 8)):
+        monkeypatch.setattr(simhash, "SHOWN", shown)
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {r.doc_id for r in simhash.deduplicate(docs_of(rows)).select("doc_id").collect()}
+        assert got == want and len(want) < len(rows)
